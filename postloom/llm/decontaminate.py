@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import union
+from postloom.llm.kernels import folded
 
 Q = 8
 RATE = 0.1
@@ -32,23 +33,9 @@ FILTER_BITS = 22
 DENSE = 1 << 22  # counters kept as an array up to so many
 
 
-def _fold_table() -> np.ndarray:
-    table = np.arange(0x3000, dtype=np.uint32)
-    for c in range(1, 0x3000):
-        low = chr(c).lower()
-        table[c] = ord(low) if len(low) == 1 and not 0xD800 <= c < 0xE000 else c
-        if chr(c).isspace():
-            table[c] = 32
-    return table
-
-
-_FOLD = _fold_table()
-
-
 def characters(text: str) -> np.ndarray:
     """Code points, with case and white space folded one for one."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    return _FOLD[cp] if not len(cp) or cp.max() < len(_FOLD) else np.where(cp < len(_FOLD), _FOLD[np.minimum(cp, len(_FOLD) - 1)], cp)
+    return folded(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32))
 
 
 def qgrams(cp: np.ndarray) -> np.ndarray:

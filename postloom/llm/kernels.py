@@ -16,6 +16,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Bytes between words of letters and digits (all bytes of characters beyond ASCII belong to words).
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _powers: list[np.ndarray] = []
 
 
@@ -70,9 +72,10 @@ def row_slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[
         i = min(j, n)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of rows laid end to end, and each row's first word."""
-    solid = ~_SPACE[data]
+def words(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of the words [^\\x20\\x09-\\x0D]+ of rows laid end to end, and each row's first word. gaps: which
+    bytes stand between words, if not those."""
+    solid = ~gaps[data]
     before = np.zeros(len(data), bool)
     before[1:] = solid[:-1]
     cuts = offsets[:-1][offsets[:-1] < len(data)]
@@ -85,28 +88,58 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of the rows, and each row's first word; fold lower-cases A-Z. A row of any length is
-    hashed in pieces that end at white space, so that temporaries stay small."""
+def word_pieces(data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """First row, bytes and offsets of parts of the rows that keep temporaries small: rows of any length are cut where
+    words are (a piece of a row goes on with the next part's first row)."""
     if len(data) <= 4 * SLICE_BYTES:
-        part = _FOLD[data] if fold else data
-        starts, ends, first = words(part, offsets)
-        return span_hashes(part, starts, ends), first
-    out, first = [], [0]
-    for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-        total = 0
+        yield 0, data, offsets
+        return
+    for row, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)):
         while a < b:
             c = min(a + SLICE_BYTES, b)
-            while c < b and not _SPACE[data[c]]:
-                nxt = np.flatnonzero(_SPACE[data[c : min(b, c + SLICE_BYTES)]])
+            while c < b and not gaps[data[c]]:
+                nxt = np.flatnonzero(gaps[data[c : min(b, c + SLICE_BYTES)]])
                 c = c + int(nxt[0]) if len(nxt) else min(b, c + SLICE_BYTES)
-            part = _FOLD[data[a:c]] if fold else data[a:c]
-            starts, ends, _ = words(part, np.array([0, c - a]))
-            out.append(span_hashes(part, starts, ends))
-            total += len(starts)
+            yield row, data[a:c], np.array([0, c - a])
             a = c
-        first.append(first[-1] + total)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), np.array(first)
+
+
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool, gaps: np.ndarray = _SPACE, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of the rows, and each row's first word; fold lower-cases A-Z, head takes only so many of a
+    word's first bytes."""
+    out, counts = [np.zeros(0, np.uint64)], np.zeros(len(offsets) - 1, np.int64)
+    for row, part, own in word_pieces(data, offsets, gaps):
+        part = _FOLD[part] if fold else part
+        starts, ends, first = words(part, own, gaps)
+        out.append(span_hashes(part, starts, np.minimum(ends, starts + head) if head else ends))
+        counts[row : row + len(own) - 1] += np.diff(first)
+    return np.concatenate(out), np.append(0, np.cumsum(counts))
+
+
+def _lower_table() -> np.ndarray:
+    table = np.arange(0x3000, dtype=np.uint32)
+    for c in range(1, 0x3000):
+        low = chr(c).lower()
+        table[c] = ord(low) if len(low) == 1 and not 0xD800 <= c < 0xE000 else c
+        if chr(c).isspace():
+            table[c] = 32
+    return table
+
+
+_LOWER = _lower_table()
+
+
+def folded(cp: np.ndarray) -> np.ndarray:
+    """Code points with case and the kinds of white space folded, one for one."""
+    return _LOWER[cp] if not len(cp) or cp.max() < len(_LOWER) else np.where(cp < len(_LOWER), _LOWER[np.minimum(cp, len(_LOWER) - 1)], cp)
+
+
+def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of UTF-8 rows laid end to end, and each row's first one."""
+    cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.zeros(len(data) + 1, np.int64)
+    np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
+    return cp, begins[offsets]
 
 
 def ngrams(hashes: np.ndarray, n: int) -> np.ndarray:
