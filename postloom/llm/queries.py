@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import ngram_join, substring_dedup, top_k, toxicity, warc
+from postloom.llm import language_id, ngram_join, substring_dedup, top_k, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(_table(spark, sf_dir, "documents"))
+
+
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return top_k.top_k(vectors.where(F.col("vec_id") % 50 == 0), vectors, "vec_id", "embedding", k=5, scale=256)
@@ -36,7 +40,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_top_k, op3_ngram_join, op5_warc, op6_substring_dedup, op8_toxicity)}
+    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_ngram_join, op5_warc, op6_substring_dedup, op8_toxicity)}
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
