@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from postloom.llm import language_id, ngram_join, substring_dedup, top_k, toxicity, warc
+from postloom.llm import decontaminate, language_id, license_scan, ngram_join, packing, pii, substring_dedup, top_k, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,6 +27,17 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def tokenizer() -> str:
+    """The tokenizer file that the packing query takes."""
+    from public_tokenizers import path
+
+    return path("byte_bpe_50k.json")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(_table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(_table(spark, sf_dir, "pages"))
 
@@ -35,12 +46,36 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.remove_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_table(spark, sf_dir, "documents"))
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_top_k, op3_ngram_join, op5_warc, op6_substring_dedup, op8_toxicity)}
+    all_of = (
+        op1_language_id,
+        op2_top_k,
+        op3_ngram_join,
+        op4_packing,
+        op5_warc,
+        op6_substring_dedup,
+        op7_pii,
+        op8_toxicity,
+        op9_license_scan,
+        op10_decontaminate,
+    )
+    return {f.__name__: f for f in all_of}
 
 
 _WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -104,4 +139,4 @@ FROM w LEFT JOIN r USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_top_k": _OP2, "op3_ngram_join": _OP3, "op5_warc": _OP5, "op6_substring_dedup": _OP6}
+    return {"op2_top_k": _OP2, "op3_ngram_join": _OP3, "op5_warc": _OP5, "op6_substring_dedup": _OP6, "op9_license_scan": license_scan.scan_sql()}
