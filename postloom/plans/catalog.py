@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from postloom.plans import text_queries  # noqa: F401  registers its queries
+from postloom.plans import graph_queries, relational_queries, search_queries, text_queries, write_queries  # noqa: F401  they register their queries
 from postloom.plans.registry import QUERIES, SQL  # noqa: F401
 
 
 def flagship(spark, sf_dir):
-    return QUERIES["t02_clean_email_text"](spark, sf_dir)
+    return search_queries.hybrid_search(spark, sf_dir)
