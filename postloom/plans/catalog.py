@@ -2,7 +2,17 @@
 
 from __future__ import annotations
 
-from postloom.plans import graph_queries, relational_queries, search_queries, text_queries, write_queries  # noqa: F401  they register their queries
+from postloom.plans import (  # noqa: F401  they register their queries
+    filter_queries,
+    graph_queries,
+    maintenance_queries,
+    privacy_queries,
+    relational_queries,
+    search_queries,
+    secondary_queries,
+    text_queries,
+    write_queries,
+)
 from postloom.plans.registry import QUERIES, SQL  # noqa: F401
 
 
