@@ -10,6 +10,7 @@ from postloom.plans import (  # noqa: F401  they register their queries
     relational_queries,
     search_queries,
     secondary_queries,
+    stream_queries,
     text_queries,
     write_queries,
 )
