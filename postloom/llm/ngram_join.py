@@ -7,11 +7,13 @@ when 100 * intersection >= 80 * union. The join returns one row per document wit
 2. Routing. Two linked sets share one of the first n - ceil(0.8 n) + 1 entries of each in any order that is the same
    for all; the order here puts shingles that a sample shows to be common last. Classes that share no such entry with
    another need no further look.
-3. Leaders. Classes that share a minimum under one of 16 permutations are compared with their bucket's leader; found
-   links join classes to components, so that a large group of near copies needs one comparison each, not all pairs.
+3. Leaders. The smallest shingle of each sixteenth of the hash range (one-permutation min-hashes) draws near copies to
+   a leader, the smallest of those that share it; classes that share at least LIKELY of them with a leader are compared
+   with it. Found links join classes to components, so that a large group of near copies needs one comparison each, not
+   all pairs. What this step overlooks is left to the next.
 4. Signature trees. Classes of different components that share a routing entry go to a tree for that entry; its nodes
    hold the OR of their members' token bitmaps and their size range. A dual traversal drops node pairs whose largest
-   possible overlap is too small; the pairs that are left are checked on the whole sets.
+   possible overlap is too small; the pairs that are left are checked on the whole sets, which only the documents of such pairs hand over.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; with one to four words
 the whole sequence is the only shingle. Rows with a null doc_id get n_shingles and a null component, and link with
@@ -32,16 +34,22 @@ from postloom.llm import kernels as K
 from postloom.llm.common import bitmap_of, components, id_hash, stored
 
 SHINGLE = 5
-PERMUTATIONS = 16
-SIGNATURE_WORDS = 16  # 64-bit words of a token bitmap
+BINS = 16
+LIKELY = 8
+SIGNATURE_WORDS = 16  # 64-bit words of a token bitmap in a tree
+WIDEST = 1 << 22  # bits of a large set's own bitmap at most
 FANOUT = 8
 BLOCK = 512  # members of a tree; larger groups are dealt out in pairs of blocks
 SAMPLED = 16  # one in so many documents is looked at for common shingles
 COMMON_SEEN = 8  # a shingle seen so often in the sample counts as common
 COMMON_MAX = 1 << 18  # bound of the list of common shingles (2 MB)
 LEADER_ROUNDS = 2
+FLUSH = 1 << 16  # tree rows looked at together
+ID_BITS = 27
 
-_FEATURES = "doc_id long, n long, d1 long, d2 long, mins array<long>, prefix array<long>, bits binary"
+_BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+
+_FEATURES = "doc_id long, n long, d1 long, d2 long, mins array<long>, prefix array<long>, bits binary, wide binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -102,12 +110,14 @@ def _features(texts: DataFrame, common: np.ndarray) -> DataFrame:
     def features(batches):
         common, rank = shared.value
         for batch in batches:
-            n, d1, d2, mins, prefix, bits = [], [], [], [], [], []
+            n, d1, d2, mins, prefix, bits, wide = [], [], [], [], [], [], []
             for _, s in _rows(batch):
                 n.append(len(s))
                 d1.append(int(s.sum()))
                 d2.append(int(np.bitwise_xor.reduce(K.mix(s, 2))) if len(s) else 0)
-                mins.append(np.array([K.mix(s, 10 + p).min() for p in range(PERMUTATIONS)], np.uint64) if len(s) else s)
+                at = np.searchsorted(s, _BIN_STARTS)
+                first = at[at < np.append(at[1:], len(s))]  # of the bins that hold any
+                mins.append(s[first])
                 key = K.mix(s, 1) >> np.uint64(1)
                 if len(common) and len(s):
                     at = np.minimum(np.searchsorted(common, s), len(common) - 1)
@@ -115,12 +125,14 @@ def _features(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     key[hit] = np.uint64(1 << 63) + rank[at[hit]]
                 keep = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
                 prefix.append(s[np.argpartition(key, keep - 1)[:keep]] if keep < len(s) else s)
-                packed = np.zeros(SIGNATURE_WORDS * 64, np.uint8)
-                packed[(s & np.uint64(SIGNATURE_WORDS * 64 - 1)).astype(np.int64)] = 1
-                bits.append(np.packbits(packed).tobytes())
+                packed = np.zeros(min(WIDEST, max(SIGNATURE_WORDS * 64, 1 << (2 * len(s)).bit_length())), np.uint8)
+                packed[(s & np.uint64(len(packed) - 1)).astype(np.int64)] = 1
+                packed = np.packbits(packed)
+                wide.append(packed.tobytes() if len(packed) > SIGNATURE_WORDS * 8 else b"")
+                bits.append(np.bitwise_or.reduce(packed.reshape(-1, SIGNATURE_WORDS * 8)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)), _lists(mins), _lists(prefix), pa.array(bits, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "mins", "prefix", "bits"],
+                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)), _lists(mins), _lists(prefix), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "n", "d1", "d2", "mins", "prefix", "bits", "wide"],
             )
 
     return texts.mapInArrow(features, _FEATURES)
@@ -138,9 +150,9 @@ def _unpacked(b: bytes) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The whole sets of the documents in ids (doc_id): a bitmap passes few others, the join drops those."""
-    bits = 27
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids.mapInArrow(_hashed, "h long"), "h", bits))
+    """The whole sets of the documents in ids (doc_id), by another pass over the texts: a bitmap passes few others, which
+    the join with pairs drops."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids.mapInArrow(_hashed, "h long"), "h", ID_BITS))
 
     def sets(batches):
         for batch in batches:
@@ -149,7 +161,7 @@ def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
             batch = batch.filter(pa.array(keep))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(s) for _, s in _rows(batch)], pa.binary())], ["doc_id", "s"])
 
-    return texts.mapInArrow(sets, "doc_id long, s binary").join(ids, "doc_id", "left_semi")
+    return texts.mapInArrow(sets, "doc_id long, s binary")
 
 
 def _hashed(batches):
@@ -157,8 +169,29 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([pa.array(id_hash(np.asarray(batch.column(0))).view(np.int64))], ["h"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _wide_enough(pairs: DataFrame, features: DataFrame) -> DataFrame:
+    """pairs without those of large sets whose own bitmaps, some two bits an entry, show that they cannot link."""
+    wide = features.where("octet_length(wide) > 0").select("doc_id", "n", "wide")
+    one = pairs.join(wide.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a", "left")
+    two = one.join(wide.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b", "left")
+
+    def check(batches):
+        for batch in batches:
+            keep = np.ones(len(batch), bool)
+            x, y = np.asarray(batch.column(2).fill_null(0)), np.asarray(batch.column(3).fill_null(0))
+            for k in np.flatnonzero((x > 0) & (y > 0)).tolist():
+                u, v = (np.frombuffer(batch.column(c)[k].as_py(), np.uint64) for c in (4, 5))
+                m = min(len(u), len(v))  # the wider one folds to the other's width
+                u, v = (np.bitwise_or.reduce(w.reshape(-1, m)) for w in (u, v))
+                keep[k] = may_link(x[k : k + 1], y[k : k + 1], u[None], v[None])[0]
+            yield batch.select([0, 1]).filter(pa.array(keep))
+
+    return two.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(check, "a long, b long").distinct()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, features: DataFrame) -> DataFrame:
     """The pairs (a, b) of documents whose sets link."""
+    pairs = stored(_wide_enough(pairs, features))
 
     def check(batches):
         for batch in batches:
@@ -172,8 +205,10 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
                 keep.append(9 * both >= 4 * (len(x) + len(y)) and both > 0)
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    one = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a")
-    return one.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long")
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = stored(_sets(texts, ids))
+    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
+    return one.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
 
 
 def _relabel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -184,11 +219,32 @@ def _relabel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def _leader_pairs(nodes: DataFrame) -> DataFrame:
-    """Each class with the leader of another component with which it shares the most minima."""
-    minima = nodes.select("doc_id", "comp", F.posexplode("mins").alias("at", "low"))
-    leads = minima.groupBy("at", "low").agg(F.min(F.struct("comp", "doc_id")).alias("lead"), F.max("comp").alias("last")).where("lead.comp <> last")
-    shared = minima.join(leads, ["at", "low"]).where("comp <> lead.comp").groupBy(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")).count()
-    return shared.groupBy("a").agg(F.max_by("b", F.struct("count", -F.col("b"))).alias("b"))
+    """Each class with the leader of another component with which it shares the most minima, if they are likely to link."""
+    minima = nodes.select("doc_id", "comp", F.size("mins").alias("held"), F.explode("mins").alias("low"))
+    leads = minima.groupBy("low").agg(F.min(F.struct("comp", "doc_id")).alias("lead"), F.max("comp").alias("last")).where("lead.comp <> last")
+    shared = minima.join(leads, "low").where("comp <> lead.comp").groupBy(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")).agg(F.count("*").alias("n"), F.max("held").alias("held"))
+    likely = shared.where(F.col("n") * BINS >= F.col("held") * LIKELY)
+    return likely.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+
+
+def may_link(size_x: np.ndarray, size_y: np.ndarray, bits_x: np.ndarray, bits_y: np.ndarray) -> np.ndarray:
+    """Whether pairs of sets of these sizes and token bitmaps can overlap enough: an entry whose bit the other set does
+    not have is not shared."""
+    common = bits_x & bits_y
+    most = np.minimum(size_x - np.bitwise_count(bits_x ^ common).sum(1), size_y - np.bitwise_count(bits_y ^ common).sum(1))
+    return 9 * most >= 4 * (size_x + size_y)
+
+
+def _small_groups(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs within each of the groups that fit one node: the tree of such a group is a root over its members."""
+    x, y = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for apart in range(1, FANOUT):
+        some = count > apart
+        n = count[some] - apart
+        at = np.repeat(first[some] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        x.append(at)
+        y.append(at + apart)
+    return np.concatenate(x), np.concatenate(y)
 
 
 def tree_pairs(size: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.ndarray, both_sides: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -219,9 +275,7 @@ def tree_pairs(size: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.nd
     if both_sides:
         ok &= side[x] != side[y]
     x, y = x[ok], y[ok]
-    common = bits[x] & bits[y]
-    most = np.minimum(size[x] - np.bitwise_count(bits[x] ^ common).sum(1), size[y] - np.bitwise_count(bits[y] ^ common).sum(1))
-    may = 9 * most >= 4 * (size[x] + size[y])
+    may = may_link(size[x], size[y], bits[x], bits[y])
     return order[x[may]], order[y[may]]
 
 
@@ -241,35 +295,47 @@ def _tree_candidates(entries: DataFrame, nodes: DataFrame) -> DataFrame:
         seen: set[tuple[int, int]] = set()
 
         def flush(table: pa.Table):
-            ids, comp, size = (table[c].to_numpy() for c in ("doc_id", "comp", "n"))
-            side = table["own"].to_numpy()
+            ids, comp, size, side = (table[c].to_numpy() for c in ("doc_id", "comp", "n", "own"))
             bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
             key = np.stack([table["h"].to_numpy(), table["i"].to_numpy().astype(np.int64), table["j"].to_numpy().astype(np.int64)])
             cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
-            a, b = [], []
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if e - s > 1:
-                    x, y = tree_pairs(size[s:e], bits[s:e], comp[s:e], side[s:e], bool(key[1, s] != key[2, s]))
-                    a += ids[s + x].tolist()
-                    b += ids[s + y].tolist()
-            fresh = {(min(p), max(p)) for p in zip(a, b, strict=True)} - seen
+            first, count = cuts[:-1], np.diff(cuts)
+            x, y = _small_groups(first[count <= FANOUT], count[count <= FANOUT])
+            ok = (comp[x] != comp[y]) & ((key[1, x] == key[2, x]) | (side[x] != side[y]))
+            x, y = x[ok], y[ok]
+            a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
+            order = np.lexsort((b, a))  # each pair once, however many entries it shares
+            fresh = np.ones(len(order), bool)
+            fresh[1:] = (np.diff(a[order]) != 0) | (np.diff(b[order]) != 0)
+            x, y = x[order[fresh]], y[order[fresh]]
+            may = may_link(size[x], size[y], bits[x], bits[y])
+            pairs = set(zip(np.minimum(ids[x], ids[y])[may].tolist(), np.maximum(ids[x], ids[y])[may].tolist(), strict=True))
+            for s, e in zip(first[count > FANOUT].tolist(), (first + count)[count > FANOUT].tolist(), strict=True):
+                x, y = tree_pairs(size[s:e], bits[s:e], comp[s:e], side[s:e], bool(key[1, s] != key[2, s]))
+                pairs.update((min(p), max(p)) for p in zip(ids[s + x].tolist(), ids[s + y].tolist(), strict=True))
+            pairs -= seen
             if len(seen) > 1_000_000:
                 seen.clear()
-            seen.update(fresh)
-            pairs = list(fresh)
-            return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+            seen.update(pairs)
+            out = np.array(sorted(pairs), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], ["a", "b"])
 
+        rows = 0
         for batch in batches:
             # the last group of a batch may go on in the next one; groups have at most some 2 * BLOCK members
             kept.append(batch)
+            rows += len(batch)
+            if rows < FLUSH:
+                continue
             table = pa.Table.from_batches(kept)
             key = [table[c].to_numpy() for c in ("h", "i", "j")]
-            same = (key[0] == key[0][-1]) & (key[1] == key[1][-1]) & (key[2] == key[2][-1]) if len(table) else np.zeros(0, bool)
+            same = (key[0] == key[0][-1]) & (key[1] == key[1][-1]) & (key[2] == key[2][-1])
             cut = len(table) - int(same.sum())
             if cut:
                 yield flush(table.slice(0, cut))
             kept = table.slice(cut).combine_chunks().to_batches()
-        if kept:
+            rows = len(table) - cut
+        if rows:
             yield flush(pa.Table.from_batches(kept))
 
     return dealt.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(trees, "a long, b long").distinct()
@@ -279,35 +345,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
     texts = _texts(docs)
     features = stored(_features(texts, common_shingles(texts)))
-    classes = (
-        features.where("n > 0 and doc_id is not null")
-        .groupBy("d1", "d2", "n")
-        .agg(F.min("doc_id").alias("rep"), *(F.min_by(c, "doc_id").alias(c) for c in ("mins", "prefix", "bits")))
-    )
-    classes = stored(classes.select("d1", "d2", "n", F.col("rep").alias("doc_id"), "mins", "prefix", "bits"))
-    entries = classes.select("doc_id", F.explode("prefix").alias("h"))
-    shared = entries.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h")
+    classes = stored(features.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id")))
+    # passes the classes' rows and few others, which the join with classes drops
+    reps = texts.sparkSession.sparkContext.broadcast(bitmap_of(classes.select("doc_id").mapInArrow(_hashed, "h long"), "h", ID_BITS))
+
+    def listed(bitmap):
+        def entries(batches):
+            for batch in batches:
+                ids = batch.column(0)
+                keep = K.in_bitmap(reps.value, id_hash(np.asarray(ids.fill_null(0)))) & np.asarray(ids.is_valid())
+                batch = batch.filter(pa.array(keep))
+                lists = batch.column(1)
+                flat = np.asarray(lists.flatten())
+                rows = np.repeat(np.arange(len(batch)), np.asarray(lists.value_lengths().fill_null(0)))
+                if bitmap is not None:
+                    keep = K.in_bitmap(bitmap.value, flat.view(np.uint64))
+                    rows, flat = rows[keep], flat[keep]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(flat)], ["doc_id", "h"])
+
+        return features.select("doc_id", "prefix").mapInArrow(entries, "doc_id long, h long")
+
+    shared = listed(None).groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
     bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(shared, "h", 27))
-
-    def routed(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            flat = np.asarray(lists.flatten())
-            rows = np.repeat(np.arange(len(batch)), np.asarray(lists.value_lengths().fill_null(0)))
-            keep = K.in_bitmap(bitmap.value, flat.view(np.uint64))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows[keep])), pa.array(flat[keep])], ["doc_id", "h"])
-
-    entries = stored(classes.select("doc_id", "prefix").mapInArrow(routed, "doc_id long, h long"))
+    entries = stored(listed(bitmap).join(classes.select("doc_id"), "doc_id", "left_semi").distinct())
     live = stored(entries.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h"))
     entries = stored(entries.join(live, "h", "left_semi"))
     ids = stored(entries.select("doc_id").distinct())
-    nodes = stored(classes.join(ids, "doc_id", "left_semi").select("doc_id", F.col("doc_id").alias("comp"), "n", "mins", "bits"))
-    sets = stored(_sets(texts, ids))
+    one = features.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(*(F.min_by(c, F.struct("d1", "d2")).alias(c) for c in ("n", "mins", "bits")))
+    nodes = stored(one.select("doc_id", F.col("doc_id").alias("comp"), "n", "mins", "bits"))
     for _ in range(LEADER_ROUNDS):
-        links = _verified(_leader_pairs(nodes), sets)
-        nodes = _relabel(nodes, _between(links, nodes))
-    links = _verified(_tree_candidates(entries, nodes), sets)
-    nodes = _relabel(nodes, _between(links, nodes))
+        nodes = _relabel(nodes, _between(_verified(_leader_pairs(nodes), texts, features), nodes))
+    nodes = _relabel(nodes, _between(_verified(_tree_candidates(entries, nodes), texts, features), nodes))
     found = classes.select("d1", "d2", "n", "doc_id").join(nodes.select("doc_id", "comp"), "doc_id", "left")
     found = found.select("d1", "d2", "n", F.coalesce("comp", "doc_id").alias("component_id"))
     out = features.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
