@@ -7,9 +7,9 @@ import uuid
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.functions import ids, privacy
+from postloom.functions import ids, people, privacy
 from postloom.functions import text as T
-from postloom.operators import chunking, filters, graph, lexical, maintenance, ranking, writes
+from postloom.operators import chunking, embedding, filters, graph, lexical, maintenance, ranking, writes
 from postloom.sources import folders
 from postloom.streaming import jobs
 
@@ -204,3 +204,25 @@ def test_folders(spark, tmp_path):
     assert texts["b.html"] == "Hi you" and texts["m.eml"].strip() == "mail body"
     log = folders.attachment_log(listing).collect()
     assert [(r["folder"], r["filename"], r["entries"][0]["sender"]) for r in log] == [("conv1", "b.html", "ann")]
+
+
+def test_people_in_text(spark):
+    t = '2024-10-07 14:43 | From: "Lee, Ann" <Ann@X.org> | To: bob@y.org; /o=A/ou=B/cn=Recipients/cn=Joe Doe | Cc: ann@x.org, z@z.org\nbody From: q@q.org'
+    got = one(spark, F.to_json(people.people_in_text(F.col("t"))), t=t)
+    assert [(p["smtp"], p["name"], p["role"]) for p in json.loads(got)] == [
+        ("ann@x.org", "Lee, Ann", "sender"),
+        ("bob@y.org", "Bob", "recipient"),
+        ("joe.doe@exchange.local", "Joe.doe", "recipient"),
+        ("z@z.org", "Z", "cc"),
+    ]
+
+
+def test_embedding_fails_row_by_row(spark):
+    def embed(texts):
+        if any("bad" in t for t in texts):
+            raise ValueError("bad")
+        return embedding.lengths(texts, 4)
+
+    rows = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "fine"), (4, " "), (5, None)], "id int, t string")
+    got = {r["id"]: r["status"] for r in embedding.embedded(rows, "id", "t", embed).collect()}
+    assert got == {1: "embedded", 2: "skipped", 3: "embedded"}
