@@ -85,9 +85,11 @@ def _features(batches):
 
 
 def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Weights:
-    """Weights fitted to rows of distinct slots, one update a row."""
-    z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
-    rows = [np.append(r, 1 << BITS) for r in rows]  # the bias is the last coordinate
+    """Weights fitted to rows of distinct slots, one update a row. The bias is the log odds of the labels' share (at most
+    0.45) and is not fitted, so that a text without any known feature, such as an empty one, is not found toxic."""
+    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    share = min(max(float(np.mean(y)), 0.001), 0.45)
+    bias = float(np.log(share / (1 - share)))
 
     def weights(at):
         w = -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
@@ -99,13 +101,13 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Weights
         for k in order.tolist():
             at = rows[k]
             w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(w.sum(), -35, 35))) - y[k]
+            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - y[k]
             step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
             z[at] += g - step * w
             n[at] += g * g
     every = weights(np.arange(len(z)))
-    held = np.flatnonzero(every[:-1])
-    return Weights(held, every[held].astype(np.float32), float(every[-1]))
+    held = np.flatnonzero(every)
+    return Weights(held, every[held].astype(np.float32), bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Weights:
