@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from postloom.llm.kernels import mix
 
 
+BATCH_BYTES = 4 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see, as spark.checkpoint.dir names it; one is set only where it is unset."""
     sc = spark.sparkContext
@@ -21,6 +24,12 @@ def shared_folder(spark: SparkSession) -> str:
     return base or "/tmp/postloom-checkpoints"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Has the session hand texts to Python in batches of about BATCH_BYTES: rows may be long, and an executor holds
+    several batches for each of its tasks."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df cut from its lineage: written as Parquet to a new path in the shared folder and read again, so that a
     lost executor costs no earlier work. Like checkpoints, these tables stay until the folder's owner clears it."""

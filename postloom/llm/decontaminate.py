@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from postloom.llm.common import union
+from postloom.llm.common import small_batches, union
 from postloom.llm.kernels import folded
 
 Q = 8
@@ -204,6 +204,7 @@ def _chunks(benchmark: DataFrame) -> list[DataFrame]:
 def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars: int = MIN_CHARS) -> DataFrame:
     """Rows (doc_id, item_id, start, end, edits): every place where a document (doc_id, text) holds a benchmark item
     (item_id, text); code points, end exclusive."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= max(Q, min_chars // 2))
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     return union([_matches(texts, chunk, rate, min_chars) for chunk in _chunks(items)])

@@ -135,10 +135,13 @@ def folded(cp: np.ndarray) -> np.ndarray:
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of UTF-8 rows laid end to end, and each row's first one."""
+    """Code points of UTF-8 rows laid end to end, and each row's first one. Bytes that are no UTF-8 give one for each that
+    could begin a character."""
     cp = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), np.uint32)
     begins = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data & 0xC0) != 0x80, out=begins[1:])
+    if len(cp) != begins[-1]:
+        cp = data[(data & 0xC0) != 0x80].astype(np.uint32)
     return cp, begins[offsets]
 
 

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
+from postloom.llm.common import small_batches
 
 BITS = 16
 ORDERS = (1, 2, 3)  # each builds on the one before
@@ -189,6 +190,7 @@ def temperature(logits: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     """A model of the documents (doc_id, text, lang) that learnable() admits."""
+    small_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).toArrow()
@@ -221,6 +223,7 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, lang_pred, score."""
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("written"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
     if model is None:
         return texts.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))

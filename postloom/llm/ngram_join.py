@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
-from postloom.llm.common import bitmap_of, components, id_hash, stored
+from postloom.llm.common import bitmap_of, components, id_hash, small_batches, stored
 
 SHINGLE = 5
 BINS = 16
@@ -45,7 +45,7 @@ COMMON_SEEN = 8  # a shingle seen so often in the sample counts as common
 COMMON_MAX = 1 << 18  # bound of the list of common shingles (2 MB)
 LEADER_ROUNDS = 2
 FLUSH = 1 << 16  # tree rows looked at together
-ID_BITS = 27
+ID_BITS = 24
 
 _BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 
@@ -343,6 +343,7 @@ def _tree_candidates(entries: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs)
     features = stored(_features(texts, common_shingles(texts)))
     classes = stored(features.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id")))

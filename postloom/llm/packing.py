@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import stored
+from postloom.llm.common import small_batches, stored
 
 CAPACITY = 2048
 END = 0
@@ -79,6 +79,8 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
     """Rows (doc_id, piece, start, length, ids_crc32) of the documents (doc_id, text)."""
 
+    small_batches(docs.sparkSession)
+
     def tokenized(batches):
         vocabulary = _vocabulary(tokenizer)
         for batch in batches:

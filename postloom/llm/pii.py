@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
 from postloom.llm.char_tagger import PAD, WINDOW, Tagger, classes
+from postloom.llm.common import small_batches
 
 KINDS = ("email", "ip", "card", "phone")
 STRIDE = WINDOW // 2
@@ -192,6 +193,7 @@ def _drawn(contexts: np.ndarray, rng: np.random.Generator):
 
 def train(docs: DataFrame) -> Tagger | None:
     """A tagger from the base spans of a bounded sample of docs (doc_id, text)."""
+    small_batches(docs.sparkSession)
     part = min(1.0, SAMPLE_DOCS / max(1, docs.count()))
     texts = docs.select(F.xxhash64("doc_id", "text").alias("place"), F.col("text").cast("string").alias("text")).where("text is not null")
     near = texts.where(F.pmod("place", F.lit(1 << 30)) < int(part * (1 << 30)))
@@ -212,6 +214,7 @@ def written(spans: list[tuple[str, int, int]]) -> str:
 def find_spans(docs: DataFrame, tagger: Tagger | None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_email, n_ip, n_card, n_phone, base, spans (both as
     kind:start:end by start, then kind, joined by commas)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Reader(tagger))
 
     def found(batches):
@@ -239,6 +242,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def redact(docs: DataFrame, tagger: Tagger | None, text_col: str = "text") -> DataFrame:
     """docs, all rows and columns, with every span of text_col replaced by its kind in brackets."""
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(Reader(tagger)), docs.columns.index(text_col)
 
     def redacted(batches):

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
-from postloom.llm.common import bitmap_of, id_hash, stored
+from postloom.llm.common import bitmap_of, id_hash, small_batches, stored
 from postloom.llm.fm_index import FmIndex
 
 WINDOW = 13
@@ -216,6 +216,7 @@ def _minima(distinct: DataFrame) -> DataFrame:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_words, n_removed, kept (the words left, joined by one space)."""
+    small_batches(docs.sparkSession)
     texts = _texts(docs)
     sc = docs.sparkSession.sparkContext
     shared = _anchors(texts).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")

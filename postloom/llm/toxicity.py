@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
+from postloom.llm.common import small_batches
 
 BITS = 20
 HEADS = (5, 7)
@@ -112,6 +113,7 @@ def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Weights
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Weights:
     """Weights from the labelled rows (doc_id, label) that learnable() admits."""
+    small_batches(docs.sparkSession)
     marked = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y"))
         .where(learnable(F.col("doc_id")) & F.col("y").isNotNull())
@@ -148,6 +150,7 @@ def _margins(table: np.ndarray, bias: float, texts: pa.Array) -> np.ndarray:
 
 def score(docs: DataFrame, weights: Weights) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, score."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def scored(batches):
@@ -168,6 +171,7 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, weights: Weights, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns, whose text is not predicted toxic."""
+    small_batches(docs.sparkSession)
     shared, at = docs.sparkSession.sparkContext.broadcast(weights), docs.columns.index(text_col)
 
     def clean(batches):
