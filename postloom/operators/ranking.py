@@ -135,7 +135,8 @@ def diverse(hits: DataFrame, query: str, id_col: str, score: str, text_col: str,
     placed = fields.withColumn("_n", F.row_number().over(by))
     kinds = ", ".join(f"`{c}` {fields.schema[c].dataType.simpleString()}" for c in (query, id_col, score))
     first = placed.where(F.col("_n") <= most).drop("_n").groupBy(query).applyInPandas(pick, f"{kinds}, place long")
-    return first.unionByName(placed.where(F.col("_n") > most).select(query, id_col, score, F.col("_n").cast("long").alias("place")))
+    rest = fields.drop(text_col).withColumn("_n", F.row_number().over(by)).where(F.col("_n") > most)  # ranked without their texts
+    return first.unionByName(rest.select(query, id_col, score, F.col("_n").cast("long").alias("place")))
 
 
 def within_budget(rows: DataFrame, size: Column, budget: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postloom.functions import vectors as V
@@ -174,11 +173,10 @@ def h11_jaccard_pairs(spark, sf_dir):
 
 @query()
 def h11_diverse(spark, sf_dir):
-    """Maximal marginal relevance for each language's 200 longest documents; no SQL, as picks depend on each other."""
+    """Maximal marginal relevance for each language's 200 longest documents, all others after them by length; no SQL, as
+    picks depend on each other."""
     docs = table(spark, sf_dir, "documents").select("lang", "doc_id", (F.col("n_chars") / 20000.0).alias("score"), "text")
-    by = Window.partitionBy("lang").orderBy(F.desc("score"), "doc_id")
-    top = docs.withColumn("n", F.row_number().over(by)).where("n <= 200").drop("n")
-    return ranking.diverse(top, "lang", "doc_id", "score", "text")
+    return ranking.diverse(docs, "lang", "doc_id", "score", "text")
 
 
 @query(
