@@ -16,3 +16,9 @@ def test_diverse_places_every_document(spark, tmp_path):
     assert places == {"en": list(range(1, 231)), None: list(range(1, 11))}
     rest = sorted((r["place"], r["doc_id"]) for r in got if r["lang"] == "en" and r["place"] > 200)
     assert rest == [(i + 1, i) for i in range(200, 230)]
+
+
+def test_snippets_of_every_document(spark, tmp_path):
+    _documents(spark, tmp_path, [(1, "see the fox", "en", "s", 11), (2, "das the Haus", "de", "s", 12), (3, "the end", None, "s", 7), (4, None, "fr", "s", None)])
+    got = {r["doc_id"]: r["snippet"] for r in catalog.QUERIES["x08_snippets"](spark, str(tmp_path)).collect()}
+    assert got == {1: "see [[the]] fox", 2: "das [[the]] Haus", 3: "[[the]] end", 4: None}
