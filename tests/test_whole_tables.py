@@ -1,5 +1,7 @@
 """Queries without SQL whose results must cover their whole tables."""
 
+import numpy as np
+
 from postloom.plans import catalog
 
 
@@ -22,3 +24,18 @@ def test_snippets_of_every_document(spark, tmp_path):
     _documents(spark, tmp_path, [(1, "see the fox", "en", "s", 11), (2, "das the Haus", "de", "s", 12), (3, "the end", None, "s", 7), (4, None, "fr", "s", None)])
     got = {r["doc_id"]: r["snippet"] for r in catalog.QUERIES["x08_snippets"](spark, str(tmp_path)).collect()}
     assert got == {1: "see [[the]] fox", 2: "das [[the]] Haus", 3: "[[the]] end", 4: None}
+
+
+def test_approximate_neighbours_recall(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(8, 64))
+    vectors = centres[rng.integers(0, 8, 400)] * 0.7 + rng.normal(size=(400, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors.astype(np.float32))]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {(r["query_id"], r["vec_id"]) for r in catalog.QUERIES["v06_approximate_nearest"](spark, str(tmp_path)).collect()}
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    distance = np.sqrt(np.maximum(0, 2 - 2 * unit[::20] @ unit.T))
+    near = {(20 * int(a), int(b)) for a, b in zip(*np.nonzero(distance < 1.2), strict=True)}
+    others = {p for p in near if p[0] != p[1]}
+    assert {q for q, _ in got} == set(range(0, 400, 20)) and got <= near
+    assert len(others) > 500 and len(got & others) >= 0.9 * len(others)
