@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 from functools import reduce
+from itertools import combinations, pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.sources.tables import stored
+
 #: The relations of the ontology, and spellings that stand for one of them.
 RELATIONS = (
     "SENT_EMAIL_TO CC_TO FORWARDED_TO WORKS_FOR LOCATED_IN DEPARTMENT_OF OWNS_POLICY ISSUED_BY COVERED_BY CLAIMS_ON HAS_VALUE "
@@ -25,6 +29,8 @@ SAME_RELATION = {
     "ATTACHES": "ATTACHED_TO",
 }
 TRIGRAM_LEAST, HOP_MOST, DAMPING = 0.3, 100, 0.85
+#: Bounds of a task's work, not of results: keys of a name for one length, and names folded at once.
+KEYS_MOST, FOLD_AT_ONCE = 500, 4096
 
 
 def relation(name: Column) -> Column:
@@ -90,8 +96,6 @@ def conversations_of(edges: DataFrame, entities: DataFrame, limit: int) -> DataF
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = DAMPING) -> DataFrame:
     """Rows (node_id, rank): power iteration over all edges, the weight of nodes without out-edges shared by all. Every few
     rounds the ranks are written to the shared folder, so that plans stay short and lost executors cost little."""
-    from postloom.sources.tables import stored
-
     out_degree = edges.groupBy("source_id").agg(F.sum("weight").alias("total"))
     links = stored(edges.join(out_degree, "source_id").groupBy("source_id", "target_id").agg((F.sum("weight") / F.first("total")).alias("share")))
     n = nodes.count()
@@ -122,33 +126,122 @@ def merge_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return moved.where("source_id <> target_id").groupBy("source_id", "target_id", "relation").agg(F.round(F.sum("weight"), 6).alias("weight"))
 
 
-def resolve_people(nodes: DataFrame, least: float = 0.92) -> DataFrame:
-    """Rows (old_id, new_id) of nodes to merge: people with one e-mail address, then names of a kind and first letter whose
-    similarity ratio is at least `least`, longest name first. Names are compared within blocks of kind, first letters
-    and length class, so that no task gets all names."""
+def _shared_keys(n: int, m: int, least: float) -> tuple[int, int] | None:
+    """How many characters a name of n and one of m (n >= m) may have unmatched at a ratio over `least`; none where no
+    two such names reach it."""
+    matched = next((k for k in range(m + 1) if 2.0 * k / (n + m) > least), None) if n + m else None
+    return None if matched is None else (n - matched, m - matched)
+
+
+def _name_keys(name: str, lengths: list[int], least: float) -> set[tuple[bool, str]]:
+    """(as the longer name, key) of a name: any two names, of the lengths given, whose ratio is over `least` share a key,
+    one as the longer and one as the shorter (names of one length either way). Matched characters are a common
+    subsequence, so that both names have it among what is left when they lose their unmatched characters; where those
+    are too many, one of the shorter name's pieces (one more than characters unmatched) is in the other whole, moved by
+    no more than those."""
+    out = set()
+    for other in lengths:
+        for longer in (True, False):
+            n, m = (len(name), other) if longer else (other, len(name))
+            if n < m or (lost := _shared_keys(n, m, least)) is None:
+                continue
+            if math.comb(n, lost[0]) <= KEYS_MOST and math.comb(m, lost[1]) <= KEYS_MOST:
+                kept = len(name) - lost[not longer]
+                out |= {(longer, f"{n}:{m}:{''.join(x)}") for x in combinations(name, kept)}
+                continue
+            pieces = sum(lost) + 1
+            cuts = [m * k // pieces for k in range(pieces + 1)]
+            for k, (start, end) in enumerate(pairwise(cuts)):
+                moves = range(-lost[1], lost[0] + 1) if longer else (0,)
+                out |= {(longer, f"{n}:{m}:{k}:{name[start + x : end + x]}") for x in moves if start + x >= 0 and end + x <= len(name)}
+    return out
+
+
+def _similar_names(names: DataFrame, least: float) -> DataFrame:
+    """Rows (a, a_size, b, b_size) of names (id, size, kind, low; each once in a kind) whose ratio is over `least`, a
+    before b in the order of folding."""
     import difflib
 
     import pandas as pd
 
+    lengths = sorted(r[0] for r in names.select(F.length("low")).distinct().collect())  # few
+
+    def keyed(batches):
+        for pdf in batches:
+            rows = [(i, size, kind, len(low), longer, key) for i, size, kind, low in pdf.itertuples(index=False) for longer, key in _name_keys(low, lengths, least)]
+            yield pd.DataFrame(rows, columns=["id", "size", "kind", "n", "longer", "key"])
+
+    def similar(batches):
+        for pdf in batches:
+            matcher = difflib.SequenceMatcher()
+            keep = []
+            for a, b in zip(pdf["a_low"], pdf["b_low"], strict=True):
+                matcher.set_seqs(a, b)
+                keep.append(matcher.quick_ratio() > least and matcher.ratio() > least)
+            yield pdf.loc[keep, ["a", "a_size", "b", "b_size"]]
+
+    keys = names.select("id", "size", "kind", "low").mapInPandas(keyed, "id long, size int, kind string, n int, longer boolean, key string")
+    keys = stored(keys.withColumn("key", F.xxhash64("kind", "key")).drop("kind"))
+    x, y = (keys.where(side).select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "size", "n"))) for p, side in (("x", "longer"), ("y", "not longer")))
+    first = "(x_size > y_size or (x_size = y_size and x_id < y_id))"
+    both = x.join(y, "key").where(f"x_id <> y_id and (x_n <> y_n or {first})")
+    ends = [F.expr(f"if({first}, {p}_{c}, {q}_{c})").alias(out) for p, q, end in (("x", "y", "a"), ("y", "x", "b")) for c, out in (("id", end), ("size", f"{end}_size"))]
+    pairs = both.select(*ends).distinct()
+    for end in ("a", "b"):
+        pairs = pairs.join(names.select(F.col("id").alias(end), F.col("low").alias(f"{end}_low"), F.col("kind").alias(f"{end}_kind")), end)
+    pairs = pairs.where("a_kind = b_kind").select("a", "a_size", "b", "b_size", "a_low", "b_low")
+    return pairs.mapInPandas(similar, "a long, a_size int, b long, b_size int")
+
+
+def _folded(links: DataFrame) -> DataFrame:
+    """Rows (b, a) of names to merge for links (a, a_size, b, b_size): in order, a name that no kept one before it links
+    to is kept, and another goes to the first kept one that does. In each round the names without an undecided link
+    to one before them are kept, and of the first FOLD_AT_ONCE undecided ones those that a pass in order keeps."""
+    import pandas as pd
+
+    def leading(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["b_size", "b", "a"], ascending=[False, True, True])
+        lost: set[int] = set()
+        for a, b in zip(pdf["a"], pdf["b"], strict=True):  # a comes before b, so that it is decided
+            if a not in lost:
+                lost.add(b)
+        return pd.DataFrame({"id": pd.Series(sorted(lost), dtype="int64")})
+
+    undecided, gone = links, []
+    while not undecided.isEmpty():
+        ends = undecided.select(F.col("a").alias("id"), F.col("a_size").alias("size")).union(undecided.select("b", "b_size")).distinct()
+        head = stored(ends.orderBy(F.desc("size"), "id").limit(FOLD_AT_ONCE))
+        ids = head.select("id")
+        inner = undecided.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
+        lost = inner.groupBy().applyInPandas(leading, "id long")
+        free = ends.select("id").join(undecided.select(F.col("b").alias("id")), "id", "left_anti")
+        kept = stored(ids.join(lost, "id", "left_anti").union(free).distinct())
+        merged = stored(undecided.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select("b").distinct())
+        gone.append(merged)
+        decided = kept.union(merged).withColumnRenamed("id", "a")
+        undecided = stored(undecided.join(decided, "a", "left_anti").join(merged, "b", "left_anti"))
+    if not gone:
+        return links.select("b", "a")
+    lost = stored(reduce(DataFrame.union, gone))
+    hits = links.join(lost.select(F.col("b").alias("a")), "a", "left_anti")
+    return hits.groupBy("b").agg(F.min_by("a", F.struct(-F.col("a_size"), F.col("a"))).alias("a"))
+
+
+def resolve_people(nodes: DataFrame, least: float = 0.92) -> DataFrame:
+    """Rows (old_id, new_id) of nodes to merge: people with one e-mail address, then names of a kind whose similarity
+    ratio is over `least`, longest name first (then the smallest id). Equal names are one; the others are compared where
+    they share a key that all pairs over the ratio share. Null names are like none."""
     key = F.lower(F.trim("email"))
     by = Window.partitionBy(key).orderBy(F.desc(F.length("name")), "node_id")
     first = nodes.where((F.col("kind") == "PERSON") & (F.coalesce(key, F.lit("")) != "")).select(F.col("node_id").alias("old_id"), F.first("node_id").over(by).alias("new_id"))
     by_mail = first.where("old_id <> new_id")
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["size", "node_id"], ascending=[False, True])
-        kept, out = [], []
-        for row in pdf.itertuples():
-            hit = next((k for k, name in kept if difflib.SequenceMatcher(None, name, row.low).ratio() > least), None)
-            if hit is None:
-                kept.append((row.node_id, row.low))
-            else:
-                out.append((row.node_id, hit))
-        return pd.DataFrame(out, columns=["old_id", "new_id"]).astype("int64") if out else pd.DataFrame({"old_id": pd.Series(dtype="int64"), "new_id": pd.Series(dtype="int64")})
-
-    rest = nodes.join(by_mail.select(F.col("old_id").alias("node_id")), "node_id", "left_anti").where(F.col("kind").isin("PERSON", "ORGANIZATION"))
-    blocks = rest.select("node_id", "kind", F.lower("name").alias("low"), F.length("name").alias("size")).withColumn("block", F.concat_ws(":", "kind", F.left("low", F.lit(4)), (F.col("size") / 8).cast("int")))
-    by_name = blocks.groupBy("block").applyInPandas(fold, "old_id long, new_id long")
+    rest = nodes.join(by_mail.select(F.col("old_id").alias("node_id")), "node_id", "left_anti").where(F.col("kind").isin("PERSON", "ORGANIZATION") & F.col("name").isNotNull())
+    rest = stored(rest.select(F.col("node_id").cast("long").alias("node_id"), "kind", F.lower("name").alias("low"), F.length("name").alias("size")))
+    names = stored(rest.groupBy("kind", "low").agg(F.min(F.struct((-F.col("size")).alias("size"), F.col("node_id").alias("id"))).alias("m")).select("kind", "low", (-F.col("m.size")).cast("int").alias("size"), "m.id"))
+    into = _folded(stored(_similar_names(names, least)))
+    found = rest.join(names.select("kind", "low", F.col("id").alias("b")), ["kind", "low"]).join(into, "b", "left")
+    by_name = found.select(F.col("node_id").alias("old_id"), F.coalesce("a", "b").alias("new_id")).where("old_id <> new_id")
     return by_mail.unionByName(by_name)
 
 
