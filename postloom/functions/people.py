@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.functions.text import trimmed
@@ -52,3 +52,9 @@ def people_in_text(text: Column) -> Column:
     keys = F.transform(known, lambda p: p["smtp"])
     first = F.filter(F.transform(known, lambda p, i: F.struct(p.alias("p"), i.alias("i"))), lambda x: F.array_position(keys, x["p"]["smtp"]) == x["i"] + 1)
     return F.array_sort(F.transform(first, lambda x: F.struct(x["p"]["smtp"].alias("smtp"), _name(x["p"]["raw"], x["p"]["smtp"]).alias("name"), x["p"]["role"].alias("role"))))
+
+
+def backfilled(conversations: DataFrame) -> DataFrame:
+    """conversations with participants from their text where they have none, null or empty; all other rows as they are."""
+    none = F.coalesce(F.size("participants"), F.lit(0)) <= 0
+    return conversations.withColumn("participants", F.when(none, people_in_text(F.col("text"))).otherwise(F.col("participants")))

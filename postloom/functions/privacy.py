@@ -65,6 +65,58 @@ ROLE_LINE = r"^\s*(?:system|assistant|user|human|instruction)\s*:"
 ROLE_TAGS = "system user assistant instruction prompt context tool".split()
 JAILBREAKS = [r"ignore all previous instructions", r"you are now in.*mode", r"act as if you are", r"your new instructions are"]
 INPUT_MOST = 2048
+LINE_PATTERNS = [
+    "ignore previous instruction",
+    "disregard earlier instruction",
+    "override these rules",
+    "forget all previous",
+    "disregard all prior",
+    "new instructions:",
+    "updated instructions:",
+    "system prompt:",
+    "system:",
+    "assistant:",
+    "### instruction",
+    "### system",
+    "you are chatgpt",
+    "you are now",
+    "act as",
+    "pretend you are",
+    "as an ai language model",
+    "as a large language model",
+    "run code:",
+    "execute:",
+    "eval(",
+    "exec(",
+    "import os",
+    "import sys",
+    "subprocess",
+    "__import__",
+    "developer mode",
+    "jailbreak",
+    "debug mode",
+    "admin mode",
+    "god mode",
+    "dan mode",
+    "show me your prompt",
+    "what are your instructions",
+    "reveal your system prompt",
+    "print your instructions",
+    "{{",
+    "${",
+    "<!--",
+    "<script",
+    "javascript:",
+    "user:",
+    "human:",
+    "base64",
+    "decode(",
+    "atob(",
+    "stop output",
+    "end instructions",
+    "ignore above",
+]
+LINE_STARTS = ["system:", "assistant:", "user:", "instruction:", "### instruction", "```"]
 EMAIL_FORMAT = r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}$"
 # ---- end of fixed values ----
 
@@ -79,6 +131,54 @@ def redact_pii(text: Column) -> Column:
     return reduce(lambda c, kp: F.regexp_replace(c, kp[1], f"<<{kp[0]}>>"), PII_PATTERNS, text)
 
 
+SPAN = "struct<kind:string,start:int,end:int>"
+
+
+def pattern_spans(text: Column, kind: str, pattern: str) -> Column:
+    """Where a pattern is found, as an array of (kind, start, end), from 0 and end exclusive: what stands between the finds
+    gives their places."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    between = F.split(text, pattern, -1)
+    lengths = F.transform(F.arrays_zip(found.alias("f"), between.alias("b")), lambda x: F.struct(F.length(x["b"]).alias("b"), F.coalesce(F.length(x["f"]), F.lit(0)).alias("f")))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["b"]
+        one = F.array(F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + x["f"]).alias("end")))
+        return F.struct((start + x["f"]).alias("at"), F.when(x["f"] > 0, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    return F.aggregate(lengths, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda acc: acc["out"])
+
+
+def merged_spans(*lists: Column) -> Column:
+    """The spans of several detectors, first ones first: a span that overlaps one taken before it is left out. By start."""
+    none = F.array().cast(f"array<{SPAN}>")
+    every = F.concat(*(F.coalesce(x, none) for x in lists))
+    kept = F.aggregate(every, none, lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["end"]) & (x["end"] > y["start"])), acc).otherwise(F.concat(acc, F.array(x))))
+    return F.array_sort(kept, lambda x, y: x["start"] - y["start"])
+
+
+def redact_spans(text: Column, spans: Column) -> Column:
+    """text with spans (by start, apart) replaced by their kinds."""
+
+    def add(acc: Column, x: Column) -> Column:
+        piece = F.concat(acc["out"], F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit("<<"), x["kind"], F.lit(">>"))
+        return F.struct(x["end"].alias("at"), piece.alias("out"))
+
+    return F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+
+
+def scrubbed_lines(text: Column) -> Column:
+    """The older scrubber: without lines that hold a known pattern or start like a role."""
+    low = lambda x: F.lower(F.trim(x))
+
+    def bad(x: Column) -> Column:
+        held = reduce(lambda a, b: a | b, (F.contains(low(x), F.lit(p)) for p in LINE_PATTERNS))
+        return (low(x) != "") & (held | reduce(lambda a, b: a | b, (F.startswith(low(x), F.lit(p)) for p in LINE_STARTS)))
+
+    return F.array_join(F.filter(F.split(text, "\r?\n"), lambda x: ~bad(x)), "\n")
+
+
 def _any(tests: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, tests)
 

@@ -7,6 +7,7 @@ Patterns are written for both Java's and RE2's dialect; Java takes them with (?d
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
@@ -54,9 +55,7 @@ BOILERPLATE = [
     "classification : interne",
     "classification : internal",
     "classification : public",
-    "a member of the nasco insurance group",
 ]
-DOMAIN_NOISE = ["CHALHOUBGROUP.COM", "CAREERS.CHALHOUBGROUP.COM"]
 BOILERPLATE_LENGTH = 80
 SOLE_URL = r"^(?i:https?://[^\s<>\"{}|\\^`\[\]]+)$"
 SOLE_WWW = r"^www\.[A-Za-z0-9.-]+$"
@@ -148,23 +147,38 @@ def strip_signature(text: Column) -> Column:
 BOILERPLATE_ANY = "|".join(re.escape(k).replace("\\ ", " ").replace("'", "\\x27") for k in BOILERPLATE)
 
 
-def drop_boilerplate_lines(text: Column) -> Column:
-    """Without lines that are a sole URL, noise, a known notice, or a long run of separated address parts. Each line's
-    bare form is made once, as lambdas share no expressions."""
+def drop_boilerplate_lines(text: Column, own_phrases: Sequence[str] = (), own_lines: Sequence[str] = ()) -> Column:
+    """Without lines that are a sole URL, a known notice, or a long run of separated address parts. An organisation's own
+    notices (lower-case phrases) and noise lines (upper-case) are parameters. Each line's bare form is made once, as
+    lambdas share no expressions, and cheap tests come before patterns."""
+    any_phrase = BOILERPLATE_ANY + "".join("|" + re.escape(p).replace("\\ ", " ") for p in own_phrases)
     bare = F.transform(F.split(text, "\n"), lambda x: F.struct(x.alias("line"), trimmed(x).alias("bare")))
 
     def kept(x: Column) -> Column:
         b = x["bare"]
         parts = (F.length(b) > BOILERPLATE_LENGTH) & ~F.contains(b, F.lit("@")) & (F.regexp_count(b, F.lit(SEPARATOR_RUN)) >= 2)
-        return (b == "") | ~(F.rlike(b, F.lit(SOLE_URL)) | F.upper(b).isin(DOMAIN_NOISE) | F.rlike(b, F.lit(SOLE_WWW)) | F.rlike(F.lower(b), F.lit(BOILERPLATE_ANY)) | parts)
+        url = F.contains(b, F.lit("://")) & F.rlike(b, F.lit(SOLE_URL))
+        www = F.startswith(b, F.lit("www.")) & F.rlike(b, F.lit(SOLE_WWW))
+        gone = url | www | F.rlike(F.lower(b), F.lit(any_phrase)) | parts
+        return (b == "") | ~(gone | F.upper(b).isin(list(own_lines)) if own_lines else gone)
 
     return F.array_join(F.transform(F.filter(bare, kept), lambda x: x["line"]), "\n")
 
 
+def _once(value: Column, use) -> Column:
+    """use(value) with value made once, however often it is used: a lambda's variable is a value."""
+    return F.transform(F.array(value), use)[0]
+
+
 def redact_contacts(text: Column) -> Column:
-    out = F.regexp_replace(text, EMAIL, "[EMAIL_REDACTED]")
-    for pattern in (URL, WWW):
-        out = F.regexp_replace(out, pattern, "[URL_REDACTED]")
+    """Addresses and links replaced; a pattern only runs over texts that hold its mark."""
+
+    def where_marked(mark: str, pattern: str, new: str):
+        return lambda t: F.when(F.contains(F.lower(t), F.lit(mark)), F.regexp_replace(t, pattern, new)).otherwise(t)
+
+    out = text
+    for mark, pattern, new in (("@", EMAIL, "[EMAIL_REDACTED]"), ("://", URL, "[URL_REDACTED]"), ("www.", WWW, "[URL_REDACTED]")):
+        out = _once(out, where_marked(mark, pattern, new))
     return out
 
 

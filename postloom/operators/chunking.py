@@ -109,7 +109,8 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = MAX_TOKENS,
     def cut(batches):
         for pdf in batches:
             out = []
-            for i, text in zip(pdf["id"], pdf["text"], strict=True):
+            ids = pdf["id"].tolist() if pdf["id"].dtype != object else pdf["id"]
+            for i, text in zip(ids, pdf["text"], strict=True):
                 own = scaled(max(1, len(text) // 4), size, overlap) if scale else (size, overlap)
                 spans = quoted_spans(text)
                 out += [(i, k, s, e, chunk_kind(s, e, spans), text[s:e]) for k, (s, e) in enumerate(windows(text, own[0], least, own[1]))]
@@ -118,6 +119,23 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = MAX_TOKENS,
     return rows.mapInPandas(cut, f"id {rows.schema['id'].dataType.simpleString()}, position int, char_start int, char_end int, kind string, text string")
 
 
+def token_starts(text: Column) -> Column:
+    """Where each token of a text begins, and where the last one ends: its characters dealt evenly, the first tokens one
+    more where they do not go up."""
+    n, size = token_count(text), F.length(text)
+    each, more = F.floor(size / F.greatest(n, F.lit(1))), size % F.greatest(n, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), n), lambda i: (i * each + F.least(i, more)).cast("int"))
+
+
+def chunked_sections(docs: DataFrame, id_col: str, sections_col: str, size: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP) -> DataFrame:
+    """Rows (id, section, section_path, position, char_start, char_end, kind, text) of documents with sections
+    (array<struct<path, text>>): each is chunked by itself, and chunks never cross one."""
+    one = docs.select(F.col(id_col).alias("doc"), F.posexplode(sections_col).alias("section", "s"))
+    own = F.struct("doc", "section", F.col("s.path").alias("path"))
+    out = chunked(one.select(own.alias("id"), F.col("s.text").alias("text")), "id", "text", size, least, overlap)
+    return out.select(F.col("id.doc").alias("id"), "id.section", F.col("id.path").alias("section_path"), "position", "char_start", "char_end", "kind", "text")
+
+
 def fixed_stride(docs: DataFrame, id_col: str, text_col: str, chars: int, stride: int) -> DataFrame:
     """The variant without boundaries, all native: rows (id, position, char_start, char_end, text)."""
     n = F.length(text_col)

@@ -108,3 +108,33 @@ def resolve(f: Filters, conversations: DataFrame) -> DataFrame | None:
     if not (f.subject or f.after or f.before or f.people):
         return None
     return conversations.where(conversation_filter(f, F.col("subject"), F.col("latest_date"), F.col("participants"))).select("conversation_id")
+
+
+def merged_ids(conversation_ids: Column, thread_ids: Column) -> Column:
+    """Both id lists as one, in order, each id once and none empty; null where neither is given."""
+    none = F.array().cast("array<string>")
+    both = F.concat(F.coalesce(conversation_ids, none), F.coalesce(thread_ids, none))
+    out = F.array_distinct(F.filter(both, lambda x: F.coalesce(x, F.lit("")) != ""))
+    return F.when(conversation_ids.isNull() & thread_ids.isNull(), F.lit(None)).otherwise(out)
+
+
+def narrowed(rows: DataFrame, ids: DataFrame | None, key: str) -> DataFrame:
+    """rows of the ids: all of them where ids is None, none of them where ids is empty."""
+    return rows if ids is None else rows.join(ids.select(key), key, "left_semi")
+
+
+def subject_filter(f: Filters, subject: Column, attachment: Column, file_type: Column, date: Column) -> Column:
+    """The older variant on rows of messages: excluded words are looked for in the subject, and a row without a file type
+    passes any type filter."""
+    low, kind = F.lower(F.coalesce(subject, F.lit(""))), F.regexp_replace(F.lower(F.coalesce(file_type, F.lit(""))), r"^\.+", "")
+    tests = [F.contains(low, F.lit(t)) for t in f.subject] + [~F.contains(low, F.lit(t)) for t in f.exclude]
+    if f.has_attachment is not None:
+        held = F.coalesce(attachment, F.lit("")) != ""
+        tests.append(held if f.has_attachment else ~held)
+    if f.types:
+        tests.append((kind == "") | kind.isin(sorted(f.types)))
+    if f.after:
+        tests.append(F.coalesce(date >= F.lit(f.after.replace(tzinfo=None)), F.lit(False)))
+    if f.before:
+        tests.append(F.coalesce(date <= F.lit(f.before.replace(tzinfo=None)), F.lit(False)))
+    return _all(tests)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postloom.sources.tables import stored
 
-#: The relations of the ontology, and spellings that stand for one of them.
+# ---- fixed values: the relations of the ontology, and spellings that stand for one of them ----
 RELATIONS = (
     "SENT_EMAIL_TO CC_TO FORWARDED_TO WORKS_FOR LOCATED_IN DEPARTMENT_OF OWNS_POLICY ISSUED_BY COVERED_BY CLAIMS_ON HAS_VALUE "
     "OWES PAID_BY DUE_ON VALID_UNTIL EFFECTIVE_FROM CURRENT_STATUS CHANGED_TO ASSIGNED_TO REQUESTED_BY APPROVED_BY "
@@ -28,6 +28,7 @@ SAME_RELATION = {
     "HAS_STATUS": "CURRENT_STATUS",
     "ATTACHES": "ATTACHED_TO",
 }
+# ---- end of fixed values ----
 TRIGRAM_LEAST, HOP_MOST, DAMPING = 0.3, 100, 0.85
 #: Bounds of a task's work, not of results: keys of a name for one length, and names folded at once.
 KEYS_MOST, FOLD_AT_ONCE = 500, 4096

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: The words that an English text search leaves out, and the field weights.
+# ---- fixed values: the words that an English text search leaves out, and the field weights ----
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its "
     "itself they them their theirs themselves what which who whom this that these those am is are was were be been being have "
@@ -19,6 +20,7 @@ STOP_WORDS = (
     "just don should now"
 ).split()
 WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2, "D": 0.1}
+# ---- end of fixed values ----
 SNIPPET_WORDS, SNIPPET_FRAGMENTS = 15, 2
 
 
@@ -114,6 +116,48 @@ def cover_density(hits: DataFrame, key: str, groups: list[list[str]]) -> DataFra
     return listed.select(key, F.round(density("w"), 9).alias("rank")).where("rank > 0")
 
 
+def stemmed(groups: list[list[str]]) -> list[list[str]]:
+    return [sorted({stem(w) for w in g}) for g in groups]
+
+
+def _may_hold(text: Column, groups: list[list[str]]) -> Column:
+    """Whether a text holds the beginning of a word of every group: no other text can match. A word begins with its stem,
+    but for the stem's last letter."""
+    out, low = F.lit(True), F.lower(text)
+    for g in groups:
+        out = out & reduce(lambda a, b: a | b, (F.contains(low, F.lit(s[:-1] if len(s) > 1 else s)) for s in g))
+    return out
+
+
+def ranked_search(rows: DataFrame, key: str, fields: dict[str, str], groups: list[list[str]], limit: int) -> DataFrame:
+    """Rows (key, rank) of the best matches by cover density; groups of words, any of a group and all groups. Only texts
+    that may match are cut into words."""
+    wanted = stemmed(groups)
+    if not wanted:
+        return rows.select(key, F.lit(0.0).alias("rank")).where("false")
+    joined = F.concat_ws(" ", *(F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields))
+    near = rows.where(_may_hold(joined, wanted))
+    return cover_density(token_table(near, key, fields), key, wanted).orderBy(F.desc("rank"), key).limit(limit)
+
+
+def escaped_html(text: Column) -> Column:
+    out = text
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def conversation_search(conversations: DataFrame, query: str, synonyms: dict[str, list[str]] | None = None, limit: int = 50) -> DataFrame:
+    """Rows (conversation_id, subject, score, snippet) of the conversations whose subject and summary match best; the
+    snippet is escaped for HTML. A blank query finds nothing."""
+    groups = expanded(query, synonyms or {})
+    rows = conversations.select("conversation_id", "subject", "summary")
+    best = ranked_search(rows, "conversation_id", {"subject": "A", "summary": "B"}, groups, limit)
+    text = F.concat(F.coalesce("subject", F.lit("")), F.lit(" | "), F.coalesce("summary", F.lit("")))
+    shown = rows.join(F.broadcast(best), "conversation_id")  # at most limit rows
+    return shown.select("conversation_id", F.coalesce("subject", F.lit("")).alias("subject"), F.col("rank").alias("score"), escaped_html(snippet(text, [w for g in groups for w in g])).alias("snippet"))
+
+
 def snippet(text: Column, words: list[str]) -> Column:
     """Up to two fragments of some words around hits, hits in double brackets."""
 

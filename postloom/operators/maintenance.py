@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -80,17 +82,28 @@ def claim_words(text: Column) -> Column:
 
 
 def keyword_support(claims_: DataFrame, facts: DataFrame) -> DataFrame:
-    """Rows (claim_id, score, fact_id, supported): each claim's best fact by shared words over all words. Only pairs that
-    share a word meet; a word in very many facts is counted by an aggregate, not by listing them."""
-    c = claims_.select("claim_id", claim_words(F.col("claim")).alias("w")).withColumn("nc", F.size("w"))
-    f = facts.select("fact_id", claim_words(F.col("fact")).alias("w")).withColumn("nf", F.size("w"))
-    shared = c.select("claim_id", "nc", F.explode("w").alias("word")).join(f.select("fact_id", "nf", F.explode("w").alias("word")), "word")
-    pairs = shared.groupBy("claim_id", "fact_id", "nc", "nf").agg(F.count("*").alias("n"))
-    scored = pairs.withColumn("score", F.round(F.col("n") / (F.col("nc") + F.col("nf") - F.col("n")), 6))
-    best = scored.groupBy("claim_id").agg(F.max("score").alias("score"), F.max_by("fact_id", F.struct("score", -F.col("fact_id"))).alias("fact_id"))
-    out = c.select("claim_id").join(best, "claim_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-    ok = F.col("score") >= KEYWORD_LEAST
-    return out.select("claim_id", "score", F.when(ok, F.col("fact_id")).alias("fact_id"), ok.alias("supported"))
+    """Rows (claim_id, score, fact_id, supported): each claim's best fact by shared words over all words, if it reaches
+    KEYWORD_LEAST; score 0 and no fact otherwise. Two sets whose share is that high have a word in common among the first
+    n - ceil(share * n) + 1 of each, rarest first; so only those words meet, and a word in very many facts is one of
+    them only where a set has no other. Equal sets are compared once."""
+    c = claims_.select("claim_id", claim_words(F.col("claim")).alias("w"))
+    f = facts.select("fact_id", claim_words(F.col("fact")).alias("w"))
+    sets = f.groupBy(F.array_sort("w").alias("w")).agg(F.min("fact_id").alias("fact_id"))
+    asked = c.select(F.array_sort("w").alias("w")).where("size(w) > 0").distinct()
+    count = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
+
+    def first(rows: DataFrame, key: list[str]) -> DataFrame:
+        words = rows.select(*key, F.explode("w").alias("word"), F.size("w").alias("n")).join(count, "word")  # a word of no fact meets nothing
+        placed = words.groupBy(*key, "n").agg(F.array_sort(F.collect_list(F.struct("seen", "word"))).alias("s"))
+        keep = (F.col("n") - F.ceil(F.col("n") * KEYWORD_LEAST - 1e-9) + 1).cast("int")
+        return placed.select(*key, F.explode(F.transform(F.slice("s", 1, keep), lambda x: x["word"])).alias("word"))
+
+    near = first(asked, ["w"]).withColumnRenamed("w", "wc").join(first(sets, ["fact_id"]), "word").select("wc", "fact_id").distinct()
+    pairs = near.join(sets, "fact_id").withColumn("n", F.size(F.array_intersect("wc", "w")))
+    scored = pairs.withColumn("score", F.round(F.col("n") / (F.size("wc") + F.size("w") - F.col("n")), 6)).where(F.col("score") >= KEYWORD_LEAST)
+    best = scored.groupBy("wc").agg(F.max("score").alias("score"), F.max_by("fact_id", F.struct("score", -F.col("fact_id"))).alias("fact_id"))
+    out = c.select("claim_id", F.array_sort("w").alias("wc")).join(best, "wc", "left")
+    return out.select("claim_id", F.coalesce("score", F.lit(0.0)).alias("score"), "fact_id", F.col("fact_id").isNotNull().alias("supported"))
 
 
 def grounded(support: DataFrame, group: str) -> DataFrame:
@@ -108,6 +121,26 @@ def merge_ledgers(parts: DataFrame, group: str, field: str, order: str) -> DataF
     return listed.select(group, F.transform("l", lambda x: x["item"]).alias("items"))
 
 
+def united(first: DataFrame, second: DataFrame, group: str, caps: dict[str, int], keys: dict[str, Sequence[str]] | None = None) -> DataFrame:
+    """Rows (group, a list for each field of caps) of two analyses: the first one's items, then those of the second that it
+    does not have, but for case and outer space, up to the field's cap. Items are strings, or structs told apart by the
+    fields in keys. A group that only one has keeps what that has."""
+    both = first.alias("a").join(second.alias("b"), group, "full_outer")
+
+    def own(name: str):
+        parts = (keys or {}).get(name)
+        norm = lambda v: F.lower(F.trim(F.coalesce(v, F.lit(""))))
+        return (lambda x: F.concat_ws("\0", *(norm(x[p]) for p in parts))) if parts else norm
+
+    def field(name: str, cap: int) -> Column:
+        key, a, b = own(name), F.col(f"a.{name}"), F.col(f"b.{name}")
+        held = F.transform(F.coalesce(a, F.slice(b, 1, 0)), key)
+        fresh = F.filter(F.coalesce(b, F.slice(a, 1, 0)), lambda x: ~F.array_contains(held, key(x)))
+        return F.slice(F.concat(F.coalesce(a, F.slice(b, 1, 0)), fresh), 1, cap).alias(name)
+
+    return both.select(group, *(field(n, c) for n, c in caps.items()))
+
+
 def overlay(found: DataFrame, known: DataFrame) -> DataFrame:
     """People (name, email, role) with role and e-mail from those known, by e-mail and then by name."""
     mail = known.where("email is not null").select(F.lower("email").alias("m"), F.col("role").alias("role_m"), F.col("email").alias("email_m")).dropDuplicates(["m"])

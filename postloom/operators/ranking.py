@@ -6,13 +6,15 @@ always partitioned by `query` columns where there are several queries.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 RRF_K = 60
 SUMMARY_BOOST, GRAPH_BOOST, QUOTED_FACTOR = 1.2, 1.15, 0.7
+RERANK_MOST = 50
 RERANK_ALPHA, MMR_LAMBDA, MMR_MOST, MMR_CHARS = 0.35, 0.5, 200, 4096
 
 
@@ -111,8 +113,6 @@ def jaccard(a: Column, b: Column) -> Column:
 def diverse(hits: DataFrame, query: str, id_col: str, score: str, text_col: str, weight: float = MMR_LAMBDA, most: int = MMR_MOST) -> DataFrame:
     """hits with place: maximal marginal relevance among each query's `most` highest, the rest after them by score. Picks
     depend on each other, so each query's bounded list is one group in one task."""
-    import pandas as pd
-
     lam = clamp_weight(weight)
     fields = hits.select(query, id_col, score, text_col)
 
@@ -139,6 +139,50 @@ def diverse(hits: DataFrame, query: str, id_col: str, score: str, text_col: str,
     return first.unionByName(rest.select(query, id_col, score, F.col("_n").cast("long").alias("place")))
 
 
+def rescored(hits: DataFrame, scorer: Callable[[str, list[str]], Sequence[float]], asked: str, id_col: str, text: Column, order: str, most: int = RERANK_MOST) -> DataFrame:
+    """The `most` highest hits with score from a scorer of (query, texts), such as a cross-encoder; the others are left
+    out, as they were not scored. The scorer runs over Arrow batches in tasks."""
+    top = hits.orderBy(F.desc(order), id_col).limit(most)
+
+    @F.pandas_udf("double")
+    def scored(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(scorer(asked, texts.fillna("").tolist())), dtype=float)
+
+    return top.withColumn("score", scored(F.left(text, F.lit(MMR_CHARS))))
+
+
+def over_threshold(hits: DataFrame, key: str, score: str, order: Sequence[str], least: float = 0.0) -> DataFrame:
+    """The best row of each key (rows without one are left out), if its score reaches the least."""
+    return best_of_each(hits.where(F.coalesce(F.col(key).cast("string"), F.lit("")) != ""), key, score, order).where(F.col(score) >= least)
+
+
+def diverse_vectors(hits: DataFrame, query: str, id_col: str, score: str, vector_col: str, k: int, weight: float = 0.7, most: int = MMR_MOST) -> DataFrame:
+    """Rows (query, id, score, place) of each query's k picks among its `most` highest: maximal marginal relevance by inner
+    products of embeddings, where a product under 0 counts as none."""
+    import numpy as np
+
+    lam = clamp_weight(weight)
+    by = Window.partitionBy(query).orderBy(F.desc(score), id_col)
+    fields = hits.where(F.col(vector_col).isNotNull()).select(query, id_col, score, vector_col).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).drop("_n")
+
+    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values([score, id_col], ascending=[False, True], kind="stable").reset_index(drop=True)
+        m = np.array(pdf[vector_col].tolist(), float)
+        closest, taken = np.zeros(len(pdf)), []
+        value = pdf[score].to_numpy(float)
+        while len(taken) < min(k, len(pdf)):
+            rank = lam * value - (1 - lam) * closest if taken else value.copy()
+            rank[taken] = -np.inf
+            taken.append(int(rank.argmax()))
+            closest = np.maximum(closest, m @ m[taken[-1]])
+        out = pdf.loc[taken, [query, id_col, score]].reset_index(drop=True)
+        out["place"] = range(1, len(out) + 1)
+        return out
+
+    kinds = ", ".join(f"`{c}` {fields.schema[c].dataType.simpleString()}" for c in (query, id_col, score))
+    return fields.groupBy(query).applyInPandas(pick, f"{kinds}, place long")
+
+
 def within_budget(rows: DataFrame, size: Column, budget: int, order: Sequence[str], group: Sequence[str] = ()) -> DataFrame:
     """rows with room, the characters each still gets of its group's budget in the order given; those with none are left
     out."""

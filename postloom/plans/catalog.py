@@ -9,8 +9,10 @@ from postloom.plans import (  # noqa: F401  they register their queries
     maintenance_queries,
     privacy_queries,
     relational_queries,
+    retrieval_queries,
     search_queries,
     secondary_queries,
+    source_queries,
     stream_queries,
     text_queries,
     write_queries,

@@ -34,7 +34,7 @@ _EDGES = """edges AS (SELECT l_orderkey * 16 + l_linenumber AS edge_id, o_custke
   CASE WHEN l_orderkey % 7 <> 0 THEN l_orderkey END AS conversation_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
 
 
-@query(f"WITH {_NODES} SELECT node_id, name, 1.0 AS similarity FROM nodes WHERE contains(lower(name), 'customer#00000001') OR contains(lower(name), 'supplier#00000002') ORDER BY pagerank DESC, node_id LIMIT 10")
+@query(f"WITH {_NODES} SELECT node_id, name, CAST(1.0 AS DOUBLE) AS similarity FROM nodes WHERE contains(lower(name), 'customer#00000001') OR contains(lower(name), 'supplier#00000002') ORDER BY pagerank DESC, node_id LIMIT 10")
 def g01_find_entities(spark, sf_dir):
     return graph.find_entities(_nodes(spark, sf_dir), ["Customer#00000001", "Supplier#00000002"]).select("node_id", "name", "similarity")
 

@@ -85,7 +85,8 @@ def v06_approximate_nearest(spark, sf_dir):
 
 @query()
 def k11_extraction_windows(spark, sf_dir):
-    """Windows that end at the last line end behind their middle; each starts where the one before it ended."""
+    """Windows of 2,000 characters that end at the last line end behind their middle; each begins 200 characters before the
+    end of the one before it. No SQL, as each depends on the one before; a test holds them against these rules."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
 
     def cut(batches, size=2000, overlap=200):

@@ -124,7 +124,7 @@ _W = "list_filter(list_distinct(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}
     f"""WITH c AS (SELECT conv_id * 1000 + turn AS claim_id, {_W.format("text")} AS w FROM conversations WHERE role = 'assistant'), f AS (SELECT item_id AS fact_id, {_W.format("text")} AS w FROM benchmark),
 p AS (SELECT claim_id, fact_id, round(len(list_intersect(c.w, f.w)) / (len(c.w) + len(f.w) - len(list_intersect(c.w, f.w))), 6) AS score FROM c, f WHERE len(list_intersect(c.w, f.w)) > 0),
 b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY claim_id ORDER BY score DESC, fact_id) = 1)
-SELECT c.claim_id, coalesce(b.score, 0.0) AS score, CASE WHEN b.score >= 0.3 THEN b.fact_id END AS fact_id, coalesce(b.score, 0) >= 0.3 AS supported FROM c LEFT JOIN b USING (claim_id)"""
+SELECT c.claim_id, CASE WHEN b.score >= 0.3 THEN b.score ELSE 0.0 END AS score, CASE WHEN b.score >= 0.3 THEN b.fact_id END AS fact_id, coalesce(b.score, 0) >= 0.3 AS supported FROM c LEFT JOIN b USING (claim_id)"""
 )
 def m14_keyword_support(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").where("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("claim_id"), F.col("text").alias("claim"))
@@ -149,3 +149,16 @@ def m16_index_consistency(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     total = e.agg(F.count("*").alias("total"))  # one row
     return e.groupBy(F.size("embedding").cast("long").alias("dim")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(total)).select("dim", "n", (F.col("n") == F.col("total")).alias("all_same"))
+
+
+@query(
+    """WITH a AS (SELECT conv_id, list(text ORDER BY turn) AS l FROM conversations WHERE turn % 2 = 0 GROUP BY conv_id), b AS (SELECT conv_id, list('  ' || text ORDER BY turn) AS l FROM conversations GROUP BY conv_id),
+j AS (SELECT conv_id, coalesce(a.l, []) AS x, coalesce(b.l, []) AS y FROM a FULL JOIN b USING (conv_id))
+SELECT conv_id, array_to_string(list_concat(x, list_filter(y, lambda v: NOT list_contains(list_transform(x, lambda u: lower(trim(u))), lower(trim(v)))))[1:5], '|') AS facts FROM j"""
+)
+def m10_united(spark, sf_dir):
+    """Two analyses of each conversation united, five facts at most."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    listed = lambda rows, text: rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", text.alias("t")))).alias("l")).select("conv_id", F.transform("l", lambda x: x["t"]).alias("facts"))
+    out = M.united(listed(c.where("turn % 2 = 0"), F.col("text")), listed(c, F.concat(F.lit("  "), "text")), "conv_id", {"facts": 5})
+    return out.select("conv_id", F.array_join("facts", "|").alias("facts"))

@@ -161,3 +161,41 @@ def k09_rechunked(spark, sf_dir):
     """Flagged chunks cut anew, offsets rebased; no SQL for the same reason as chunks."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.lit(100).alias("char_start"), (F.length("text") + 100).alias("char_end"), "text")
     return chunking.rechunked(d, F.col("chunk_id") % 10 == 0, 100).select("chunk_id", "char_start", "char_end", "rechunked_from", F.sha2("text", 256).alias("hash"))
+
+
+@query()
+def t20_merged_spans(spark, sf_dir):
+    """Spans of two detectors merged, first ones first, and the text redacted by them; no SQL, as DuckDB gives no places of
+    finds. A test holds it against Python."""
+    c = _case()
+    spans = P.merged_spans(*(P.pattern_spans(c, k, p) for k, p in P.PII_PATTERNS))
+    rows = table(spark, sf_dir, "documents").select("doc_id", c.alias("c"), spans.alias("spans"))
+    return rows.select("doc_id", F.size("spans").alias("n_spans"), F.sha2(P.redact_spans(F.col("c"), F.col("spans")), 256).alias("redacted"))
+
+
+_LINES = "list_filter(string_split_regex({c}, '\\r?\\n'), lambda x: NOT ({bad}))"
+_BAD = " OR ".join([f"contains(lower(trim(x)), {quoted(p)})" for p in P.LINE_PATTERNS] + [f"starts_with(lower(trim(x)), {quoted(p)})" for p in P.LINE_STARTS])
+
+
+@query(f"SELECT doc_id, array_to_string({_LINES.format(c=_CASE_SQL, bad=_BAD)}, chr(10)) AS text FROM documents")
+def y19_scrubbed_lines(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", P.scrubbed_lines(_case()).alias("text"))
+
+
+@query(
+    """WITH d AS (SELECT doc_id, length(text) AS size, CASE WHEN length(text) > 0 THEN greatest(1, length(text) // 4) ELSE 0 END AS n FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CAST(n AS BIGINT) AS n_tokens, CAST(CASE WHEN n > 0 THEN least(7, n) * (size // n) + least(least(7, n), size % n) ELSE 0 END AS BIGINT) AS seventh, CAST(size AS BIGINT) AS last FROM d"""
+)
+def k02_token_starts(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", chunking.token_starts(F.col("text")).alias("s"))
+    n = F.size("s") - 1
+    at = lambda k: F.element_at("s", k + 1).cast("long")
+    return d.select("doc_id", n.cast("long").alias("n_tokens"), at(F.least(F.lit(7), n)).alias("seventh"), at(n).alias("last"))
+
+
+@query()
+def k07_sections(spark, sf_dir):
+    """Chunks of documents by section, a section a paragraph line; no SQL, as ends snap to boundaries."""
+    d = table(spark, sf_dir, "documents").where("text is not null")
+    parts = F.transform(F.split("text", "\n"), lambda x, i: F.struct(F.concat(F.lit("line/"), i.cast("string")).alias("path"), x.alias("text")))
+    return chunking.chunked_sections(d.select("doc_id", parts.alias("sections")), "doc_id", "sections", 64, 4, 8).drop("text")

@@ -109,18 +109,18 @@ def j07_correlated_count(spark, sf_dir):
 
 
 @query(
-    """WITH w AS (SELECT p_partkey, p_name, unnest(list_distinct(string_split(lower(p_name), ' '))) AS w FROM part)
-SELECT s.p_partkey AS short_id, l.p_partkey AS long_id FROM part s JOIN part l ON s.p_partkey <> l.p_partkey AND length(s.p_name) <= length(l.p_name)
-AND contains(' ' || lower(l.p_name) || ' ', ' ' || lower(s.p_name) || ' ') WHERE s.p_partkey < 200"""
+    """SELECT s.p_partkey AS short_id, l.p_partkey AS long_id FROM part s JOIN part l ON s.p_partkey <> l.p_partkey AND length(s.p_name) <= length(l.p_name)
+AND contains(' ' || lower(l.p_name) || ' ', ' ' || lower(s.p_name) || ' ')"""
 )
 def j08_whole_word_join(spark, sf_dir):
-    """Names that hold another name as whole words: joined on the shorter one's first word, so that no pair without a
-    shared word is looked at."""
+    """Names that hold another name as whole words: joined on the longer one's runs of words, a bounded number for a name,
+    so that only pairs of the result meet."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
-    short = p.where("p_partkey < 200").select(F.col("p_partkey").alias("short_id"), F.col("name").alias("s"), F.element_at(F.split("name", " "), 1).alias("w"))
-    long_ = p.select(F.col("p_partkey").alias("long_id"), F.col("name").alias("l"), F.explode(F.array_distinct(F.split("name", " "))).alias("w"))
-    inside = F.contains(F.concat(F.lit(" "), "l", F.lit(" ")), F.concat(F.lit(" "), "s", F.lit(" ")))
-    return short.join(long_, "w").where((F.col("short_id") != F.col("long_id")) & (F.length("s") <= F.length("l")) & inside).select("short_id", "long_id")
+    words = F.split("name", " ")
+    n = F.size(words)
+    runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
+    long_ = p.select(F.col("p_partkey").alias("long_id"), F.explode(F.array_distinct(runs)).alias("name"))
+    return p.withColumnRenamed("p_partkey", "short_id").join(long_, "name").where("short_id <> long_id").select("short_id", "long_id")
 
 
 @query(
@@ -192,3 +192,10 @@ def q03_context(spark, sf_dir):
 def n01_running_sum(spark, sf_dir):
     by = Window.partitionBy("user_id").orderBy("ts", "event_id")
     return table(spark, sf_dir, "events").select("event_type", "ts", "value", F.round(F.sum("value").over(by), 4).alias("running"))
+
+
+@query("SELECT doc_id FROM documents ORDER BY md5('7:' || doc_id), doc_id LIMIT 100")
+def o03_random_sample(spark, sf_dir):
+    """A random sample of fixed size that comes out the same each time: the order is a digest of a seed and the id."""
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return d.orderBy(F.md5(F.concat(F.lit("7:"), F.col("doc_id").cast("string")).cast("binary")), "doc_id").limit(100)

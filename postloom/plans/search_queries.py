@@ -126,7 +126,7 @@ def h01_best_of_each(spark, sf_dir):
 
 
 @query(
-    """WITH a AS (SELECT item_id AS id, round(length(text) / 1000.0, 6) AS lexical_score FROM benchmark WHERE item_id % 3 <> 0), b AS (SELECT vec_id AS id, round(CAST(abs(embedding[1]) AS DOUBLE), 6) AS vector_score FROM embeddings WHERE vec_id < 40 AND vec_id % 4 <> 0),
+    """WITH a AS (SELECT item_id AS id, round(length(text) / 1000.0, 6) AS lexical_score FROM benchmark WHERE item_id % 3 <> 0), b AS (SELECT vec_id AS id, round(CAST(abs(embedding[1]) AS DOUBLE), 6) AS vector_score FROM embeddings WHERE vec_id % 4 <> 0),
 j AS (SELECT id, lexical_score, vector_score, round(0.3 * coalesce(vector_score, 0) + 0.7 * coalesce(lexical_score, 0), 9) AS fusion FROM a FULL JOIN b USING (id)),
 m AS (SELECT max(lexical_score) AS l, max(vector_score) AS v FROM j),
 r AS (SELECT id, fusion, round(0.35 * coalesce(vector_score, 0) / v + 0.65 * coalesce(lexical_score, 0) / l, 9) AS rerank_score FROM j, m)
@@ -134,7 +134,7 @@ SELECT id, round(rerank_score, 4) AS rerank_score, round(0.5 * fusion + 0.5 * re
 )
 def h07_light_rerank(spark, sf_dir):
     a = table(spark, sf_dir, "benchmark").where("item_id % 3 <> 0").select(F.col("item_id").alias("id"), F.round(F.length("text") / 1000.0, 6).alias("score"))
-    b = table(spark, sf_dir, "embeddings").where("vec_id < 40 and vec_id % 4 <> 0").select(F.col("vec_id").alias("id"), F.round(F.abs(F.col("embedding")[0]).cast("double"), 6).alias("score"))
+    b = table(spark, sf_dir, "embeddings").where("vec_id % 4 <> 0").select(F.col("vec_id").alias("id"), F.round(F.abs(F.col("embedding")[0]).cast("double"), 6).alias("score"))
     hits = ranking.weighted(a, b, "id", 0.3).withColumnRenamed("fusion", "score")
     return ranking.light_rerank(hits).select("id", F.round("rerank_score", 4).alias("rerank_score"), F.round("score", 4).alias("score"))
 
@@ -152,7 +152,7 @@ def h09_recency(spark, sf_dir):
     return rows.select("event_id", F.round(ranking.recency(F.col("value"), days), 6).alias("boosted"), F.round(ranking.half_power_recency(F.col("value"), days), 6).alias("halved"))
 
 
-@query("SELECT vec_id, round(CASE WHEN label = 2 THEN vec_id * 0.7 ELSE vec_id END, 6) AS score FROM embeddings")
+@query("SELECT vec_id, round(CASE WHEN label = 2 THEN vec_id * CAST(0.7 AS DOUBLE) ELSE vec_id END, 6) AS score FROM embeddings")
 def h10_quoted_factor(spark, sf_dir):
     kind = F.when(F.col("label") == 2, "quoted_history").otherwise("message_body")
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(ranking.quoted_factor(F.col("vec_id").cast("double"), kind), 6).alias("score"))
@@ -197,7 +197,7 @@ def h17_rollup(spark, sf_dir):
 @query(
     """WITH a AS (SELECT conv_id, turn, text || ' Source ' || (turn + 1) || ' and Source 2' AS t FROM conversations),
 c AS (SELECT conv_id, turn, list_distinct(list_transform(regexp_extract_all(t, 'Source (\\d+)', 1), lambda x: CAST(x AS INTEGER))) AS s FROM a)
-SELECT conv_id, turn, len(s) AS n_cited, round(least(0.95, 0.5 + 0.1 * len(s)), 6) AS confidence FROM c"""
+SELECT conv_id, turn, len(s) AS n_cited, CAST(round(least(0.95, 0.5 + 0.1 * len(s)), 6) AS DOUBLE) AS confidence FROM c"""
 )
 def h18_evidence(spark, sf_dir):
     text = F.concat("text", F.lit(" Source "), (F.col("turn") + 1).cast("string"), F.lit(" and Source 2"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from postloom.functions import people
 from postloom.functions import text as T
 from postloom.operators import ranking
 from postloom.plans.registry import query, table
@@ -137,7 +138,7 @@ def y15_history(spark, sf_dir):
     return listed.select("conv_id", history.alias("history")).withColumn("enough", F.length("history") >= 300)
 
 
-@query("SELECT doc_id, round(greatest(0.3, least(0.98, 0.5 + 0.05 * (n_chars % 12) - 0.2 * (doc_id % 3))), 6) AS confidence FROM documents")
+@query("SELECT doc_id, CAST(round(greatest(0.3, least(0.98, 0.5 + 0.05 * (n_chars % 12) - 0.2 * (doc_id % 3))), 6) AS DOUBLE) AS confidence FROM documents")
 def y17_draft_confidence(spark, sf_dir):
     raw = F.lit(0.5) + F.lit(0.05) * (F.col("n_chars") % 12) - F.lit(0.2) * (F.col("doc_id") % 3)
     return table(spark, sf_dir, "documents").select("doc_id", F.round(F.greatest(F.lit(0.3), F.least(F.lit(0.98), raw)), 6).alias("confidence"))
@@ -177,3 +178,43 @@ def y25_quoted_cut(spark, sf_dir):
     mark = F.startswith("line", F.lit(">"))
     cut = F.startswith("line", F.lit("-----Original Message")) | (mark & (F.sum(mark.cast("int")).over(by) >= 2))
     return lines.withColumn("cut", cut).groupBy("conv_id", "turn").agg(F.min(F.when(F.col("cut"), F.col("i") + 1)).cast("long").alias("cut_at"))
+
+
+@query(
+    """WITH m AS (SELECT conv_id, max_by(text, turn) FILTER (WHERE role <> 'assistant' AND coalesce(trim(text), '') <> '') AS body, string_agg(text, chr(10) ORDER BY turn) AS all_text FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN body IS NOT NULL THEN 'Reply to: Thread ' || conv_id || chr(10) || chr(10) || left(trim(body), 500) ELSE coalesce(nullif(trim(right(all_text, 500)), ''), 'Reply to this email thread') END AS query FROM m"""
+)
+def y12_reply_query(spark, sf_dir):
+    """What a reply is asked for: subject and text of the last message that is not ours, else the conversation's end."""
+    c = table(spark, sf_dir, "conversations")
+    inbound = (F.col("role") != "assistant") & (F.coalesce(F.trim("text"), F.lit("")) != "")
+    m = c.groupBy("conv_id").agg(F.max_by(F.when(inbound, F.col("text")), F.when(inbound, F.col("turn"))).alias("body"), F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("l"))
+    tail = F.nullif(F.trim(F.right(F.array_join(F.transform("l", lambda x: x["text"]), "\n"), F.lit(500))), F.lit(""))
+    ask = F.concat(F.lit("Reply to: Thread "), F.col("conv_id").cast("string"), F.lit("\n\n"), F.left(F.trim("body"), F.lit(500)))
+    return m.select("conv_id", F.when(F.col("body").isNotNull(), ask).otherwise(F.coalesce(tail, F.lit("Reply to this email thread"))).alias("query"))
+
+
+@query(
+    """SELECT conv_id, count(*) FILTER (WHERE trim(coalesce(text, '')) <> '') >= 1 AND coalesce(sum(length(text)), 0) >= 300 AS ok,
+  CASE WHEN count(*) FILTER (WHERE trim(coalesce(text, '')) <> '') < 1 THEN 'Insufficient context snippets' WHEN coalesce(sum(length(text)), 0) < 300 THEN 'Context too small' ELSE 'ok' END AS reason FROM conversations GROUP BY conv_id"""
+)
+def y16_context_quality(spark, sf_dir):
+    filled = F.count_if(F.trim(F.coalesce("text", F.lit(""))) != "") >= 1
+    enough = F.coalesce(F.sum(F.length("text")), F.lit(0)) >= 300
+    reason = F.when(~filled, "Insufficient context snippets").when(~enough, "Context too small").otherwise("ok")
+    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg((filled & enough).alias("ok"), reason.alias("reason"))
+
+
+@query(
+    """WITH c AS (SELECT conv_id, min(turn) AS at, string_agg(text, chr(10) ORDER BY turn) AS text, conv_id % 3 AS k FROM conversations GROUP BY conv_id)
+SELECT conv_id, CASE WHEN k = 1 THEN 1 ELSE 1 END AS n_people, CASE WHEN k = 1 THEN 'old@x.org' ELSE 'u' || conv_id || '@x.org' END AS first FROM c"""
+)
+def y07_people_backfill(spark, sf_dir):
+    """People filled in from the header lines of the text where a conversation has none yet, null or empty."""
+    c = table(spark, sf_dir, "conversations").select("conv_id").distinct()
+    kind = "array<struct<smtp:string,name:string,role:string>>"
+    old = F.array(F.struct(F.lit("old@x.org").alias("smtp"), F.lit("Old").alias("name"), F.lit("sender").alias("role")))
+    held = F.when(F.col("conv_id") % 3 == 1, old).when(F.col("conv_id") % 3 == 2, F.array().cast(kind))
+    text = F.concat(F.lit("2024-10-07 14:43 | From: U <u"), F.col("conv_id").cast("string"), F.lit("@x.org>\nbody"))
+    found = people.backfilled(c.select("conv_id", held.alias("participants"), text.alias("text")))
+    return found.select("conv_id", F.size("participants").alias("n_people"), F.col("participants")[0]["smtp"].alias("first"))

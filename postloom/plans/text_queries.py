@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from postloom.functions import model_output
 from postloom.functions import text as T
 from postloom.plans.registry import query, quoted, table
 
@@ -62,9 +63,8 @@ def _signature(c):
 
 def _boilerplate(c):
     known = " OR ".join(f"contains(lower(b), {quoted(k)})" for k in T.BOILERPLATE)
-    noise = ", ".join(map(quoted, T.DOMAIN_NOISE))
     bare = _r("line", r"^\s+|\s+\z", "")
-    test = f"""b <> '' AND (regexp_matches(b, {quoted(T.SOLE_URL)}) OR upper(b) IN ({noise}) OR regexp_matches(b, {quoted(T.SOLE_WWW)}) OR {known}
+    test = f"""b <> '' AND (regexp_matches(b, {quoted(T.SOLE_URL)}) OR regexp_matches(b, {quoted(T.SOLE_WWW)}) OR {known}
       OR (length(b) > {T.BOILERPLATE_LENGTH} AND len(regexp_extract_all(b, {quoted(T.SEPARATOR_RUN)})) >= 2 AND NOT contains(b, '@')))"""
     return f"array_to_string(list_filter(string_split({c}, chr(10)), lambda line: NOT list_contains(list_transform([{bare}], lambda b: {test}), true)), chr(10))"
 
@@ -188,3 +188,19 @@ def t32_classify_query(spark, sf_dir):
     case = F.element_at(F.array(*map(F.lit, _CASES)), (F.col("turn") % 6 + 1).cast("int"))
     q = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.concat(case, F.lit(" "), F.left("text", F.lit(80))).alias("q"))
     return q.select("conv_id", "turn", T.query_type(F.col("q")).alias("kind"), F.array_join(T.query_flags(F.col("q")), ",").alias("flags"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn % 4 = 3 THEN NULL ELSE conv_id END AS id, CASE WHEN turn % 4 = 3 THEN NULL ELSE text || ' {x}' END AS said FROM conversations")
+def t31_json_object(spark, sf_dir):
+    """Objects in answers: bare, fenced after a thought, among prose, and none."""
+    c = table(spark, sf_dir, "conversations")
+    own = F.to_json(F.struct("conv_id", F.concat("text", F.lit(" {x}")).alias("said")))
+    k = F.col("turn") % 4
+    answer = (
+        F.when(k == 0, own)
+        .when(k == 1, F.concat(F.lit('<think>{"no": 1}</think> Well:\n```json\n'), own, F.lit("\n```\nDone {")))
+        .when(k == 2, F.concat(F.lit("Here is the data: "), own, F.lit(" ... {extra} text.")))
+        .otherwise(F.concat(F.lit("I have { none: "), F.col("conv_id").cast("string")))
+    )
+    found = c.select("conv_id", "turn", F.from_json(model_output.json_object(answer), "conv_id bigint, said string").alias("o"))
+    return found.select("conv_id", "turn", F.col("o.conv_id").alias("id"), "o.said")

@@ -3,6 +3,8 @@ reads are Spark's own, so that any store that Spark reaches will do, and executo
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -71,12 +73,84 @@ def attachments(listing: DataFrame) -> DataFrame:
 
 
 def attachment_log(listing: DataFrame) -> DataFrame:
-    """Rows (folder, filename, entries) of the attachment logs."""
-    log = listing.where(F.lower("name") == "attachments_log.csv").select("folder", F.explode(F.split(decoded(F.col("content")), "\r?\n")).alias("line"))
-    parsed = log.where("trim(line) <> '' and not lower(line) like 'filename,%'").select("folder", F.from_csv("line", LOG_FIELDS, {"quote": '"', "escape": '"'}).alias("r"))
+    """Rows (folder, filename, entries) of the attachment logs. Lines are cut where quotes are even, so that a quoted field
+    may hold line ends."""
+    text = decoded(F.col("content"))
+    line = r"(?:[^\"\r\n]|\"(?:[^\"]|\"\")*\")+"
+    log = listing.where(F.lower("name") == "attachments_log.csv").select("folder", F.explode(F.regexp_extract_all(text, F.lit(line), F.lit(0))).alias("line"))
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    parsed = log.where("trim(line) <> '' and not lower(line) like 'filename,%'").select("folder", F.from_csv("line", LOG_FIELDS, options).alias("r"))
     return parsed.where("r.filename is not null").groupBy("folder", "r.filename").agg(F.collect_list("r").alias("entries"))
 
 
+def summaries(listing: DataFrame) -> DataFrame:
+    """Rows (folder, summary) of the summary files, as JSON text without control characters in keys and values, written
+    out or escaped; null where a file is no JSON."""
+    plain = F.regexp_replace(decoded(F.col("content")), CONTROL_CHARS, "")
+    # an escape after an even number of backslashes is one, after an odd number it is text
+    clean = F.regexp_replace(plain, r"(?i)(?<!\\)((?:\\\\)*)\\u(?:000[0-8bcef]|001[0-9a-f]|007f|00[89][0-9a-f])", "$1")
+    ok = F.try_parse_json(clean).isNotNull()
+    return listing.where(F.lower("inner") == "summary.json").select("folder", F.when(ok, clean).alias("summary"))
+
+
+def inside(path: Column, base: str) -> Column:
+    """Whether a path stays below a base folder: it has no step up, and begins there."""
+    plain = F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
+    root = re.sub("^[a-z0-9]+:/+", "/", base).rstrip("/") + "/"
+    return F.startswith(plain, F.lit(root)) & ~F.rlike(plain, F.lit(r"(^|/)\.\.(/|$)")) & ~F.contains(plain, F.lit("\\"))
+
+
+#: Kinds of sources: fixed values. Stores by URI are any that Spark reaches.
+KINDS = ("s3", "sftp", "local_upload")
+
+
+def opened(spark: SparkSession, kind: str, uri: str, base: str | None = None) -> DataFrame:
+    """The files of a source. Local uploads must lie below their base folder; a kind without a reader is an error."""
+    if kind == "s3":
+        return files(spark, uri)
+    if kind == "local_upload":
+        if base is not None and (".." in uri.split("/") or not (uri.rstrip("/") + "/").startswith(base.rstrip("/") + "/")):
+            raise ValueError(f"{uri} is not below {base}")
+        found = files(spark, uri)
+        return found if base is None else found.where(inside(F.col("path"), base))
+    if kind == "sftp":
+        raise ValueError("copy the folder to a store that Spark reaches; there is no reader for sftp")
+    raise ValueError(f"unknown kind of source: {kind}")
+
+
+def pushed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations (conversation_id, subject, source) and texts (document_id, conversation_id, text, section_path,
+    is_attachment, metadata) of pushed documents (document_id, title, source, text_type, section_path, text, metadata).
+    A document without an id has its text's digest for one, so that pushing it again changes nothing; empty texts are
+    left out, an unknown text_type counts as attachment."""
+    some = documents.where(F.coalesce("text", F.lit("")) != "")
+    own = F.coalesce(F.nullif("document_id", F.lit("")), F.sha2("text", 256))
+    rows = some.withColumn("document_id", own).withColumn("conversation_id", F.sha2(F.concat(F.lit("push:"), "document_id"), 256))
+    title = F.coalesce("title", "source", "document_id")
+    conversations = rows.groupBy("conversation_id").agg(F.min(title).alias("subject"), F.min("source").alias("source"))
+    texts = rows.groupBy("conversation_id", "document_id").agg(F.max_by(F.struct("text", "section_path", (F.coalesce("text_type", F.lit("attachment")) != "email").alias("is_attachment"), "metadata"), F.struct(F.length("text"), "text")).alias("of"))
+    return conversations, texts.select("document_id", "conversation_id", "of.*")
+
+
+def written(rows: DataFrame, path: str) -> None:
+    """Writes rows (folder, inner, content) as the files path/folder/inner. Tasks write the files themselves, each under its
+    own name, so that a task that runs again writes the same bytes; names that leave the folder are an error."""
+
+    def write(part):
+        import pyarrow.fs as fs
+
+        store, root = fs.FileSystem.from_uri(path)
+        for r in part:
+            inner = f"{r['folder']}/{r['inner']}"
+            if ".." in inner.split("/") or "\\" in inner:
+                raise ValueError(f"{inner} leaves its folder")
+            store.create_dir(f"{root}/{inner.rpartition('/')[0]}", recursive=True)
+            with store.open_output_stream(f"{root}/{inner}") as f:
+                f.write(bytes(r["content"]))
+
+    rows.select("folder", "inner", F.col("content").cast("binary").alias("content")).foreachPartition(write)
+
+
 def participants(manifest: Column, most: int = 25) -> Column:
     """People of a manifest's messages in the order met (from, to, cc), one for each address or, without one, name."""
     of = lambda people, role: F.transform(F.coalesce(people, F.array().cast(f"array<{_PERSON}>")), lambda p: F.struct(F.left(p["name"], F.lit(80)).alias("name"), F.lower(F.left(p["smtp"], F.lit(120))).alias("smtp"), F.lit(role).alias("role")))

@@ -2,16 +2,23 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-LOCAL = "/tmp/postloom-checkpoints"
-
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors see; a local one only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or LOCAL
+    """The folder of spark.checkpoint.dir, which all executors see. Where it is unset, a session whose tasks run in this
+    process gets a folder of its own; any other is refused, as its executors would not see that."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        base = tempfile.mkdtemp(prefix="postloom-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return base
 
 
 def stored(df: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 """Hand-computed cases of the operators that have no SQL, and cases at their edges."""
 
 import json
+import random
+import re
 import time
 import uuid
 
@@ -226,3 +228,232 @@ def test_embedding_fails_row_by_row(spark):
     rows = spark.createDataFrame([(1, "ok"), (2, "bad"), (3, "fine"), (4, " "), (5, None)], "id int, t string")
     got = {r["id"]: r["status"] for r in embedding.embedded(rows, "id", "t", embed).collect()}
     assert got == {1: "embedded", 2: "skipped", 3: "embedded"}
+
+
+# ---- retrieval, model output, spans, sources ----
+
+
+def test_retrieval_is_what_plain_python_gives(spark):
+    import math
+    from datetime import UTC, datetime
+
+    from postloom.operators import lexical
+    from postloom.plans import retrieval
+
+    r = random.Random(3)
+    words = "alpha beta gamma released release license parts policy claim note".split()
+    chunks, vectors = [], []
+    for i in range(60):
+        chunks.append((i, i % 12, " ".join(r.choices(words, k=r.randint(4, 20))), "quoted_history" if i % 7 == 0 else "message_body", i % 3 == 0, "en"))
+        vectors.append((i, [r.uniform(-1, 1) for _ in range(4)]))
+    chunks[9] = (9, 9, chunks[8][2], *chunks[9][3:])  # a copy
+    now = datetime(2025, 1, 1, tzinfo=UTC)
+    dates = {c: datetime(2024, 12, 1 + c) if c % 5 else None for c in range(12)}
+    conversations = [(c, f"thread {words[c % 10]}", "released license" if c == 4 else None, dates[c], []) for c in range(12)]
+    corpus = retrieval.Corpus(
+        spark.createDataFrame(chunks, "chunk_id long, conversation_id long, text string, chunk_type string, is_attachment boolean, file_type string"),
+        spark.createDataFrame(vectors, "chunk_id long, embedding array<double>"),
+        spark.createDataFrame(conversations, "conversation_id long, subject string, summary string, latest_date timestamp, participants array<struct<role:string,smtp:string>>"),
+        spark.createDataFrame([(1, "Acme Works", 0.5), (2, "Other", 0.1)], "node_id long, name string, pagerank double"),
+        spark.createDataFrame([(1, 1, 2, 1.0, 3), (2, 1, 2, 0.5, 5)], "edge_id long, source_id long, target_id long, weight double, conversation_id long"),
+    )
+    asked, vec = "released license for Acme Works -policy", [1.0, 0.0, 0.0, 0.0]
+    asked = "released license -policy"
+    settings = retrieval.Settings(k=10)
+    got = retrieval.retrieve(corpus, asked, vec, settings).orderBy("place").collect()
+
+    allowed = {c[0]: c for c in chunks if "policy" not in c[2]}
+    wanted = [lexical.stem(w) for w in ("released", "license")]
+
+    def density(text):
+        ws = [(k, lexical.stem(w)) for k, w in enumerate(text.split())]
+        last, total, ended = {}, 0.0, -1
+        for k, w in ws:
+            if w in wanted:
+                last[w] = k
+                if len(last) == 2:
+                    start = min(last.values())
+                    if start > ended:
+                        ended = start
+                        total += 0.4 / max(1.0, k - start + 1 - 1)
+        return round(total / (total + 1), 9)
+
+    def cos(v):
+        return round(v[0] / math.sqrt(sum(x * x for x in v)), 6)
+
+    lex = sorted(((-density(c[2]), i) for i, c in allowed.items() if density(c[2]) > 0))
+    near = sorted(((-cos(v), i) for i, v in vectors if i in allowed))
+    best = []
+    for hits in (lex, near):
+        seen, out = set(), []
+        for s, i in hits:
+            if allowed[i][2] not in seen:
+                seen.add(allowed[i][2])
+                out.append((i, -s))
+        best.append(out)
+    score = {}
+    for hits in best:
+        for k, (i, _) in enumerate(hits, 1):
+            score[i] = score.get(i, 0) + 1 / (60 + k)
+    lexical_, vector_ = dict(best[0]), dict(best[1])
+    summary = {4}
+    score = {i: round(s, 9) * (1.2 if allowed[i][1] in summary else 1) for i, s in score.items()}
+    top_l, top_v, top_s = max(lexical_.values()), max(vector_.values()), max(score.values())
+    assert top_s > 0
+    final = {}
+    for i, s in score.items():
+        blend = round(0.35 * (vector_.get(i, 0) / top_v) + 0.65 * (lexical_.get(i, 0) / top_l), 9)
+        s = round(0.5 * s + 0.5 * blend, 9)
+        d = dates[allowed[i][1]]
+        if d:
+            s *= 1 + math.exp(-math.log(2) / 30 * max(0.0, (now - d.replace(tzinfo=UTC)).total_seconds() / 86400))
+        final[i] = round(s * (0.7 if allowed[i][3] == "quoted_history" else 1), 9)
+    for row in got:
+        assert abs(row["score"] - final[row["chunk_id"]]) < 1e-6, row
+        assert row["summary_boosted"] == (row["conversation_id"] in summary)
+    sets, left, places = {i: set(allowed[i][2].split()) for i in final}, sorted(final, key=lambda i: (-final[i], i)), []
+    while left and len(places) < 10:
+        pick = max(left, key=lambda i: (0.5 * final[i] - 0.5 * max((len(sets[i] & sets[j]) / len(sets[i] | sets[j]) for j in places), default=0.0), -left.index(i)))
+        places.append(pick)
+        left.remove(pick)
+    assert [row["chunk_id"] for row in got] == places
+    graph = retrieval.graph_conversations(corpus, "about Acme Works", settings)
+    assert {x["conversation_id"] for x in graph.collect()} == {3, 5}
+
+
+def test_conversation_search_ranks_and_escapes(spark):
+    from postloom.operators import lexical
+
+    rows = [(1, "Claims <open>", "parts & claims"), (2, "Other", "claim"), (3, "claims claims", None), (4, None, None)]
+    found = lexical.conversation_search(spark.createDataFrame(rows, "conversation_id long, subject string, summary string"), "claims", limit=5)
+    got = {r["conversation_id"]: r for r in found.collect()}
+    assert set(got) == {1, 2, 3} and got[1]["score"] > got[2]["score"] and got[3]["score"] > got[2]["score"]
+    assert "<open>" not in got[1]["snippet"] and "&lt;open&gt;" in got[1]["snippet"] and "&amp;" in got[1]["snippet"]
+    assert lexical.conversation_search(spark.createDataFrame(rows, "conversation_id long, subject string, summary string"), "  ").count() == 0
+
+
+def test_objects_in_model_answers(spark):
+    from postloom.functions.model_output import json_object
+
+    cases = {
+        '{"a": 1}': {"a": 1},
+        'Here is the data: {"summary": "This includes a {brace} inside."} ... extra text.': {"summary": "This includes a {brace} inside."},
+        '```json\n{"a": {"b": "\\"}"}}\n```': {"a": {"b": '"}'}},
+        "```\nnone\n``` then ```JSON {\"k\": 2} ```": {"k": 2},
+        '<THINK>{"no": 1}\n</think>\n{"yes": 1}': {"yes": 1},
+        "<think>open {\"still\": 1}": {"still": 1},
+        "no object {": None,
+        "[1, 2]": None,
+        "": None,
+    }
+    got = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", json_object(F.col("t")).alias("o")).collect()
+    for r in got:
+        want = cases.get(r["t"])
+        assert (json.loads(r["o"]) if r["o"] else None) == want, r
+
+
+def test_spans_are_merged_first_ones_first(spark):
+    from postloom.functions import privacy as P
+
+    texts = ["mail a.b@c.org or 212-555-0199, ssn 078-05-1120", "4111111111111111 at 10.1.2.3", "none", "", None, "x@y.zz x@y.zz"]
+    spans = P.merged_spans(*(P.pattern_spans(F.col("t"), k, p) for k, p in P.PII_PATTERNS))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", spans.alias("s"), P.redact_spans(F.col("t"), spans).alias("r")).collect()
+    for row in got:
+        if row["t"] is None:
+            continue
+        want = []
+        for kind, p in P.PII_PATTERNS:
+            for m in re.finditer(p, row["t"]):
+                if all(m.end() <= s or m.start() >= e for _, s, e in want):
+                    want.append((kind, *m.span()))
+        want.sort(key=lambda x: x[1])
+        assert [tuple(s) for s in row["s"]] == want
+        out, at = "", 0
+        for kind, s, e in want:
+            out, at = out + row["t"][at:s] + f"<<{kind}>>", e
+        assert row["r"] == out + row["t"][at:]
+
+
+def test_sources_refuse_what_is_not_theirs(spark, tmp_path):
+    from postloom.sources import folders
+
+    base = tmp_path / "up"
+    (base / "conv" / "attachments").mkdir(parents=True)
+    (base / "conv" / "summary.json").write_bytes(b'\xef\xbb\xbf{"a\\u0001b": "x\x01\\\\u0001", "k": ["y\x02"]}')
+    (base / "conv" / "attachments_log.csv").write_text('filename,sender\na.txt,"two\nlines ""x"""\n')
+    found = folders.opened(spark, "local_upload", str(base), str(base))
+    assert found.count() == 2
+    assert json.loads(folders.summaries(found).first()["summary"]) == {"ab": "x\\u0001", "k": ["y"]}
+    entry = folders.attachment_log(found).first()
+    assert entry["filename"] == "a.txt" and entry["entries"][0]["sender"] == 'two\nlines "x"'
+    for kind, uri in (("sftp", "x"), ("other", "x"), ("local_upload", str(base / ".." / "else"))):
+        with pytest.raises(ValueError):
+            folders.opened(spark, kind, uri, str(base))
+    paths = spark.createDataFrame([("file:/up/a",), ("/up/../a",), ("/upper/a",), ("/up/b/..c",)], "p string")
+    assert [r[0] for r in paths.select(folders.inside(F.col("p"), "/up")).collect()] == [True, False, False, True]
+
+
+def test_pushed_documents_are_known_by_id_or_text(spark):
+    from postloom.sources import folders
+
+    rows = [("a", "T", None, "email", None, "hello", None), (None, None, "s", "attachment", None, "same", None), ("", None, "s", None, None, "same", None), ("b", None, None, "odd", None, "", None), ("c", None, None, "odd", None, "x", None)]
+    docs = spark.createDataFrame(rows, "document_id string, title string, source string, text_type string, section_path string, text string, metadata map<string,string>")
+    conversations, texts = folders.pushed(docs)
+    assert conversations.count() == texts.count() == 3
+    assert {(r["text"], r["is_attachment"]) for r in texts.collect()} == {("hello", False), ("same", True), ("x", True)}
+
+
+def test_analyses_are_united_within_caps(spark):
+    from postloom.operators import maintenance as M
+
+    kind = "g int, facts array<string>, acts array<struct<who:string,what:string>>"
+    a = spark.createDataFrame([(1, ["A ", "b"], [("x", "do")]), (2, None, None)], kind)
+    b = spark.createDataFrame([(1, ["a", "c", "d"], [("X", " DO"), ("y", "do")]), (3, ["z"], [])], kind)
+    got = {r["g"]: r for r in M.united(a, b, "g", {"facts": 3, "acts": 9}, {"acts": ["who", "what"]}).collect()}
+    assert got[1]["facts"] == ["A ", "b", "c"] and [tuple(x) for x in got[1]["acts"]] == [("x", "do"), ("y", "do")]
+    assert got[3]["facts"] == ["z"] and got[2]["facts"] is None
+
+
+def test_keyword_support_is_that_of_all_pairs(spark):
+    from postloom.operators import maintenance as M
+
+    r = random.Random(5)
+    words = [f"w{k}" for k in range(30)] + ["common"] * 20
+    claims = [(i, " ".join(r.choices(words, k=r.randint(0, 7)))) for i in range(80)]
+    facts = [(i, " ".join(r.choices(words, k=r.randint(0, 7)))) for i in range(80)]
+    got = {x["claim_id"]: x for x in M.keyword_support(spark.createDataFrame(claims, "claim_id long, claim string"), spark.createDataFrame(facts, "fact_id long, fact string")).collect()}
+    for i, c in claims:
+        c = set(c.split())
+        best = max(((len(c & set(f.split())) / len(c | set(f.split())), -k) for k, f in facts if c and f), default=(0, 0))
+        want = (round(best[0], 6), -best[1]) if round(best[0], 6) >= M.KEYWORD_LEAST else (0.0, None)
+        assert (got[i]["score"], got[i]["fact_id"]) == want and got[i]["supported"] == (want[1] is not None)
+
+
+def test_mmr_by_vectors(spark):
+    from postloom.operators import ranking
+
+    rows = [(1, 1, 1.0, [1.0, 0.0]), (1, 2, 0.99, [1.0, 0.0]), (1, 3, 0.5, [0.0, 1.0]), (1, 4, 0.1, None)]
+    got = ranking.diverse_vectors(spark.createDataFrame(rows, "q int, id int, s double, v array<double>"), "q", "id", "s", "v", 2, 0.5).orderBy("place").collect()
+    assert [r["id"] for r in got] == [1, 3]
+
+
+def test_audit_hash_is_that_of_sorted_json(spark):
+    import hashlib
+
+    rows = [(1, "b", None), (2, 'q"\\', 7), (3, "é", -1)]
+    got = spark.createDataFrame(rows, "z long, a string, m long").select("z", maintenance.audit_hash(F.struct("a", "m", "z")).alias("h")).collect()
+    for (z, a, m), r in zip(rows, sorted(got, key=lambda r: r["z"]), strict=True):
+        held = {k: v for k, v in (("a", a), ("m", m), ("z", z)) if v is not None}
+        assert r["h"] == hashlib.sha256(json.dumps(held, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()
+
+
+def test_extraction_windows_overlap_and_end_at_lines(spark, tmp_path):
+    from postloom.plans.catalog import QUERIES
+
+    texts = ["x" * 4500, "ab\n" * 1500, "", "short"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["k11_extraction_windows"](spark, str(tmp_path)).orderBy("doc_id", "position").collect()
+    for i, t in enumerate(texts):
+        own = [(r["char_start"], r["char_end"]) for r in got if r["doc_id"] == i]
+        assert own[0][0] == 0 and own[-1][1] == len(t) and all(b == a_end - 200 for (_, a_end), (b, _) in zip(own, own[1:], strict=False))
+        assert all(e == len(t) or "\n" not in t or t[e] == "\n" for _, e in own)

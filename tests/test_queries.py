@@ -1,6 +1,7 @@
 """Every query against its SQL, on the smallest tables."""
 
 import datetime
+import decimal
 import math
 import os
 from collections import Counter
@@ -19,7 +20,7 @@ def _plain(v):
         return None
     if isinstance(v, bool):
         return v
-    if isinstance(v, int | float):
+    if isinstance(v, int | float | decimal.Decimal):
         return float(f"{v:.9g}")
     if isinstance(v, datetime.datetime):
         return v.replace(tzinfo=None).isoformat()
