@@ -1,11 +1,16 @@
-"""Nearest neighbours by cosine: an exact scan whose top-k is taken by task before it is merged."""
+"""Nearest neighbours by cosine: an exact scan whose top-k is taken by task before it is merged, and an inverted index."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.functions.vectors import cosine, unit_score, usable
+from postloom.sources.tables import stored
 
 LIMIT_MOST = 500
 
@@ -18,3 +23,92 @@ def nearest(vectors: DataFrame, query: list[float], k: int, where: Column | None
     top = near.orderBy(F.desc("similarity"), id_col).limit(min(k, LIMIT_MOST))
     return top.withColumn("score", F.round(unit_score(F.col("similarity")), 4))
 
+
+
+LISTS_MOST, SAMPLED, STEPS, PROBES, PART = 1024, 1 << 15, 8, 0.25, 1 << 15
+
+
+def _units(column: pa.Array, dim: int) -> np.ndarray:
+    m = np.asarray(column.flatten(), np.float32).reshape(len(column), dim)
+    return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-30)
+
+
+def centroids(vectors: DataFrame, dim: int) -> np.ndarray:
+    """Centres of an inverted index by spherical k-means on a bounded sample (SAMPLED vectors, by a hash of the id): the
+    square root of the number of vectors, LISTS_MOST at most."""
+    n = vectors.count()
+    share = min(1.0, 2 * SAMPLED / max(1, n))
+    near = vectors.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    rows = near.orderBy(F.xxhash64("id"), "id").limit(SAMPLED).select("vector").toArrow().combine_chunks()
+    m = _units(rows["vector"].combine_chunks(), dim) if len(rows) else np.zeros((0, dim), np.float32)
+    c = m[: max(1, min(LISTS_MOST, int(n**0.5)))].copy()
+    for _ in range(STEPS if len(m) else 0):
+        own = (m @ c.T).argmax(1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, own, m)
+        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, sums, c)
+        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-30)
+    return c
+
+
+def approximate(queries: DataFrame, vectors: DataFrame, k: int, dim: int, id_col: str = "vec_id", vector_col: str = "embedding", probes: float = PROBES) -> DataFrame:
+    """Rows (query_id, rank, id, similarity): each query's k nearest by cosine among the vectors in the lists nearest to it,
+    a share `probes` of all lists; probes=1 is the exact search. Every usable vector is in one list. A list is dealt into
+    parts of bounded size; a task holds one part's vectors and streams the queries that probe it, so that no pair of
+    vectors is ever written. Ties go to the smaller id; a query does not find its own id."""
+    usable_rows = lambda rows: rows.where(usable(F.col(vector_col), dim)).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("vector"))
+    pool, asked = usable_rows(vectors), usable_rows(queries)
+    sc = pool.sparkSession.sparkContext
+    centres = sc.broadcast(centroids(pool, dim))  # LISTS_MOST vectors at most
+    lists = len(centres.value)
+    probed = max(1, min(lists, math.ceil(probes * lists)))
+
+    def assigned(batches):
+        for batch in batches:
+            own = (_units(batch.column(1), dim) @ centres.value.T).argmax(1).astype(np.int32) if lists else np.zeros(len(batch), np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(own), batch.column(0), batch.column(1)], ["list", "id", "vector"])
+
+    def probing(batches):
+        for batch in batches:
+            m = _units(batch.column(1), dim)
+            near = np.argpartition(-(m @ centres.value.T), probed - 1, 1)[:, :probed].astype(np.int32)
+            row = pa.array(np.repeat(np.arange(len(batch)), probed))
+            yield pa.RecordBatch.from_arrays([pa.array(near.ravel()), batch.column(0).take(row), batch.column(1).take(row)], ["list", "id", "vector"])
+
+    schema = "list int, id long, vector array<float>"
+    indexed = stored(pool.mapInArrow(assigned, schema))
+    sizes = indexed.groupBy("list").agg(F.ceil(F.count("*") / PART).cast("int").alias("parts"))  # a row a list
+    parts = F.broadcast(sizes)
+    held = indexed.join(parts, "list").select("list", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(0).alias("kind"), "id", "vector")
+    seeking = asked.mapInArrow(probing, schema).join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = held.unionByName(seeking.select("list", "part", F.lit(1).alias("kind"), "id", "vector"))
+
+    def matched(batches):
+        key, ids, own, m = None, [], [], None
+        for batch in batches:
+            lists_, parts_, kinds, all_ids = (np.asarray(batch.column(c)) for c in range(4))
+            vectors_ = _units(batch.column(4), dim)
+            cuts = np.flatnonzero(np.concatenate([[True], (np.diff(lists_) != 0) | (np.diff(parts_) != 0) | (np.diff(kinds) != 0), [True]]))
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if (lists_[a], parts_[a]) != key:
+                    key, ids, own, m = (lists_[a], parts_[a]), [], [], None
+                if kinds[a] == 0:
+                    ids.append(all_ids[a:b])
+                    own.append(vectors_[a:b])
+                    continue
+                if not own:
+                    continue
+                if m is None:
+                    ids, m = np.concatenate(ids), np.concatenate(own)
+                for s in range(a, b, 256):
+                    score = (vectors_[s : min(b, s + 256)].astype(float) @ m.T.astype(float)).round(6)
+                    score[all_ids[s : min(b, s + 256)][:, None] == ids] = -np.inf
+                    order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+                    q, c = np.repeat(all_ids[s : min(b, s + 256)], order.shape[1]), ids[order.ravel()]
+                    v = np.take_along_axis(score, order, 1).ravel()
+                    keep = v > -np.inf
+                    yield pa.RecordBatch.from_arrays([pa.array(q[keep]), pa.array(c[keep]), pa.array(v[keep])], ["query_id", "id", "similarity"])
+
+    found = both.repartition("list", "part").sortWithinPartitions("list", "part", "kind").mapInArrow(matched, "query_id long, id long, similarity double")
+    ranked_ = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")))
+    return ranked_.where(F.col("rank") <= k).select("query_id", "rank", "id", "similarity")

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions import people
 from postloom.functions import text as T
-from postloom.functions.vectors import normalized
-from postloom.operators import chunking, embedding, graph, writes
+from postloom.operators import chunking, embedding, graph, vector, writes
 from postloom.plans.registry import query, table
 
 
@@ -72,15 +71,27 @@ def w11_backfill(spark, sf_dir):
 
 @query()
 def v06_approximate_nearest(spark, sf_dir):
-    """Neighbours within a distance, for every 20th id, by random projections of normalised vectors; the test holds their
-    recall against the exact scan."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    e = table(spark, sf_dir, "embeddings").select("vec_id", array_to_vector(normalized(F.col("embedding"))).alias("v"))
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=1.5, numHashTables=4, seed=7).fit(e)
-    pairs = model.approxSimilarityJoin(e.where("vec_id % 20 = 0"), e, 1.2, "distance")
-    return pairs.select(F.col("datasetA.vec_id").alias("query_id"), F.col("datasetB.vec_id").alias("vec_id"), F.round("distance", 4).alias("distance"))
+    """The ten nearest of every 20th id by an inverted index; no SQL, as the index is approximate. A test holds its recall
+    against the exact search, which is the same with probes=1."""
+    e = table(spark, sf_dir, "embeddings")
+    return vector.approximate(e.where("vec_id % 20 = 0"), e, 10, 64)
+
+
+_COSINE = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 5)"
+
+
+@query(
+    f"""WITH p AS (SELECT q.vec_id AS query_id, {_COSINE} AS similarity FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, round(max(similarity), 4) AS nearest, count(*) AS n FROM p GROUP BY query_id"""
+)
+def v06_exact_nearest(spark, sf_dir):
+    """The exact way beside the index: all lists probed, the nearest of every 20th id, and how many vectors were held
+    against it."""
+    e = table(spark, sf_dir, "embeddings")
+    asked = e.where("vec_id % 20 = 0")
+    found = vector.approximate(asked, e, 1, 64, probes=1.0)
+    total = e.agg((F.count("*") - 1).alias("n"))  # one row
+    return found.select("query_id", F.round("similarity", 4).alias("nearest")).crossJoin(F.broadcast(total))
 
 
 @query()
