@@ -1,10 +1,13 @@
 """The entry module: with all parts, and where the training-data folders are gone."""
 
+import os
 import shutil
 import subprocess
 import sys
 from pathlib import Path
 
+import pytest
+
 ROOT = Path(__file__).resolve().parent.parent
 
 
@@ -14,12 +17,33 @@ def test_sql_belongs_to_queries():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-def test_it_imports_without_the_training_data_folders(tmp_path):
+def _copy(tmp_path, *gone):
     copy = tmp_path / "repo"
-    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q); print(len(q), len(e.oracle_sql()))"
-    out = subprocess.run([sys.executable, "-c", code], cwd=copy, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(copy)}, capture_output=True, text=True, timeout=120)
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", ".pytest_cache", *gone))
+    return copy
+
+
+def _run(copy, *args):
+    return subprocess.run([sys.executable, *args], cwd=copy, env={"PATH": os.environ.get("PATH", "/usr/bin:/bin"), "PYTHONPATH": str(copy), "HOME": str(copy)}, capture_output=True, text=True, timeout=600)
+
+
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_without_the_training_data_folders_the_rest_works(tmp_path, gone):
+    copy = _copy(tmp_path, *gone)
+    assert (copy / "corpus_pipeline.py").exists() == (len(gone) == 1)
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and 'pipeline' not in q and not any(n.startswith('op1_') for n in q); assert set(e.oracle_sql()) <= set(q)"
+    out = _run(copy, "-c", code)
     assert out.returncode == 0, out.stderr
+    out = _run(copy, "-m", "pytest", "-q", "-x", "tests/test_names.py", "tests/test_whole_tables.py")
+    assert out.returncode == 0, out.stdout[-3000:]
+
+
+def test_what_else_is_missing_is_an_error(tmp_path):
+    copy = _copy(tmp_path)
+    broken = copy / "postloom" / "llm" / "warc.py"
+    broken.write_text("import no_such_module_here\n" + broken.read_text()) if broken.exists() else pytest.skip("the folders are gone")
+    out = _run(copy, "-c", "import __spark_entry__")
+    assert out.returncode and "no_such_module_here" in out.stderr
 
 
 def test_nothing_else_imports_the_subpackage():
