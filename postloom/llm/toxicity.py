@@ -1,11 +1,13 @@
 """Toxicity: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
 A document's features are the distinct hash slots of its words (letters and digits, A-Z lower-cased), the words' heads
-(their first 5 and 7 bytes, which stand for a word in all its endings), word pairs and pairs with one word between. FTRL-proximal (McMahan et al. 2013) has a learning rate for each coordinate and an L1
-penalty that leaves few weights; those are broadcast, and every whole text is scored in one pass without a shuffle.
+(their first 5 and 7 bytes, which stand for a word in all its endings), word pairs and pairs with one word between.
+FTRL-proximal (McMahan et al. 2013) has a learning rate for each coordinate and an L1 penalty that leaves few weights;
+those are broadcast, and every whole text is scored in one pass without a shuffle.
 
-The model is fitted on a bounded sample of labelled rows: at most MAX_ROWS of them, in the order of a hash of doc_id, and
-of those the ones with at most MAX_SLOTS features. Only labelled rows that learnable() admits are seen.
+The model is fitted on a bounded sample of labelled rows: at most MAX_ROWS of them, in the order of a hash of doc_id.
+One task fits it: the rows of all epochs stream through it in order, so that it holds one batch and the coordinates,
+however long the texts are. Only labelled rows that learnable() admits are seen.
 
 Edge cases: null and empty texts have no features and get the bias alone. A null doc_id is scored, not learned from, and
 not held out. Where labels disagree on a document it counts as toxic; null labels count as none. Of rows that repeat a
@@ -23,12 +25,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
-from postloom.llm.common import small_batches
+from postloom.llm.common import small_batches, stored
 
 BITS = 20
 HEADS = (5, 7)
 MAX_ROWS = 16000
-MAX_SLOTS = 4096
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 6.0, 0.1
 BIAS_WITHOUT_LABELS = -1e-6
@@ -55,6 +56,9 @@ def learnable(doc_id: Column) -> Column:
 
 def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Slots of all features of the rows, repeated ones too, and the row of each."""
+    if len(offsets) == 2 and len(data) > 4 * K.SLICE_BYTES:
+        slots = _long_row(data)
+        return slots, np.zeros(len(slots), np.int64)
     h, first = K.word_hashes(data, offsets, fold=True, gaps=K.PUNCTUATION)
     row = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     grams, rows = [K.mix(h, 1)], [row]
@@ -69,6 +73,19 @@ def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(grams) >> np.uint64(64 - BITS), np.concatenate(rows)
 
 
+def _long_row(data: np.ndarray) -> np.ndarray:
+    """Distinct slots of one long row, part by part; a part begins with the two words before it, for the pairs."""
+    seen, before = np.zeros(1 << BITS, bool), np.zeros(0, np.uint8)
+    for _, part, _ in K.word_pieces(data, np.array([0, len(data)]), K.PUNCTUATION):
+        part = np.concatenate([before, part])
+        seen[_slots(part, np.array([0, len(part)]))[0].astype(np.int64)] = True
+        starts, _, _ = K.words(part, np.array([0, len(part)]), K.PUNCTUATION)
+        before = part[starts[-2] :] if len(starts) > 1 else part
+        if len(before) > K.SLICE_BYTES:  # two words of such length: their pair with the next one is out of reach
+            before = before[:0]
+    return np.flatnonzero(seen).astype(np.uint64)
+
+
 def _features(batches):
     """(doc_id, y, text) to (doc_id, y, slots)."""
     for batch in batches:
@@ -85,30 +102,32 @@ def _features(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.ListArray.from_arrays(ends, pa.array(flat))], ["doc_id", "y", "slots"])
 
 
-def ftrl(rows: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Weights:
-    """Weights fitted to rows of distinct slots, one update a row. The bias is the log odds of the labels' share (at most
-    0.45) and is not fitted, so that a text without any known feature, such as an empty one, is not found toxic."""
-    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    share = min(max(float(np.mean(y)), 0.001), 0.45)
-    bias = float(np.log(share / (1 - share)))
+class Fit:
+    """The coordinates of an FTRL-proximal fit; each row of distinct slots is one update. The bias is the log odds of the
+    labels' share (at most 0.45) and is not fitted, so that a text without any known feature, such as an empty one, is
+    not found toxic."""
+
+    def __init__(self, share: float):
+        self.z, self.n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+        share = min(max(share, 0.001), 0.45)
+        self.bias = float(np.log(share / (1 - share)))
 
-    def weights(at):
-        w = -(z[at] - np.sign(z[at]) * L1) / ((BETA + np.sqrt(n[at])) / ALPHA + L2)
-        w[np.abs(z[at]) <= L1] = 0
+    def _weights(self, z: np.ndarray, n: np.ndarray) -> np.ndarray:
+        w = -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2)
+        w[np.abs(z) <= L1] = 0
         return w
 
-    order = np.random.default_rng(7).permutation(len(rows))
-    for _ in range(epochs):
-        for k in order.tolist():
-            at = rows[k]
-            w = weights(at)
-            g = 1 / (1 + np.exp(-np.clip(bias + w.sum(), -35, 35))) - y[k]
-            step = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
-            z[at] += g - step * w
-            n[at] += g * g
-    every = weights(np.arange(len(z)))
-    held = np.flatnonzero(every)
-    return Weights(held, every[held].astype(np.float32), bias)
+    def update(self, at: np.ndarray, y: float) -> None:
+        z, n = self.z[at], self.n[at]
+        w = self._weights(z, n)
+        g = 1 / (1 + np.exp(-np.clip(self.bias + w.sum(), -35, 35))) - y
+        self.z[at] = z + g - (np.sqrt(n + g * g) - np.sqrt(n)) / ALPHA * w
+        self.n[at] = n + g * g
+
+    def weights(self) -> Weights:
+        every = self._weights(self.z, self.n)
+        held = np.flatnonzero(every)
+        return Weights(held, every[held].astype(np.float32), self.bias)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows: int = MAX_ROWS) -> Weights:
@@ -126,13 +145,26 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", max_rows
     sample = near.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).where("text is not null")
     found = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "y", "text").mapInArrow(_features, "doc_id long, y int, slots array<int>")
-    one = found.where(F.size("slots") <= MAX_SLOTS).groupBy("doc_id").agg(F.min(F.struct("slots", "y")).alias("x"))
-    rows = one.select("doc_id", "x.slots", "x.y").toArrow().sort_by("doc_id").combine_chunks()
-    if not len(rows):
+    rows = stored(found.groupBy("doc_id").agg(F.min(F.struct("slots", "y")).alias("x")).select("doc_id", "x.slots", "x.y"))
+    share = rows.agg(F.avg(F.col("y").cast("double"))).first()[0]
+    if share is None:
         return Weights(np.zeros(0, np.int64), np.zeros(0, np.float32), BIAS_WITHOUT_LABELS)
-    slots = rows["slots"].combine_chunks()
-    flat, cuts = np.asarray(slots.flatten()), np.asarray(slots.value_lengths()).cumsum()[:-1]
-    return ftrl(np.split(flat, cuts), np.asarray(rows["y"]).astype(float))
+    epochs = EPOCHS
+
+    def fitted(batches):
+        fit = Fit(share)
+        for batch in batches:
+            slots = batch.column(0)
+            flat, ends, y = np.asarray(slots.flatten()), np.asarray(slots.value_lengths()).cumsum(), np.asarray(batch.column(1)).astype(float)
+            for k, end in enumerate(ends.tolist()):
+                fit.update(flat[ends[k - 1] if k else 0 : end], y[k])
+        w = fit.weights()
+        yield pa.RecordBatch.from_arrays([pa.array(w.slots), pa.array(w.values)], ["slot", "value"])
+
+    order = F.xxhash64("doc_id", F.lit(7))
+    streamed = rows.repartition(1).withColumn("epoch", F.explode(F.sequence(F.lit(1), F.lit(epochs)))).sortWithinPartitions("epoch", order, "doc_id")
+    table = streamed.select("slots", "y").mapInArrow(fitted, "slot long, value float").toArrow()
+    return Weights(table["slot"].to_numpy(), table["value"].to_numpy(), Fit(share).bias)
 
 
 def _margins(table: np.ndarray, bias: float, texts: pa.Array) -> np.ndarray:
