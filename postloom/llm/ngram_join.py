@@ -3,22 +3,27 @@
 A document's set is its distinct 5-word shingles (A-Z lower-cased, words [^\\x20\\x09-\\x0D]+). Two documents link
 when 100 * intersection >= 80 * union. The join returns one row per document with its component.
 
-1. Documents of the same set are one class from then on, known by its smallest doc_id.
+1. Documents of the same set are one class from then on, known by a number and by its smallest doc_id.
 2. Routing. Two linked sets share one of the first n - ceil(0.8 n) + 1 entries of each in any order that is the same
    for all; the order here puts shingles that a sample shows to be common last. Classes that share no such entry with
    another need no further look.
 3. Leaders. The smallest shingle of each sixteenth of the hash range (one-permutation min-hashes) draws near copies to
    a leader, the smallest of those that share it; classes that share at least LIKELY of them with a leader are compared
-   with it. Found links join classes to components, so that a large group of near copies needs one comparison each, not
+   with it. Found links join classes to groups, so that a large group of near copies needs one comparison each, not
    all pairs. What this step overlooks is left to the next.
-4. Signature trees. Classes of different components that share a routing entry go to a tree for that entry; its nodes
+4. Signature trees. Classes of different groups that share a routing entry go to a tree for that entry; its nodes
    hold the OR of their members' token bitmaps and their size range. A dual traversal drops node pairs whose largest
-   possible overlap is too small; the pairs that are left are checked on the whole sets, which only the documents of such pairs hand over.
+   possible overlap is too small; the pairs that are left are checked on the whole sets (64 bits a shingle), which only
+   the classes of such pairs hand over. In a first pass each tree hands on a spanning forest of its likeliest pairs, which
+   joins most of what belongs together by some pairs a member; in the last pass every pair of groups still apart is
+   checked. An entry with very many members is dealt out in blocks, and only those outside its largest group meet the
+   others, so that what it costs follows the strays.
+5. All links found, and the classes that a repeated doc_id has in common, give the components.
 
 Edge cases: a null or empty text, or one without words, has an empty set and links with nothing; with one to four words
 the whole sequence is the only shingle. Rows with a null doc_id get n_shingles and a null component, and link with
-nothing. Rows with the same doc_id count as one document. Extra columns are ignored. An empty table gives an empty
-result.
+nothing. Rows with the same doc_id are one document: its texts are in one component, and each row has its own
+n_shingles. Extra columns are ignored. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
-from postloom.llm.common import bitmap_of, components, id_hash, small_batches, stored
+from postloom.llm.common import bitmap_of, bits_for, components, hashed_ids, id_hash, small_batches, stored, union
 
 SHINGLE = 5
 BINS = 16
@@ -39,13 +44,14 @@ LIKELY = 8
 SIGNATURE_WORDS = 16  # 64-bit words of a token bitmap in a tree
 WIDEST = 1 << 22  # bits of a large set's own bitmap at most
 FANOUT = 8
-BLOCK = 512  # members of a tree; larger groups are dealt out in pairs of blocks
+BLOCK = 2048  # members of a tree; larger groups are dealt out in pairs of blocks
+FRONTIER = 1 << 16  # node pairs of a traversal looked at together
 SAMPLED = 16  # one in so many documents is looked at for common shingles
 COMMON_SEEN = 8  # a shingle seen so often in the sample counts as common
 COMMON_MAX = 1 << 18  # bound of the list of common shingles (2 MB)
-LEADER_ROUNDS = 2
+LEADER_ROUNDS, LEADERS = 1, 4
+FOREST_ROUNDS = 1
 FLUSH = 1 << 16  # tree rows looked at together
-ID_BITS = 24
 
 _BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 
@@ -78,6 +84,15 @@ def _lists(values: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(flat.view(np.int64)))
 
 
+def _longs(values: list[int]) -> pa.Array:
+    return pa.array(np.array(values, np.uint64).view(np.int64))
+
+
+def _digest(s: np.ndarray) -> tuple[int, int]:
+    """128 bits by which equal sets are known, together with their size."""
+    return int(s.sum()), int(np.bitwise_xor.reduce(K.mix(s, 2))) if len(s) else 0
+
+
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
@@ -113,8 +128,8 @@ def _features(texts: DataFrame, common: np.ndarray) -> DataFrame:
             n, d1, d2, mins, prefix, bits, wide = [], [], [], [], [], [], []
             for _, s in _rows(batch):
                 n.append(len(s))
-                d1.append(int(s.sum()))
-                d2.append(int(np.bitwise_xor.reduce(K.mix(s, 2))) if len(s) else 0)
+                for held, d in zip((d1, d2), _digest(s), strict=True):
+                    held.append(d)
                 at = np.searchsorted(s, _BIN_STARTS)
                 first = at[at < np.append(at[1:], len(s))]  # of the bins that hold any
                 mins.append(s[first])
@@ -131,49 +146,44 @@ def _features(texts: DataFrame, common: np.ndarray) -> DataFrame:
                 wide.append(packed.tobytes() if len(packed) > SIGNATURE_WORDS * 8 else b"")
                 bits.append(np.bitwise_or.reduce(packed.reshape(-1, SIGNATURE_WORDS * 8)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), *(pa.array(np.array(d, np.uint64).view(np.int64)) for d in (d1, d2)), _lists(mins), _lists(prefix), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
+                [batch.column(0), pa.array(n, pa.int64()), _longs(d1), _longs(d2), _lists(mins), _lists(prefix), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
                 ["doc_id", "n", "d1", "d2", "mins", "prefix", "bits", "wide"],
             )
 
     return texts.mapInArrow(features, _FEATURES)
 
 
-def _packed(s: np.ndarray) -> bytes:
-    """A set as sorted 40-bit hashes (5 bytes an entry)."""
-    s = np.sort(s >> np.uint64(24))
-    return (s & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (s >> np.uint64(32)).astype(np.uint8).tobytes()
-
-
-def _unpacked(b: bytes) -> np.ndarray:
-    n = len(b) // 5
-    return np.frombuffer(b, np.uint32, n).astype(np.uint64) | (np.frombuffer(b, np.uint8, n, 4 * n).astype(np.uint64) << np.uint64(32))
-
-
 def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The whole sets of the documents in ids (doc_id), by another pass over the texts: a bitmap passes few others, which
-    the join with pairs drops."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(ids.mapInArrow(_hashed, "h long"), "h", ID_BITS))
+    """The whole sets (d1, d2, s) of the documents in ids (doc_id), by another pass over the texts: a bitmap passes few
+    others, which the join with pairs drops. s holds the sorted 64-bit hashes."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(hashed_ids(ids), "h", bits_for(ids.count())))
 
     def sets(batches):
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
             known = np.asarray(batch.column(0).is_valid())
             keep = K.in_bitmap(shared.value, id_hash(np.asarray(batch.column(0).fill_null(0)))) & known
-            batch = batch.filter(pa.array(keep))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_packed(s) for _, s in _rows(batch)], pa.binary())], ["doc_id", "s"])
-
-    return texts.mapInArrow(sets, "doc_id long, s binary")
-
-
-def _hashed(batches):
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array(id_hash(np.asarray(batch.column(0))).view(np.int64))], ["h"])
-
-
-def _wide_enough(pairs: DataFrame, features: DataFrame) -> DataFrame:
+            d1, d2, held = [], [], []
+            for _, s in _rows(batch.filter(pa.array(keep))):
+                key = _digest(s)
+                if len(s) and key not in seen:  # a class that repeats in a task is handed over once
+                    if len(seen) > 100_000:
+                        seen.clear()
+                    seen.add(key)
+                    d1.append(key[0])
+                    d2.append(key[1])
+                    held.append(s.tobytes())
+            yield pa.RecordBatch.from_arrays([_longs(d1), _longs(d2), pa.array(held, pa.binary())], ["d1", "d2", "s"])
+
+    out = texts.mapInArrow(sets, "d1 long, d2 long, s binary").groupBy("d1", "d2").agg(F.first("s").alias("s"))
+    return out
+
+
+def _wide_enough(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """pairs without those of large sets whose own bitmaps, some two bits an entry, show that they cannot link."""
-    wide = features.where("octet_length(wide) > 0").select("doc_id", "n", "wide")
-    one = pairs.join(wide.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a", "left")
-    two = one.join(wide.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b", "left")
+    wide = nodes.where("octet_length(wide) > 0").select("node", "n", "wide")
+    one = pairs.join(wide.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("wide").alias("wa")), "a", "left")
+    two = one.join(wide.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("wb")), "b", "left")
 
     def check(batches):
         for batch in batches:
@@ -186,45 +196,50 @@ def _wide_enough(pairs: DataFrame, features: DataFrame) -> DataFrame:
                 keep[k] = may_link(x[k : k + 1], y[k : k + 1], u[None], v[None])[0]
             yield batch.select([0, 1]).filter(pa.array(keep))
 
-    return two.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(check, "a long, b long").distinct()
+    return two.select("a", "b", "na", "nb", "wa", "wb").mapInArrow(check, "a long, b long")
+
 
+_LINK = "a long, b long, first_a long, first_b long, group_a long, group_b long"
 
-def _verified(pairs: DataFrame, texts: DataFrame, features: DataFrame) -> DataFrame:
-    """The pairs (a, b) of documents whose sets link."""
-    pairs = stored(_wide_enough(pairs, features))
+
+def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs (a, b) of classes whose sets link, with both ends' smallest doc_id and group; stored."""
+    side = lambda k: nodes.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}"), F.col("comp").alias(f"group_{k}"), F.col("d1").alias(f"{k}1"), F.col("d2").alias(f"{k}2"))
+    ends = stored(pairs.join(side("a"), "a").join(side("b"), "b"))
+    sets = _sets(texts, ends.select(F.explode(F.array("first_a", "first_b"))).distinct())
+    part = lambda k: sets.select(F.col("d1").alias(f"{k}1"), F.col("d2").alias(f"{k}2"), F.col("s").alias(f"s{k}"))
 
     def check(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = _unpacked(x.as_py()), _unpacked(y.as_py())
+            for x, y in zip(batch.column(6), batch.column(7), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
                 if len(x) > len(y):
                     x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum()) if len(y) else 0
-                keep.append(9 * both >= 4 * (len(x) + len(y)) and both > 0)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                keep.append(9 * both >= 4 * (len(x) + len(y)))
+            yield batch.select(list(range(6))).filter(pa.array(keep, pa.bool_()))
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = stored(_sets(texts, ids))
-    one = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb")), "b")
-    return one.join(sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), "a").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
+    joined = ends.join(part("b"), ["b1", "b2"]).join(part("a"), ["a1", "a2"])
+    return stored(joined.select("a", "b", "first_a", "first_b", "group_a", "group_b", "sa", "sb").mapInArrow(check, _LINK))
 
 
-def _relabel(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """nodes with comp replaced by the component that edges between comps give it."""
-    found = components(edges)
-    joined = nodes.join(found.select(F.col("node").alias("comp"), "component"), "comp", "left")
-    return stored(joined.withColumn("comp", F.coalesce("component", "comp")).drop("component"))
+def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """nodes with the groups that links join made one, known by the smallest of them."""
+    found = components(links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
+    named = nodes.join(found.withColumnRenamed("node", "comp"), "comp", "left")
+    return stored(named.withColumn("comp", F.coalesce("component", "comp")).drop("component"))
 
 
 def _leader_pairs(nodes: DataFrame) -> DataFrame:
-    """Each class with the leader of another component with which it shares the most minima, if they are likely to link."""
-    minima = nodes.select("doc_id", "comp", F.size("mins").alias("held"), F.explode("mins").alias("low"))
-    leads = minima.groupBy("low").agg(F.min(F.struct("comp", "doc_id")).alias("lead"), F.max("comp").alias("last")).where("lead.comp <> last")
-    shared = minima.join(leads, "low").where("comp <> lead.comp").groupBy(F.col("doc_id").alias("a"), F.col("lead.doc_id").alias("b")).agg(F.count("*").alias("n"), F.max("held").alias("held"))
+    """Each class with the LEADERS leaders of other groups with which it shares the most minima, if they are likely to
+    link. A class has BINS minima, so that its list is bounded."""
+    minima = nodes.select("node", "comp", F.size("mins").alias("held"), F.explode("mins").alias("low"))
+    leads = minima.groupBy("low").agg(F.min(F.struct("comp", "node")).alias("lead"), F.max("comp").alias("last")).where("lead.comp <> last")
+    shared = minima.join(leads, "low").where("comp <> lead.comp").groupBy(F.col("node").alias("a"), F.col("lead.node").alias("b")).agg(F.count("*").alias("n"), F.max("held").alias("held"))
     likely = shared.where(F.col("n") * BINS >= F.col("held") * LIKELY)
-    return likely.groupBy("a").agg(F.max_by("b", F.struct("n", -F.col("b"))).alias("b"))
+    best = likely.groupBy("a").agg(F.slice(F.sort_array(F.collect_list(F.struct("n", (-F.col("b")).alias("b"))), asc=False), 1, LEADERS).alias("best"))
+    return best.select("a", F.explode("best.b").alias("b")).select("a", (-F.col("b")).alias("b"))
 
 
 def may_link(size_x: np.ndarray, size_y: np.ndarray, bits_x: np.ndarray, bits_y: np.ndarray) -> np.ndarray:
@@ -247,6 +262,43 @@ def _small_groups(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.
     return np.concatenate(x), np.concatenate(y)
 
 
+def overlap(size_x: np.ndarray, size_y: np.ndarray, bits_x: np.ndarray, bits_y: np.ndarray) -> np.ndarray:
+    """What may_link() takes for the overlap of pairs, as a part of their union."""
+    common = bits_x & bits_y
+    most = np.minimum(size_x - np.bitwise_count(bits_x ^ common).sum(1), size_y - np.bitwise_count(bits_y ^ common).sum(1))
+    return most / np.maximum(1, size_x + size_y - most)
+
+
+def forest(x: np.ndarray, y: np.ndarray, likely: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Places of pairs that join the groups (comp of members x and y) as all pairs do: a spanning forest of the likeliest
+    (Boruvka's steps: each group takes its likeliest pair, the groups that these join become one)."""
+    label = np.unique(comp, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(-likely, kind="stable")
+    taken = np.zeros(len(x), bool)
+    while True:
+        u, v = label[x[order]], label[y[order]]
+        order, u, v = order[u != v], u[u != v], v[u != v]
+        if not len(order):
+            return np.flatnonzero(taken)
+        ends, first = np.unique(np.stack([u, v], 1).ravel(), return_index=True)  # the first place is the likeliest pair
+        pick = np.unique(first // 2)
+        taken[order[pick]] = True
+        root = {int(e): int(e) for e in ends}
+
+        def top(a, root=root):
+            while root[a] != a:
+                root[a] = a = root[root[a]]
+            return a
+
+        for a, b in zip(u[pick].tolist(), v[pick].tolist(), strict=True):
+            a, b = top(a), top(b)
+            root[max(a, b)] = min(a, b)
+        table = np.arange(int(label.max()) + 1)
+        for e in root:
+            table[e] = top(e)
+        label = table[label]
+
+
 def tree_pairs(size: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.ndarray, both_sides: bool) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of members that may link, by dual traversal of a signature tree over them. bits: their token bitmaps
     as rows of 64-bit words; with both_sides only pairs of different side count; pairs of one comp never do."""
@@ -258,37 +310,51 @@ def tree_pairs(size: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.nd
         b, low, high, extra = levels[-1]
         cuts = np.arange(0, len(b), FANOUT)
         levels.append((np.bitwise_or.reduceat(b, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(extra, cuts)))
-    x = y = np.zeros(1, np.int64)
-    for depth in range(len(levels) - 1, -1, -1):
+    top, grid = len(levels) - 1, np.arange(FANOUT)
+    waiting, found = [(top, np.zeros(1, np.int64), np.zeros(1, np.int64))], []
+    while waiting:
+        depth, x, y = waiting.pop()
+        if len(x) > FRONTIER:
+            waiting += [(depth, x[k : k + FRONTIER], y[k : k + FRONTIER]) for k in range(0, len(x), FRONTIER)]
+            continue
         b, low, high, extra = levels[depth]
         most = np.minimum(np.minimum(high[x], high[y]), np.bitwise_count(b[x] & b[y]).sum(1) + np.minimum(extra[x], extra[y]))
         may = 9 * most >= 4 * (low[x] + low[y])
         x, y = x[may], y[may]
         if depth:
             n = len(levels[depth - 1][0])
-            grid = np.arange(FANOUT)
             x, y = np.broadcast_arrays(x[:, None, None] * FANOUT + grid[:, None], y[:, None, None] * FANOUT + grid)
             x, y = x.ravel(), y.ravel()
             ok = (x < n) & (y < n) & (x <= y)
-            x, y = x[ok], y[ok]
-    ok = (x < y) & (comp[x] != comp[y])
-    if both_sides:
-        ok &= side[x] != side[y]
-    x, y = x[ok], y[ok]
-    may = may_link(size[x], size[y], bits[x], bits[y])
-    return order[x[may]], order[y[may]]
-
-
-def _tree_candidates(entries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes of different components that share a routing entry and pass that entry's tree."""
-    info = nodes.select("doc_id", "comp", "n", "bits")
-    known = entries.join(info.select("doc_id", "comp"), "doc_id")
-    live = known.groupBy("h").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("members")).where("c0 <> c1").select("h", "members")
-    member = known.join(live, "h").join(info.drop("comp"), "doc_id")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.when(F.col("members") > BLOCK, F.pmod(F.xxhash64("doc_id"), blocks).cast("int")).otherwise(0)
-    dealt = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)) - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "comp", "n", "bits")
+            waiting.append((depth - 1, x[ok], y[ok]))
+            continue
+        ok = (x < y) & (comp[x] != comp[y])
+        if both_sides:
+            ok &= side[x] != side[y]
+        x, y = x[ok], y[ok]
+        may = may_link(size[x], size[y], bits[x], bits[y])
+        found.append((order[x[may]], order[y[may]]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+
+
+def _tree_candidates(entries: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
+    """Pairs (a, b) of classes of different groups that share a routing entry and pass that entry's tree: every one, or for
+    each tree a spanning forest of the likeliest, so that a large group of near copies gives some pairs a member."""
+    known = entries.join(nodes.select("node", "comp"), "node")
+    groups = known.groupBy("h", "comp").agg(F.count("*").alias("size"))
+    held = groups.groupBy("h").agg(F.sum("size").alias("members"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
+    member = known.join(held.where("members > most"), "h")
+    # strays (those outside the largest group) come in blocks 0, 1, ...; the largest group's members in those after
+    large = F.col("members") > BLOCK
+    strays = F.when(large, F.ceil((F.col("members") - F.col("most")) / BLOCK)).otherwise(1).cast("int")
+    others = F.when(large, F.ceil(F.col("most") / BLOCK)).otherwise(0).cast("int")
+    stray = ~large | (F.col("comp") != F.col("main"))
+    deal = F.xxhash64("node")
+    own = F.when(stray, F.pmod(deal, strays)).otherwise(strays + F.pmod(deal, F.greatest(others, F.lit(1)))).cast("int")
+    met = F.when(stray, strays + others).otherwise(strays)  # blocks that a member's block is held against
+    dealt = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node"), "comp")
+    dealt = dealt.join(nodes.select("node", "n", "bits"), "node").select("h", "i", "j", "own", F.col("node").alias("doc_id"), "comp", "n", "bits")
 
     def trees(batches):
         kept: list[pa.RecordBatch] = []
@@ -312,6 +378,10 @@ def _tree_candidates(entries: DataFrame, nodes: DataFrame) -> DataFrame:
             pairs = set(zip(np.minimum(ids[x], ids[y])[may].tolist(), np.maximum(ids[x], ids[y])[may].tolist(), strict=True))
             for s, e in zip(first[count > FANOUT].tolist(), (first + count)[count > FANOUT].tolist(), strict=True):
                 x, y = tree_pairs(size[s:e], bits[s:e], comp[s:e], side[s:e], bool(key[1, s] != key[2, s]))
+                if not every and len(x):
+                    likely = np.concatenate([overlap(size[s + x[k]], size[s + y[k]], bits[s + x[k]], bits[s + y[k]]) for k in (slice(at, at + FRONTIER) for at in range(0, len(x), FRONTIER))])
+                    kept = forest(x, y, likely, comp[s:e])
+                    x, y = x[kept], y[kept]
                 pairs.update((min(p), max(p)) for p in zip(ids[s + x].tolist(), ids[s + y].tolist(), strict=True))
             pairs -= seen
             if len(seen) > 1_000_000:
@@ -346,46 +416,31 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = _texts(docs)
     features = stored(_features(texts, common_shingles(texts)))
-    classes = stored(features.where("n > 0 and doc_id is not null").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("doc_id")))
-    # passes the classes' rows and few others, which the join with classes drops
-    reps = texts.sparkSession.sparkContext.broadcast(bitmap_of(classes.select("doc_id").mapInArrow(_hashed, "h long"), "h", ID_BITS))
-
-    def listed(bitmap):
-        def entries(batches):
-            for batch in batches:
-                ids = batch.column(0)
-                keep = K.in_bitmap(reps.value, id_hash(np.asarray(ids.fill_null(0)))) & np.asarray(ids.is_valid())
-                batch = batch.filter(pa.array(keep))
-                lists = batch.column(1)
-                flat = np.asarray(lists.flatten())
-                rows = np.repeat(np.arange(len(batch)), np.asarray(lists.value_lengths().fill_null(0)))
-                if bitmap is not None:
-                    keep = K.in_bitmap(bitmap.value, flat.view(np.uint64))
-                    rows, flat = rows[keep], flat[keep]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(flat)], ["doc_id", "h"])
-
-        return features.select("doc_id", "prefix").mapInArrow(entries, "doc_id long, h long")
-
-    shared = listed(None).groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
-    bitmap = texts.sparkSession.sparkContext.broadcast(bitmap_of(shared, "h", 27))
-    entries = stored(listed(bitmap).join(classes.select("doc_id"), "doc_id", "left_semi").distinct())
-    live = stored(entries.groupBy("h").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first <> last").select("h"))
+    linkable = features.where("n > 0 and doc_id is not null")
+    classes = linkable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.first(F.struct("mins", "prefix", "bits", "wide")).alias("of"))
+    classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "first", "of.*"))
+    entries = classes.select("node", F.explode("prefix").alias("h"))
+    live = entries.groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
     entries = stored(entries.join(live, "h", "left_semi"))
-    ids = stored(entries.select("doc_id").distinct())
-    one = features.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(*(F.min_by(c, F.struct("d1", "d2")).alias(c) for c in ("n", "mins", "bits")))
-    nodes = stored(one.select("doc_id", F.col("doc_id").alias("comp"), "n", "mins", "bits"))
+    near = classes.join(entries.select("node").distinct(), "node", "left_semi")
+    nodes = stored(near.select("node", F.col("node").alias("comp"), "d1", "d2", "n", "first", "mins", "bits", "wide"))
+    links = []
     for _ in range(LEADER_ROUNDS):
-        nodes = _relabel(nodes, _between(_verified(_leader_pairs(nodes), texts, features), nodes))
-    nodes = _relabel(nodes, _between(_verified(_tree_candidates(entries, nodes), texts, features), nodes))
-    found = classes.select("d1", "d2", "n", "doc_id").join(nodes.select("doc_id", "comp"), "doc_id", "left")
-    found = found.select("d1", "d2", "n", F.coalesce("comp", "doc_id").alias("component_id"))
-    out = features.select("doc_id", "n", "d1", "d2").join(found, ["d1", "d2", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
-
-
-def _between(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between classes as edges between their components."""
-    comp = nodes.select("doc_id", "comp")
-    one = links.join(comp.select(F.col("doc_id").alias("a"), F.col("comp").alias("ca")), "a")
-    two = one.join(comp.select(F.col("doc_id").alias("b"), F.col("comp").alias("cb")), "b")
-    return two.where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        links.append(_verified(_leader_pairs(nodes), nodes, texts))
+        nodes = _merged(nodes, links[-1])
+    for _ in range(FOREST_ROUNDS):
+        links.append(_verified(_wide_enough(_tree_candidates(entries, nodes, False), nodes), nodes, texts))
+        nodes = _merged(nodes, links[-1])
+    links.append(_verified(_wide_enough(_tree_candidates(entries, nodes, True), nodes), nodes, texts))
+    # the classes of a doc_id that has several texts, one without words among them
+    several = features.where("doc_id is not null").groupBy("doc_id").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.min("d2").alias("c"), F.max("d2").alias("d")).where("a <> b or c <> d").select("doc_id")
+    several = linkable.select("doc_id", "d1", "d2", "n").join(several, "doc_id", "left_semi").distinct().join(classes.select("d1", "d2", "n", "first"), ["d1", "d2", "n"])
+    edges = union([x.select(F.col("first_a").alias("a"), F.col("first_b").alias("b")) for x in links] + [several.select(F.col("doc_id").alias("a"), F.col("first").alias("b"))])
+    found = components(edges)
+    named = classes.select("d1", "d2", "n", "first").join(found.withColumnRenamed("node", "first"), "first", "left")
+    named = named.select("d1", "d2", "n", F.coalesce("component", "first").alias("component_id"))
+    out = ("doc_id", F.col("n").alias("n_shingles"))
+    words = linkable.select("doc_id", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select(*out, "component_id")
+    blank = features.where("n = 0 and doc_id is not null").select("doc_id", "n").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
+    unnamed = features.where("doc_id is null").select(*out, F.col("doc_id").alias("component_id"))
+    return union([words, blank.select(*out, F.coalesce("component", "doc_id").alias("component_id")), unnamed])

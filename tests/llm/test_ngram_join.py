@@ -60,6 +60,7 @@ def test_components_are_those_of_all_pairs(spark):
 
 def test_without_leaders_the_trees_find_every_link(spark, monkeypatch):
     monkeypatch.setattr(N, "LEADER_ROUNDS", 0)
+    monkeypatch.setattr(N, "FOREST_ROUNDS", 0)
     monkeypatch.setattr(N, "BLOCK", 4)
     texts = corpus(5) + ["a b c d e f g h i j"] * 3
     texts += [f"{' '.join(f'q{i}' for i in range(60))} z{k}" for k in range(20)]
@@ -70,7 +71,35 @@ def test_without_leaders_the_trees_find_every_link(spark, monkeypatch):
 def test_edges(spark):
     assert N.jaccard_components(documents(spark, [])).count() == 0
     got = rows(N.jaccard_components(documents(spark, ["a b c d e", "a b c d e", "a b c d e", None], [None, 5, 5, 9])), "doc_id", "n_shingles", "component_id")
-    assert got == [(None, 1, None), (5, 1, 5), (5, 1, 5), (9, 0, 9)] or got == [(None, 1, 5), (5, 1, 5), (5, 1, 5), (9, 0, 9)]
+    assert got == [(None, 1, None), (5, 1, 5), (5, 1, 5), (9, 0, 9)]
+
+
+def test_an_id_with_several_texts_joins_what_they_link_to(spark):
+    a, b = (" ".join(f"{k}{i}" for i in range(60)) for k in "ab")
+    ids, texts = zip((1, a), (5, a + " x"), (5, b + " y"), (5, None), (7, a), (7, a), (9, b), (10, None), strict=True)
+    got = rows(N.jaccard_components(documents(spark, texts, ids)), "doc_id", "n_shingles", "component_id")
+    assert got == [(1, 56, 1), (5, 0, 1), (5, 57, 1), (5, 57, 1), (7, 56, 1), (7, 56, 1), (9, 56, 1), (10, 0, 10)]
+
+
+def test_a_text_beyond_a_slice_links_with_its_near_copy(spark):
+    long = " ".join(f"w{i}" for i in range(200_000))  # over 1 MB
+    other = " ".join(f"v{i}" for i in range(200_000))
+    got = rows(N.jaccard_components(documents(spark, [other, long, long.upper().replace("W7 ", "x7 "), "short"])), "doc_id", "n_shingles", "component_id")
+    assert got == [(0, 199_996, 0), (1, 199_996, 1), (2, 199_996, 1), (3, 1, 3)]
+
+
+def test_a_large_group_is_dealt_out_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(N, "BLOCK", 3)
+    monkeypatch.setattr(N, "LEADER_ROUNDS", 1)
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(80)]
+    texts = []
+    for k in range(40):
+        copy = list(base)
+        for _ in range(k % 4):
+            copy[r.randrange(80)] = f"x{k}"
+        texts.append(" ".join(copy))
+    assert rows(N.jaccard_components(documents(spark, texts)), "doc_id", "n_shingles", "component_id") == brute(texts)
 
 
 def test_tree_pairs_lose_no_pair_that_links():
@@ -87,3 +116,27 @@ def test_tree_pairs_lose_no_pair_that_links():
         for j in range(i):
             if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
                 assert (j, i) in found
+
+
+def test_forests_join_what_all_pairs_join():
+    rng = np.random.default_rng(2)
+    for n, pairs in ((5, 4), (60, 40), (300, 3000)):
+        x, y = rng.integers(0, n, pairs), rng.integers(0, n, pairs)
+        x, y = x[x != y], y[x != y]
+        comp = rng.integers(0, max(2, n // 2), n)
+        likely = rng.random(len(x)).round(1)
+
+        def joined(places, x=x, y=y, comp=comp, n=n):
+            label = comp.copy()
+            for _ in range(n):
+                before = label.copy()
+                for k in places:
+                    m = min(label[x[k]], label[y[k]])
+                    for v in (label[x[k]], label[y[k]]):
+                        label[label == v] = m
+                if (before == label).all():
+                    break
+            return label.tolist()
+
+        kept = N.forest(x, y, likely, comp)
+        assert joined(kept) == joined(range(len(x))) and len(kept) < n
