@@ -2,13 +2,15 @@
 
 1. Every document becomes its token ids and a closing id 0; longer ones than a sequence are cut into whole sequences, of
    which the first piece may be shorter. Lengths are counted (the histogram has at most `capacity` rows).
-2. Patterns of two or three lengths that fill a sequence exactly are enumerated, and their repeat counts are fitted to
-   the histogram by non-negative least squares, long pieces weighing more. The counts are rounded to what the histogram
-   has; the residual pieces are packed by best fit, longest first, a whole count of a length at a time.
+2. All patterns of two or three lengths that fill a sequence exactly are enumerated (some capacity ** 2 / 12 at most), and
+   their repeat counts are fitted to the histogram by non-negative least squares, long pieces weighing more, until no
+   count would change by more than TOLERANCE. The counts are rounded to what the histogram has; the residual pieces are
+   packed by best fit, longest first, a whole count of a length at a time.
 3. The plan is a list of patterns with repeat counts, whose size does not grow with the data. Pieces are ranked within
    their length (by a window over bounded groups), and the rank gives sequence and offset.
 
-Edge cases: null and empty texts are one piece of length 1 (the closing id). Null ids and repeated rows are packed like
+Texts with white space of LONG_GAP characters or more on end go through the tokenizer itself, as its fast equal has no room
+for them. Edge cases: null and empty texts are one piece of length 1 (the closing id). Null ids and repeated rows are packed like
 others. A special token's string in a text is that token, as the tokenizer has it. Extra columns are ignored; an empty
 table gives an empty result.
 """
@@ -16,6 +18,7 @@ table gives an empty result.
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from collections import defaultdict
 from dataclasses import dataclass
@@ -30,10 +33,12 @@ from postloom.llm.common import small_batches, stored
 
 CAPACITY = 2048
 END = 0
-MOST_PATTERNS = 400_000
-SWEEPS = 2
+STEPS = 1 << 13  # of the fit: patterns updated between two looks at all of them
+TOLERANCE, RELATIVE = 0.1, 1e-4  # the fit ends where no repeat count would change by more, or by that part of the longest
 GROUP = 256  # pieces of a length that are ranked together, at least
 GROUPS = 20_000  # and into so many groups at most
+LONG_GAP = 10_000
+_GAP = re.compile(r"\s{%d}" % LONG_GAP)
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -63,7 +68,7 @@ class Vocabulary:
         return Tokenizer.from_file(self.path)
 
     def ids(self, text: str) -> np.ndarray:
-        if any(s in text for s in self.special):
+        if any(s in text for s in self.special) or _GAP.search(text):
             return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         return np.array(self.fast.encode_ordinary(text), np.uint32)
 
@@ -106,42 +111,62 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFra
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(tokenized, _SCHEMA)
 
 
-def full_patterns(lengths: list[int], capacity: int) -> list[tuple[int, ...]]:
-    """Two or three of the lengths, ascending, that sum to the capacity; the ones with the longest piece first."""
-    have = set(lengths)
-    pairs = [(capacity - a, a) for a in lengths if 2 * a >= capacity and capacity - a in have]
-    small = [a for a in lengths if 3 * a <= capacity]
-    step = max(1, -(-len(small) * len(lengths) // (2 * MOST_PATTERNS)))  # thins out the shortest pieces of a large capacity
-    triples = [(a, b, c) for a in small[::step] for b in lengths if a <= b <= (c := capacity - a - b) and c in have]
-    return sorted(pairs + triples, key=lambda p: (-p[-1], len(p), -p[0]))
-
-
-def fitted(histogram: dict[int, int], patterns: list[tuple[int, ...]], sweeps: int = SWEEPS) -> list[float]:
-    """Repeat counts x >= 0 of the least weighted squares |histogram - sum of x * pattern|, by coordinate descent, which
-    keeps few of them above 0. A length weighs as much as it is long."""
-    rest = {k: float(v) for k, v in histogram.items()}
-    x = [0.0] * len(patterns)
-    for _ in range(sweeps):
-        for k, p in enumerate(patterns):
-            pull = 0.0
+def full_patterns(lengths: list[int], capacity: int) -> np.ndarray:
+    """All rows of two or three of the lengths (descending, 0 where there is no third) that sum to the capacity; the ones
+    with the longest piece first."""
+    have = np.zeros(capacity + 1, bool)
+    have[lengths] = True
+    have[capacity] = False
+    at = np.flatnonzero(have)
+    found = [np.zeros((0, 3), np.int32)]
+    for c in [0, *at.tolist()]:  # the shortest piece of the pattern
+        b = at[(at >= c) & (2 * at <= capacity - c)]
+        a = capacity - c - b
+        keep = have[a]
+        found.append(np.stack([a[keep], b[keep], np.full(keep.sum(), c)], 1).astype(np.int32))
+    out = np.concatenate(found)
+    return out[np.lexsort((out[:, 1], -out[:, 0]))]
+
+
+def fitted(histogram: dict[int, int], patterns: np.ndarray) -> np.ndarray:
+    """Repeat counts x >= 0 of the least weighted squares |histogram - sum of x * pattern|, by coordinate descent: the
+    patterns that would change most are updated one by one, then all are looked at again, until none would change by more
+    than TOLERANCE or RELATIVE times the histogram's highest count. A length weighs as much as it is long."""
+    rest = np.zeros(int(patterns.max(initial=0)) + 1)
+    for v, n in histogram.items():
+        if v < len(rest):
+            rest[v] = n
+    rest[0] = 0
+    least = max(TOLERANCE, RELATIVE * rest.max(initial=0))
+    weight = patterns.astype(float)
+    a, b, c = patterns.T
+    size = weight.sum(1) + np.where(a == b, 2 * a, 0) + np.where((b == c) & (c > 0), 2 * b, 0) + np.where((a == c) & (c > 0), 2 * a, 0)
+    x = np.zeros(len(patterns))
+    while True:
+        change = np.maximum((weight * rest[patterns]).sum(1) / size, -x)
+        off = np.flatnonzero(np.abs(change) > least)
+        if not len(off):
+            return x
+        if len(off) > STEPS:
+            off = off[np.argpartition(-np.abs(change[off]), STEPS)[:STEPS]]
+        off = np.sort(off)
+        for k, p, s in zip(off.tolist(), patterns[off].tolist(), size[off].tolist(), strict=True):
+            p = p if p[2] else p[:2]
+            step = sum(v * rest[v] for v in p) / s
+            step = max(step, -x[k])
+            x[k] += step
             for v in p:
-                pull += v * rest[v]
-            if pull <= 0 and x[k] == 0:
-                continue
-            size = float(sum(p)) if len(set(p)) == len(p) else float(sum(v * p.count(v) for v in p))
-            change = max(pull / size, -x[k])
-            x[k] += change
-            for v in p:
-                rest[v] -= change
-    return x
+                rest[v] -= step
 
 
-def rounded(histogram: dict[int, int], patterns: list[tuple[int, ...]], counts: list[float]) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
-    """Whole repeat counts that the histogram can serve, most frequent pattern first, and what it has left."""
+def rounded(histogram: dict[int, int], patterns: np.ndarray, counts: np.ndarray) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
+    """Whole repeat counts that the histogram can serve, most frequent pattern first, and what it has left. A count under
+    one that is likelier than not to be one serves one."""
     left = dict(histogram)
     used = []
-    for k in sorted((k for k, x in enumerate(counts) if x > 0.25), key=lambda k: -counts[k]):
-        p = patterns[k]
+    some = np.flatnonzero(counts > 0.25)
+    for k in some[np.argsort(-counts[some], kind="stable")].tolist():
+        p = tuple(v for v in patterns[k].tolist()[::-1] if v)
         n = min(max(1, round(counts[k])), *(left[v] // p.count(v) for v in set(p)))
         if n > 0:
             used.append((p, n))
