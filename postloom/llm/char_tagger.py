@@ -44,6 +44,7 @@ class Tagger:
             "move": np.zeros((labels, labels)),
         }
         self.p["b"][:, :, hidden : 2 * hidden] = 1  # forget gates start open
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
 
     def _emissions(self, x: np.ndarray, keep: bool = False):
         p, n, (rows, steps) = self.p, self.hidden, x.shape
@@ -90,31 +91,31 @@ class Tagger:
         d = marginal.copy()
         d[np.arange(steps)[:, None], np.arange(rows), gold] -= 1
         d /= rows
-        moves = np.zeros_like(move)
-        for t in range(1, steps):
-            v = alpha[t - 1][:, :, None] * move * (a[t] * beta[t])[:, None, :]
-            moves += (v / v.sum((1, 2), keepdims=True)).sum(0)
+        v = alpha[:-1, :, :, None] * move * (a * beta)[1:, :, None, :]
+        moves = (v / v.sum((2, 3), keepdims=True)).sum((0, 1))
         np.subtract.at(moves, (gold[:-1].ravel(), gold[1:].ravel()), 1)
-        g = {"move": moves / rows, "out": np.einsum("tri,trl->il", s, d), "bias": d.sum((0, 1))}
+        flat = lambda z: z.reshape(-1, z.shape[-1])
+        g = {"move": moves / rows, "out": flat(s).T @ flat(d), "bias": d.sum((0, 1))}
         ds = d @ p["out"].T
         ds = np.stack([ds[..., :n], ds[::-1, :, n:]])
-        dh, dc = np.zeros((2, rows, n)), np.zeros((2, rows, n))
-        dz = np.empty((2, steps, rows, 4 * n))
-        g["wh"] = np.zeros_like(p["wh"])
+        dh, dc = np.zeros((2, rows, n), em.dtype), np.zeros((2, rows, n), em.dtype)
+        dz = np.empty((2, steps, rows, 4 * n), em.dtype)
+        wh, inputs = p["wh"].transpose(0, 2, 1), np.empty((2, steps, rows, n), em.dtype)
         for t in range(steps - 1, -1, -1):
             before, last, i, f, o, gg, tc = held[t]
+            inputs[:, t] = before
             dh = dh + ds[:, t]
             dc = dc + dh * o * (1 - tc * tc)
-            z = np.concatenate([dc * gg * i * (1 - i), dc * last * f * (1 - f), dh * tc * o * (1 - o), dc * i * (1 - gg * gg)], -1)
-            dz[:, t] = z
-            g["wh"] += before.transpose(0, 2, 1) @ z
-            dh, dc = z @ p["wh"].transpose(0, 2, 1), dc * f
-        g["wx"] = np.einsum("dtre,dtrk->dek", both, dz)
+            z = dz[:, t]
+            z[..., :n], z[..., n : 2 * n] = dc * gg * i * (1 - i), dc * last * f * (1 - f)
+            z[..., 2 * n : 3 * n], z[..., 3 * n :] = dh * tc * o * (1 - o), dc * i * (1 - gg * gg)
+            dh, dc = z @ wh, dc * f
+        g["wh"] = np.stack([flat(inputs[k]).T @ flat(dz[k]) for k in (0, 1)])
+        g["wx"] = np.stack([flat(both[k]).T @ flat(dz[k]) for k in (0, 1)])
         g["b"] = dz.sum((1, 2))[:, None]
         de = dz @ p["wx"].transpose(0, 2, 1)[:, None]
-        de = de[0] + de[1, ::-1]
-        g["embed"] = np.zeros_like(p["embed"])
-        np.add.at(g["embed"], x.T.ravel(), de.reshape(-1, de.shape[-1]))
+        de, at = flat(de[0] + de[1, ::-1]), x.T.ravel()
+        g["embed"] = np.stack([np.bincount(at, de[:, k], CLASSES) for k in range(de.shape[1])], 1).astype(em.dtype)
         return g
 
     def fit(self, draw, steps: int, rate: float = 0.01) -> None:
@@ -147,8 +148,3 @@ class Tagger:
         for t in range(steps - 1, 0, -1):
             path[t - 1] = back[t][each, path[t]]
         return path.T, np.take_along_axis(marginal, path[..., None], -1)[..., 0].T
-
-    def compact(self) -> Tagger:
-        """The same tagger in single precision."""
-        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
-        return self
