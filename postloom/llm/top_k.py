@@ -1,20 +1,24 @@
 """Exact top-k by inner product: norm-sorted vectors, SVD-rotated partial sums, Cauchy-Schwarz pruning.
 
-Vectors are integers floor(scale * x). Queries are taken in chunks of bounded size; each chunk is sent to all tasks and
-held against every candidate in blocks:
+Vectors are integers floor(scale * x). Candidates are range-partitioned by descending length into parts of bounded size;
+queries are packed into blocks, and a block goes only to the parts whose longest vector may still give one of its queries
+a score among its k highest, as the longest vectors of all (a bounded head) already gave it k of them. In a task:
 
-1. Candidates are range-partitioned by descending length and keep that order, so that a block's largest length bounds
-   its scores: a query whose k-th score so far is higher than |q| * max|c| skips the block.
+1. Candidates come in blocks of descending length. A block's length bounds its scores: a query whose k-th score so far is
+   higher than |q| * max|c| skips it and all that follow, before anything of them is rotated.
 2. Within a block, both sides are rotated by the singular vectors of the whole table (from its Gram matrix, summed over
    all rows). The first few rotated components give a partial sum, and |rest of q| * |rest of c| bounds what is missing.
-3. Pairs that may still reach the k-th score get their exact integer inner product.
+3. What may still reach the k-th score gets its exact integer inner product: in doubles where |q| * |c| is so small that
+   every sum is a whole number that a double holds, by Python's integers elsewhere.
 
-The rotation and bounds only prune, with a margin for rounding; the scores are exact integers.
+The rotation and bounds only prune, with a margin for rounding; the scores are exact integers. No query or candidate
+comes to the driver, but for the head.
 
 Edge cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no part. A query
-meets only candidates with as many components; its own row is every row with its id. Equal scores go to the smaller id;
-rows that repeat an id and score count once each. A query row given twice gives its result once per id. Components
-whose scaled value is beyond 2**40 are an error. Extra columns are ignored.
+meets only candidates with as many components; its own row is every row with its id. Equal scores go to the smaller id.
+Rows that repeat an id and a vector count once, as queries and as candidates; an id with several vectors has each
+candidate's score with each of them. Scores beyond a long are given as its least or greatest value. Extra columns are
+ignored; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -26,31 +30,35 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.llm.common import stored, union
+from postloom.llm.common import stored
 
 BLOCK = 1024  # candidates of a block
-QUERY_BYTES = 32 << 20  # bound of a chunk of queries
+QUERIES = 512  # queries of a block
+PART = 1 << 16  # candidates of a part, about
 HEAD = 2048  # longest vectors, which give the first thresholds
 PARTIAL = 16  # rotated components of the partial sum
-MOST = 1 << 40
+WHOLE = float(1 << 26)  # lengths under it: inner products, and all their partial sums, are whole numbers in doubles
+_PACKED = "part int, kind int, at double, dim int, n int, ids binary, vectors binary, need binary"
+_LONG = (-(1 << 63), (1 << 63) - 1)
 
 
 def integer_vectors(rows: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """Rows (id, vector array<long>, dim, norm) of the vectors that take part."""
-    x = F.transform(F.col(vector_col), lambda v: F.floor(v.cast("double") * scale))
-    whole = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double")) < float("inf")))
-    over = F.exists(vector_col, lambda v: F.abs(v.cast("double") * scale) >= MOST)
-    usable = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(F.coalesce(whole, F.lit(False)))
-    out = usable.select(
-        F.col(id_col).cast("long").alias("id"),
-        F.when(over, F.raise_error(F.lit("a scaled component is beyond 2**40")).cast("array<bigint>")).otherwise(x).alias("vector"),
-    )
-    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v.cast("double") * v.cast("double")))
+    """Rows (id, vector array<double> of whole numbers, dim, norm) of the vectors that take part."""
+    scaled = F.transform(F.col(vector_col), lambda v: _floored(v.cast("double") * scale))
+    sound = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v.cast("double")) & (F.abs(v.cast("double") * scale) < float("inf")))
+    usable = rows.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).where(F.coalesce(sound, F.lit(False)))
+    out = usable.select(F.col(id_col).cast("long").alias("id"), scaled.alias("vector")).dropDuplicates(["id", "vector"])
+    norm = F.sqrt(F.aggregate("vector", F.lit(0.0), lambda a, v: a + v * v))
     return out.withColumn("dim", F.size("vector")).withColumn("norm", norm)
 
 
+def _floored(v):
+    """Floor of a double as a double: beyond 2**52 doubles are whole already (and a long may not hold them)."""
+    return F.when(F.abs(v) < float(1 << 52), F.floor(v).cast("double")).otherwise(v)
+
+
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    return np.asarray(column.flatten()).reshape(len(column), dim)
+    return np.asarray(column.flatten(), float).reshape(len(column), dim)
 
 
 def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -60,20 +68,19 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension, the singular vectors of all vectors, strongest first; from Gram matrices summed by task."""
+    """For each dimension, the singular vectors of the vectors, strongest first; from Gram matrices summed by task."""
 
     def grams(batches):
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for d, part in _by_dim(batch):
-                m = _matrix(part.column("vector"), d).astype(float)
+                m = _matrix(part.column("vector"), d)
                 sums[d] = sums.get(d, 0) + m.T @ m
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.ravel().tolist() for g in sums.values()], pa.list_(pa.float64()))], ["dim", "gram"])
 
-    parts = vectors.select("vector", "dim").mapInArrow(grams, "dim int, gram array<double>")
-    summed = parts.select("dim", F.posexplode("gram").alias("at", "g")).groupBy("dim", "at").agg(F.sum("g").alias("g"))
+    parts = vectors.where(F.col("norm") < WHOLE).select("vector", "dim").mapInArrow(grams, "dim int, gram array<double>")
+    table = parts.select("dim", F.posexplode("gram").alias("at", "g")).groupBy("dim", "at").agg(F.sum("g").alias("g")).toArrow()
     out = {}
-    table = summed.toArrow()
     dims, at, g = (np.asarray(table[c]) for c in ("dim", "at", "g"))
     for d in np.unique(dims).tolist():
         gram = np.zeros(d * d)
@@ -82,116 +89,177 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
     return out
 
 
-def exact_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Integer inner products of row pairs, in 64 bits where they are sure to fit and without that bound elsewhere."""
-    if len(q) and float(np.abs(q).max()) * float(np.abs(c).max()) * q.shape[1] < 2**62:
-        return np.einsum("ij,ij->i", q, c)
-    return np.array([sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(q, c, strict=True)], dtype=np.int64)
-
-
-class QueryBlock:
-    """Queries of one dimension with what pruning needs."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray, k: int):
-        self.ids, self.vectors, self.rotation, self.k = ids, vectors, rotation, k
-        rotated = vectors.astype(float) @ rotation
-        self.head = rotated[:, :PARTIAL]
-        self.rest = np.sqrt((rotated[:, PARTIAL:] ** 2).sum(1))
-        self.norms = np.sqrt((rotated**2).sum(1))
-        self.threshold = np.full(len(ids), -np.inf)
-
-    def scan(self, ids: np.ndarray, vectors: np.ndarray, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query index, candidate id and score of the pairs of a block that may be among a query's k highest, as
-        threshold (its k-th score so far) has it."""
-        rotated = vectors.astype(float) @ self.rotation
-        longest = np.sqrt((rotated**2).sum(1).max(initial=0))
-        slack = 1e-9 * (1 + longest * self.norms)
-        live = np.flatnonzero(self.norms * longest + slack >= threshold)
-        if not len(live):
-            return live, live, live
-        rest = np.sqrt((rotated[:, PARTIAL:] ** 2).sum(1))
-        bound = self.head[live] @ rotated[:, :PARTIAL].T + self.rest[live][:, None] * rest
-        i, j = np.nonzero(bound + slack[live][:, None] >= threshold[live][:, None])
-        i = live[i]
-        other = self.ids[i] != ids[j]
-        i, j = i[other], j[other]
-        out = []
-        for at in range(0, len(i), 1 << 18):
-            s = slice(at, at + (1 << 18))
-            score = exact_scores(self.vectors[i[s]], vectors[j[s]])
-            keep = score >= threshold[i[s]]
-            out.append((i[s][keep], ids[j[s][keep]], score[keep]))
-        return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (i, j, i)
+def big_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products of all rows of q and c by Python's integers, as longs."""
+    whole = lambda m: np.array([[int(v) for v in row] for row in m.tolist()], object).reshape(m.shape)
+    exact = whole(q) @ whole(c).T if q.shape[1] else np.zeros((len(q), len(c)), object)
+    return np.array([[min(max(int(v), _LONG[0]), _LONG[1]) for v in row] for row in exact], np.int64).reshape(len(q), len(c))
+
+
+def lengths(m: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((m * m).sum(1))
+
+
+class Side:
+    """Vectors of one dimension; rotated when that is first asked for."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, rotation: np.ndarray | None):
+        self.ids, self.vectors, self.rotation = ids, vectors, rotation
+        self.norms = lengths(vectors)
+        self.longest = float(self.norms.max(initial=0))
+        self.small = self.norms < WHOLE
+        self._rotated: tuple[np.ndarray, np.ndarray] | None = None
+
+    def rotated(self) -> tuple[np.ndarray, np.ndarray]:
+        """First components of the rotated vectors, and the length of what is left."""
+        if self._rotated is None:
+            m = np.where(self.small[:, None], self.vectors, 0.0)
+            turned = m @ self.rotation if self.rotation is not None else m
+            self._rotated = turned[:, :PARTIAL], lengths(turned[:, PARTIAL:])
+        return self._rotated
+
+
+def reaching(q: Side, c: Side, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query place, candidate id and score of the pairs that reach threshold (each query's k-th score so far)."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        bound = q.norms * c.longest
+    live = np.flatnonzero(~(bound * (1 + 1e-9) + 1e-6 < threshold))
+    found = [(np.zeros(0, np.int64),) * 3]
+    rows, columns = live[q.small[live]], np.flatnonzero(c.small)
+    if len(rows) and len(columns):
+        (qh, qr), (ch, cr) = q.rotated(), c.rotated()
+        slack = 1e-9 * (1 + float(c.norms[columns].max()) * q.norms[rows])
+        most = qh[rows] @ ch[columns].T + qr[rows][:, None] * cr[columns]
+        may = most >= (threshold[rows] - slack)[:, None]
+        rows, columns, may = rows[may.any(1)], columns[may.any(0)], may[np.ix_(may.any(1), may.any(0))]
+        if len(rows) and len(columns):
+            score = q.vectors[rows] @ c.vectors[columns].T  # whole numbers under 2**52, so exact in any order
+            may &= (score >= threshold[rows][:, None]) & (q.ids[rows][:, None] != c.ids[columns])
+            i, j = np.nonzero(may)
+            found.append((rows[i], c.ids[columns[j]], score[i, j].astype(np.int64)))
+    for rows, columns in ((live[~q.small[live]], np.arange(len(c.ids))), (live[q.small[live]], np.flatnonzero(~c.small))):
+        if len(rows) and len(columns):
+            score = big_scores(q.vectors[rows], c.vectors[columns])
+            i, j = np.nonzero((score >= threshold[rows][:, None]) & (q.ids[rows][:, None] != c.ids[columns]))
+            found.append((rows[i], c.ids[columns[j]], score[i, j]))
+    return tuple(np.concatenate([f[k] for f in found]) for k in range(3))
 
 
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> np.ndarray:
     """Places of each query's k highest scores, ties to the smaller id."""
-    order = np.lexsort((ids, -score, query))
+    order = np.lexsort((ids, ~score, query))  # ~score falls as score rises, at every long
     q = query[order]
     first = np.ones(len(q), bool)
     first[1:] = q[1:] != q[:-1]
-    nth = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
+    nth = np.arange(len(q)) - np.maximum.accumulate(np.where(first, np.arange(len(q)), 0)) if len(q) else order
     return order[nth < k]
 
 
+def scan(q: Side, blocks: list[Side], threshold: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query place, candidate id and score of each query's k highest scores that reach threshold, over blocks by
+    descending length."""
+    limit, held = threshold.astype(float), tuple(np.zeros(0, np.int64) for _ in range(3))
+    for c in blocks:
+        if not len(limit) or (q.norms * c.longest * (1 + 1e-9) + 1e-6 < limit).all():
+            break  # all that follow are shorter
+        held = tuple(np.concatenate(x) for x in zip(held, reaching(q, c, limit), strict=True))
+        keep = best(*held, k)
+        held = tuple(x[keep] for x in held)
+        counts = np.bincount(held[0], minlength=len(limit))
+        lowest = np.full(len(limit), np.inf)
+        np.minimum.at(lowest, held[0], held[2].astype(float))
+        full = counts >= k
+        # a long that a double does not hold is rounded: a little lower is safe
+        limit[full] = np.maximum(limit[full], lowest[full] - np.where(np.abs(lowest[full]) < 2**52, 0, np.abs(lowest[full]) * 1e-12))
+    return held
+
+
+def _packed(part: int, kind: int, at: float, ids: np.ndarray, vectors: np.ndarray, need: np.ndarray | None = None) -> tuple:
+    return part, kind, at, vectors.shape[1], len(ids), ids.astype(np.int64).tobytes(), vectors.tobytes(), (need if need is not None else np.zeros(0)).tobytes()
+
+
+def _rows(packed: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    names = ["part", "kind", "at", "dim", "n", "ids", "vectors", "need"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in packed], kind) for k, kind in enumerate(kinds)], names)
+
+
 def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: str, k: int = 5, scale: int = 256) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query its k highest scores among the candidates."""
     pool = stored(integer_vectors(candidates, id_col, vector_col, scale))
-    asked = stored(integer_vectors(queries, id_col, vector_col, scale).dropDuplicates(["id", "vector"]))
-    total = asked.agg(F.coalesce(F.sum(F.col("dim") * 8 + 64), F.lit(0))).first()[0]
-    rotation = rotations(pool)
-    longest = pool.orderBy(F.desc("norm"), "id").limit(HEAD)
-    sorted_pool = stored(pool.repartitionByRange(F.desc("norm"), "id").sortWithinPartitions(F.desc("norm"), "id"))
-    chunks = max(1, -(-int(total) // QUERY_BYTES))
-    parts = [_chunk(asked.where(F.pmod(F.xxhash64("id"), F.lit(chunks)) == c), longest, sorted_pool, rotation, k) for c in range(chunks)]
-    found = union(parts)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = stored(integer_vectors(queries, id_col, vector_col, scale))
+    total = pool.count()
+    sc = pool.sparkSession.sparkContext
+    turn = sc.broadcast(rotations(pool))
+    head: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in pool.orderBy(F.desc("norm"), "id").limit(HEAD).toArrow().combine_chunks().to_batches():
+        for d, part in _by_dim(batch):
+            head[d] = (np.asarray(part.column("id")), _matrix(part.column("vector"), d))
+    leading = sc.broadcast(head)
+    parts = max(1, -(-total // PART))
+    ranged = pool.repartitionByRange(parts, F.desc("norm"), "id") if parts > 1 else pool.coalesce(1)
+    ranged = stored(ranged.sortWithinPartitions(F.desc("norm"), "id").withColumn("part", F.spark_partition_id()))
+    longest = {r["part"]: r["longest"] for r in ranged.groupBy("part").agg(F.max("norm").alias("longest")).collect()}  # one number a part
+
+    def candidate_blocks(batches):
+        for batch in batches:
+            for d, rows in _by_dim(batch):
+                ids, vectors, at, part = np.asarray(rows.column("id")), _matrix(rows.column("vector"), d), np.asarray(rows.column("norm")), np.asarray(rows.column("part"))
+                out = []
+                for p in np.unique(part).tolist():
+                    own = np.flatnonzero(part == p)
+                    for s in range(0, len(own), BLOCK):
+                        place = own[s : s + BLOCK]
+                        out.append(_packed(p, 0, -float(at[place].max()), ids[place], vectors[place]))
+                yield _rows(out)
+
+    def query_blocks(batches):
+        for batch in batches:
+            for d, rows in _by_dim(batch):
+                ids, vectors = np.asarray(rows.column("id")), _matrix(rows.column("vector"), d)
+                for s in range(0, len(ids), 8 * QUERIES):
+                    yield _rows(_query_blocks(ids[s : s + 8 * QUERIES], vectors[s : s + 8 * QUERIES], leading.value.get(d), longest, k))
 
+    both = ranged.mapInArrow(candidate_blocks, _PACKED).unionByName(asked.mapInArrow(query_blocks, _PACKED))
+    together = both.repartition(parts, "part").sortWithinPartitions("part", "kind", "at") if parts > 1 else both.repartition(1).sortWithinPartitions("part", "kind", "at")
 
-def _chunk(asked: DataFrame, longest: DataFrame, pool: DataFrame, rotation: dict[int, np.ndarray], k: int) -> DataFrame:
-    table = asked.toArrow()
-    head = longest.toArrow()
-    blocks: dict[int, QueryBlock] = {}
-    for batch in table.combine_chunks().to_batches():
-        for d, part in _by_dim(batch):
-            if d in rotation:
-                blocks[d] = QueryBlock(np.asarray(part.column("id")), _matrix(part.column("vector"), d), rotation[d], k)
-    for batch in head.combine_chunks().to_batches():
-        for d, part in _by_dim(batch):
-            if d in blocks:
-                block = blocks[d]
-                ids, vectors = np.asarray(part.column("id")), _matrix(part.column("vector"), d)
-                for at in range(0, len(block.ids), 256):  # the k-th score among the longest vectors
-                    s = slice(at, at + 256)
-                    score = (block.vectors[s].astype(float) @ vectors.T.astype(float)) * (1 - 1e-12) - 1
-                    score[block.ids[s][:, None] == ids] = -np.inf
-                    if len(ids) > k:
-                        block.threshold[s] = np.partition(score, len(ids) - k, 1)[:, len(ids) - k]
-    shared = pool.sparkSession.sparkContext.broadcast(blocks)
-
-    def scan(batches):
-        held: dict[int, list] = {}
-        limits: dict[int, np.ndarray] = {}
+    def matched(batches):
+        part, blocks = None, {}
         for batch in batches:
-            for d, part in _by_dim(batch):
-                block = shared.value.get(d)
-                if block is None:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    part, blocks = row["part"], {}
+                ids = np.frombuffer(row["ids"], np.int64)
+                own = Side(ids, np.frombuffer(row["vectors"], float).reshape(row["n"], row["dim"]), turn.value.get(row["dim"]))
+                if row["kind"] == 0:
+                    blocks.setdefault(row["dim"], []).append(own)
                     continue
-                limit = limits.setdefault(d, block.threshold.copy())
-                ids, vectors = np.asarray(part.column("id")), _matrix(part.column("vector"), d)
-                for at in range(0, len(ids), BLOCK):
-                    rows = block.scan(ids[at : at + BLOCK], vectors[at : at + BLOCK], limit)
-                    kept = [np.concatenate(x) for x in zip(held[d], rows, strict=True)] if d in held else list(rows)
-                    keep = best(kept[0], kept[1], kept[2], k)
-                    held[d] = [x[keep] for x in kept]
-                    q = held[d][0]
-                    full = np.flatnonzero(np.bincount(q, minlength=len(limit)) >= k) if len(q) else q
-                    if len(full):
-                        lowest = np.full(len(limit), np.inf)
-                        np.minimum.at(lowest, q, held[d][2])
-                        limit[full] = np.maximum(limit[full], lowest[full])
-        for d, (q, ids, score) in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array(shared.value[d].ids[q]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
-
-    return pool.select("id", "vector", "dim").mapInArrow(scan, "query_id long, vec_id long, score long")
+                q, c, score = scan(own, blocks.get(row["dim"], []), np.frombuffer(row["need"], float), k)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(c), pa.array(score)], ["query_id", "vec_id", "score"])
+
+    found = together.mapInArrow(matched, "query_id long, vec_id long, score long")
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _query_blocks(ids: np.ndarray, vectors: np.ndarray, head: tuple[np.ndarray, np.ndarray] | None, longest: dict[int, float], k: int) -> list[tuple]:
+    """The queries packed in blocks, once for every part that a block may have to see."""
+    threshold, norms = np.full(len(ids), -np.inf), lengths(vectors)
+    if head is not None and len(head[0]) > k:
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = vectors @ head[1].T
+            score -= 1e-9 * norms[:, None] * lengths(head[1])  # rounding of sums beyond a double's whole numbers
+        score = np.where(np.isfinite(score), score, -np.inf)
+        score[ids[:, None] == head[0]] = -np.inf
+        threshold = np.floor(np.partition(score, len(head[0]) - k, 1)[:, len(head[0]) - k])
+        threshold[np.abs(threshold) >= 2.0**62] = -np.inf
+    with np.errstate(divide="ignore", invalid="ignore"):
+        need = np.where(threshold <= 0, 0.0, threshold / norms)  # how long a candidate has to be
+    order = np.argsort(need, kind="stable")
+    out = []
+    for s in range(0, len(ids), QUERIES):
+        own = order[s : s + QUERIES]
+        least = float(need[own].min()) * (1 - 1e-9) - 1e-6
+        out += [_packed(p, 1, 0.0, ids[own], vectors[own], threshold[own]) for p, most in longest.items() if most >= least]
+    return out
