@@ -4,9 +4,10 @@ A window is 13 consecutive words ([^\\x20\\x09-\\x0D]+, unchanged) of one docume
 by a window whose word sequence also starts in a document with a smaller doc_id; windows are judged on the input.
 
 1. Anchors. The smallest 5-gram hash of a window depends on its words alone, so that equal windows have equal anchors.
-   Runs of windows with one anchor make a segment. Anchors of one document only need no further look; a bitmap of
-   fixed size passes the others (and few more) in the second pass over the texts.
-2. Equal segments are counted once, with the smallest doc_id that has them, before any shard sees them.
+   Runs of windows with one anchor make a segment. Anchors of one document only need no further look; a bitmap, sized
+   by their number up to a bound, passes the others (and few more) in the second pass over the texts.
+2. Equal segments are counted once, with the smallest doc_id that has them, before any shard sees them. Only these hold
+   words; where the segments stand is kept without.
 3. Shards of whole anchors, of bounded size, each get a compressed FM-index. The segments are streamed through it:
    backward search over its wavelet tree finds each window's interval, and the interval's smallest doc_id follows.
    Anchors with more segments than a shard holds are counted by window instead, by an aggregate, which is exact too.
@@ -27,14 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
-from postloom.llm.common import bitmap_of, id_hash, small_batches, stored
+from postloom.llm.common import bitmap_of, bits_for, hashed_ids, id_hash, small_batches, stored
 from postloom.llm.fm_index import FmIndex
 
 WINDOW = 13
 GRAM = 5
-SHARD = 4096  # segments of a shard, about
+SHARD = 1024  # segments of a shard, about; there are more shards than tasks, so that tasks are even
 RUN = 32  # windows of a segment at most
-BITMAP = 27
 
 
 def _texts(docs: DataFrame) -> DataFrame:
@@ -219,10 +219,11 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     texts = _texts(docs)
     sc = docs.sparkSession.sparkContext
-    shared = _anchors(texts).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
-    bitmap = sc.broadcast(bitmap_of(shared, "anchor", BITMAP))
-    places = stored(_occurrences(texts, bitmap).withColumn("part", F.xxhash64("words")))
-    distinct = stored(places.groupBy("anchor", "part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("words").alias("words")))
+    shared = stored(_anchors(texts).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor"))
+    bitmap = sc.broadcast(bitmap_of(shared, "anchor", bits_for(shared.count())))
+    found = _occurrences(texts, bitmap).withColumn("part", F.xxhash64("words"))
+    places = stored(found.drop("words"))
+    distinct = stored(found.groupBy("anchor", "part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("words").alias("words")))
     minima = stored(_minima(distinct))
     hits = (
         places.select("anchor", "part", "doc_id", "body", "start")
@@ -232,11 +233,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     )
     gone = stored(hits.groupBy("doc_id", "body").agg(F.array_distinct(F.flatten(F.collect_list("gone"))).alias("gone")))
 
-    def hashed(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(id_hash(np.asarray(batch.column(0))).view(np.int64))], ["h"])
-
-    touched = sc.broadcast(bitmap_of(gone.select("doc_id").distinct().mapInArrow(hashed, "h long"), "h", BITMAP))
+    ids = stored(gone.select("doc_id").distinct())
+    touched = sc.broadcast(bitmap_of(hashed_ids(ids), "h", bits_for(ids.count())))
 
     def split(want: bool):
         def part(batches):
