@@ -5,13 +5,14 @@ into 2**BITS slots: the share of its n-grams that falls into a slot, times the s
 model is fitted by FTRL-proximal (follow the regularised leader with per-coordinate rates, L1 and L2 penalties), then one
 temperature is fitted on rows that the fit did not see, so that the scores are calibrated.
 
-Document frequencies are counted over all learnable documents, by task first. The model is fitted on a bounded sample:
-MAX_ROWS rows shared by the languages, in the order of a hash of doc_id, of texts up to MAX_CHARS characters. Every whole
-text is scored in one pass, without a shuffle.
+Document frequencies are counted over all learnable documents, by task first. The model is fitted on a bounded sample of
+rows: MAX_ROWS of them shared by the languages (at least one each), those of the smallest hashes of doc_id and text, of
+texts of any length. Every whole text is scored in one pass, without a shuffle.
 
 Edge cases: null texts and those without a letter are `und` with score 0; so is everything where nothing can be learned.
-A null doc_id is neither learned from nor held out. Rows that repeat a doc_id count each. Up to MAX_LANGUAGES languages,
-the most frequent first, are learned. Extra columns are ignored; an empty table gives an empty result.
+A null doc_id is neither learned from nor held out. Of rows that repeat a doc_id and text one is learned from; all are
+scored. Every language that has a learnable row is learned. Extra columns are ignored; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postloom.llm import kernels as K
@@ -29,8 +30,6 @@ from postloom.llm.common import small_batches
 BITS = 16
 ORDERS = (1, 2, 3)  # each builds on the one before
 MAX_ROWS = 6000
-MAX_CHARS = 20000
-MAX_LANGUAGES = 256
 SCALE = 64.0
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.02, 0.01
@@ -66,16 +65,37 @@ def learnable(doc_id: Column) -> Column:
 
 def _pieces(data: np.ndarray, offsets: np.ndarray):
     """(first row, slots of the n-grams, each row's first n-gram) for rows in parts of bounded size; a row of more than
-    a part comes in several."""
+    a part comes in several, each with the characters before it that its first n-grams need."""
     for i, j in K.row_slices(offsets, STEP):
         a, b = int(offsets[i]), int(offsets[j])
+        before = a
         while b - a > 2 * STEP:  # one long row
             c = a + STEP
             while (data[c] & 0xC0) == 0x80:
                 c -= 1
-            yield i, *_slots(data[a:c], np.array([0, c - a]))
+            yield i, *_rest(data, before, a, c)
+            before = _back(data, a, c)
             a = c
-        yield i, *_slots(data[a:b], np.maximum(offsets[i : j + 1] - a, 0))
+        if before < a or a > int(offsets[i]):
+            yield i, *_rest(data, before, a, b)
+        else:
+            yield i, *_slots(data[a:b], np.maximum(offsets[i : j + 1] - a, 0))
+
+
+def _back(data: np.ndarray, low: int, at: int) -> int:
+    """The byte where the last characters before a place begin, as many as an n-gram reaches back to."""
+    for _ in range(max(ORDERS) - 1):
+        at -= 1
+        while at > low and (data[at] & 0xC0) == 0x80:
+            at -= 1
+    return max(at, low)
+
+
+def _rest(data: np.ndarray, before: int, a: int, b: int) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the n-grams that end at the characters of a piece of one row."""
+    slots, first = _slots(data[before:b], np.array([0, b - before]))
+    extra = int(((data[before:a] & 0xC0) != 0x80).sum()) * len(ORDERS)
+    return slots[extra:], first - np.array([0, extra])
 
 
 def _slots(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -124,15 +144,23 @@ def _features(batches):
     """(y, place, text) to (y, place, slots, shares)."""
     for batch in batches:
         data, offsets, _ = K.binary(batch.column(2))
-        sums: list[np.ndarray] = [np.zeros(0, np.int64)] * len(batch)
+        lists, shares = [np.zeros(0, np.int32)] * len(batch), [np.zeros(0, np.float32)] * len(batch)
+        sums, row = np.zeros(1 << BITS, np.int64), None  # of the row that the last piece ended in
+
+        def close(row, sums, lists=lists, shares=shares):
+            at = np.flatnonzero(sums)
+            lists[row], shares[row] = at.astype(np.int32), (sums[at] / max(1, sums.sum())).astype(np.float32)
+            sums[at] = 0
+
         for i, slots, first in _pieces(data, offsets):
             for k in range(len(first) - 1):
-                sums[i + k] = np.concatenate([sums[i + k], slots[first[k] : first[k + 1]]])
-        lists, shares = [], []
-        for s in sums:
-            at, n = np.unique(s, return_counts=True)
-            lists.append(at.astype(np.int32))
-            shares.append((n / max(1, len(s))).astype(np.float32))
+                if row is not None and row != i + k:
+                    close(row, sums)
+                row = i + k
+                at, n = np.unique(slots[first[k] : first[k + 1]], return_counts=True)
+                sums[at] += n
+        if row is not None:
+            close(row, sums)
         ends = np.cumsum([0] + [len(x) for x in lists]).astype(np.int32)
         flat = lambda parts, kind: pa.array(np.concatenate(parts) if parts else np.zeros(0, kind))
         yield pa.RecordBatch.from_arrays(
@@ -193,17 +221,22 @@ def train(docs: DataFrame, max_rows: int = MAX_ROWS) -> Model | None:
     small_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     known = known.where(learnable(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).toArrow()
+    # one row a language comes to the driver, as do the model's weights for each
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).toArrow()
     if not len(counts):
         return None
-    languages = sorted(counts["lang"].to_pylist())
+    totals = dict(zip(counts["lang"].to_pylist(), counts["n"].to_pylist(), strict=True))
+    languages = sorted(totals)
     each = max(1, max_rows // len(languages))
-    totals = dict(zip(counts["lang"].to_pylist(), counts["count"].to_pylist(), strict=True))
-    # a hash of the id draws about `each` rows of every language
-    limits = docs.sparkSession.createDataFrame([(lang, k, int(min(1.0, each / totals[lang]) * (1 << 30))) for k, lang in enumerate(languages)], "lang string, y int, below int")
-    drawn = known.where(F.length("text") <= MAX_CHARS).join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("below"))
-    drawn = drawn.select("y", F.xxhash64("doc_id", "text").alias("place"), F.col("text").cast("binary").alias("text"))
-    table = drawn.mapInArrow(_features, "y int, place long, slots array<int>, shares array<float>").limit(4 * max_rows).toArrow().sort_by("place").combine_chunks()
+    # of every language some more rows than needed, drawn by a hash, then those of the smallest hashes
+    limits = docs.sparkSession.createDataFrame([(lang, k, int(min(1.0, (2 * each + 32) / totals[lang]) * (1 << 30))) for k, lang in enumerate(languages)], "lang string, y int, below int")
+    place = F.xxhash64("doc_id", "text")
+    drawn = known.join(F.broadcast(limits), "lang").withColumn("place", place).where(F.pmod("place", F.lit(1 << 30)) < F.col("below"))
+    first = Window.partitionBy("y").orderBy(F.pmod("place", F.lit(1 << 30)), "place")
+    chosen = drawn.select("y", "place").distinct().withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= each).select("y", "place")
+    featured = drawn.select("y", "place", F.col("text").cast("binary").alias("text")).mapInArrow(_features, "y int, place long, slots array<int>, shares array<float>")
+    once = featured.groupBy("y", "place").agg(F.first(F.struct("slots", "shares")).alias("x"))
+    table = once.join(F.broadcast(chosen), ["y", "place"]).select("y", "place", "x.slots", "x.shares").toArrow().sort_by([("place", "ascending"), ("y", "ascending")]).combine_chunks()
     frequency = known.select(F.col("text").cast("binary").alias("text")).mapInArrow(_frequencies, "slot long, docs long").groupBy("slot").agg(F.sum("docs").alias("docs")).toArrow()
     slot, docs_with = np.asarray(frequency["slot"]), np.asarray(frequency["docs"]).astype(float)
     total = docs_with[slot == -1].sum()
