@@ -15,6 +15,8 @@ ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,11 +56,9 @@ def canonical(text: Column) -> Column:
 
 
 def _cued(text: Column) -> Column:
-    low = F.translate(text, UPPER, LOWER)
-    out = F.lit(False)
-    for cue in CUES:
-        out = out | F.contains(low, F.lit(cue))
-    return out
+    """Whether a text may hold a cue. lower() also changes letters beyond A-Z, which can only let more texts through."""
+    low = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(cue)) for cue in CUES))
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]]) -> DataFrame:
@@ -78,7 +78,8 @@ def scan(docs: DataFrame, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
     if all(any(c in t.lower() for c in CUES) for _, t in known):
         rows = rows.where(_cued(F.col("text")))
         lines = F.filter(lines, _cued)
-    units = rows.select("doc_id", F.lit(True).alias("whole"), "text").union(rows.select("doc_id", F.lit(False), F.explode(lines)))
+    unit = lambda whole: lambda t: F.struct(F.lit(whole).alias("whole"), t.alias("text"))
+    units = rows.select("doc_id", F.explode(F.concat(F.transform(F.array("text"), unit(True)), F.transform(lines, unit(False)))).alias("u")).select("doc_id", "u.whole", "u.text")
     found = units.select("doc_id", "whole", F.sha2(canonical(F.col("text")), 256).alias("digest")).join(digests, "digest")
     per_doc = found.groupBy(F.col("doc_id").alias("id")).agg(
         F.min(F.when(F.col("whole"), F.col("license"))).alias("license"),
