@@ -9,9 +9,14 @@ are dropped, and the regions of the others are verified by a banded alignment. C
 The items' q-grams are broadcast in chunks of bounded size, one pass over the documents each; a document is looked at
 in pieces that overlap by the longest region.
 
-Edge cases: null and empty texts match nothing. Items of fewer than min_chars characters, null ones among them, are not
-looked for, as they are no evidence; where t would be under 1, the budget is the largest with t of 1. Rows with a null
-doc_id are matched like others. Rows that repeat an item_id count for that id. Extra columns are ignored.
+Items of fewer than min_chars characters have a budget of 0 and are looked for as they are, between word borders (an item
+of "and" is no hit within "hand"); for them windows of their lengths are hashed in place of q-grams.
+
+Edge cases: null and empty texts match nothing, and null, empty and blank items are in no text. Where t would be under 1,
+the budget is the largest with t of 1. Rows with a null doc_id are matched like others, and items with a null item_id are
+found under a null id. Rows that repeat an item_id count for that id, each with its text. Of copies of one item that
+overlap in a text, the one with the fewest edits is given. Rows that repeat a doc_id are each looked at. Extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from postloom.llm.common import small_batches, union
-from postloom.llm.kernels import folded
+from postloom.llm.kernels import folded, ngrams
 
 Q = 8
 RATE = 0.1
@@ -48,19 +53,32 @@ def qgrams(cp: np.ndarray) -> np.ndarray:
     return four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32))
 
 
+def _windows(cp: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of all windows of n characters."""
+    return ngrams(cp.astype(np.uint64) + np.uint64(1), n)
+
+
+def max_length(items: list[tuple[int | None, np.ndarray]]) -> int:
+    return max((len(c) for _, c in items), default=0)
+
+
 class ItemIndex:
     """The q-grams of benchmark items with their places, and a bit filter before them."""
 
     def __init__(self, ids: list[int], texts: list[str], rate: float, min_chars: int):
-        kept = [(i, characters(t)) for i, t in zip(ids, texts, strict=True) if t is not None and i is not None]
-        kept = [(i, c) for i, c in kept if len(c) >= max(min_chars, Q)]
-        self.ids = np.array([i for i, _ in kept], np.int64)
+        every = [(i, characters(t)) for i, t in zip(ids, texts, strict=True) if t is not None]
+        kept = [(i, c) for i, c in every if len(c) >= max(min_chars, Q)]
+        brief = [(i, c) for i, c in every if len(c) < max(min_chars, Q) and (c != 32).any()]
+        self.names: list[int | None] = [i for i, _ in kept] + [i for i, _ in brief]
+        self.brief: dict[int, dict[int, list[tuple[int, np.ndarray]]]] = {}  # length, hash of a window, items
+        for k, (_, c) in enumerate(brief, len(kept)):
+            self.brief.setdefault(len(c), {}).setdefault(int(_windows(c, len(c))[0]), []).append((k, c))
         self.items = [c for _, c in kept]
         m = np.array([len(c) for c in self.items], np.int64)
         self.budget = np.minimum(np.floor(rate * m).astype(np.int64), (m - Q) // Q)
         self.least = m + 1 - Q - self.budget * Q
         self.shift = np.array([int(k).bit_length() for k in self.budget], np.int64)  # log2 of the diagonals between bands
-        self.longest = int((m + 2 * self.budget + (2 << self.shift)).max(initial=0))
+        self.longest = max(int((m + 2 * self.budget + (2 << self.shift)).max(initial=0)), max_length(brief) + 2)
         grams = [qgrams(c) for c in self.items]
         flat = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         item = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
@@ -118,6 +136,23 @@ class ItemIndex:
         keep = counts >= self.least[item]
         return list(zip(item[keep].tolist(), (keys[keep] - base[item[keep]]).tolist(), strict=True))
 
+    def exact(self, text: np.ndarray, whole: bool) -> list[tuple[int, int, int]]:
+        """(item, start, end) of the brief items that stand between word borders of a piece of text; a piece that goes on
+        (not whole) is not looked at in its last character."""
+        if not self.brief or not len(text):
+            return []
+        word = _letter_or_digit(text)
+        inner = np.zeros(len(text) + 1, bool)  # between two characters of a word
+        inner[1:-1] = word[1:] & word[:-1]
+        out = []
+        for n, items in self.brief.items():
+            hashes = _windows(text, n)
+            for at in np.flatnonzero(np.isin(hashes, np.fromiter(items, np.uint64, len(items)))).tolist():
+                if inner[at] or inner[at + n] or (not whole and at + n == len(text)):
+                    continue
+                out += [(k, at, at + n) for k, c in items[int(hashes[at])] if (text[at : at + n] == c).all()]
+        return out
+
     def matches(self, pieces: list[np.ndarray]) -> list[tuple[int, int, int, int, int]]:
         """(piece, item, start, end, edits) of the verified stretches of pieces of text: the pieces are filtered laid end
         to end, and every piece that a kept band touches is aligned within the band."""
@@ -138,6 +173,14 @@ class ItemIndex:
         return out
 
 
+def _letter_or_digit(cp: np.ndarray) -> np.ndarray:
+    """Which code points belong to words; all beyond the table do."""
+    return (cp >= len(_WORD)) | _WORD[np.minimum(cp, len(_WORD) - 1)]
+
+
+_WORD = np.array([chr(c).isalnum() for c in range(0x3000)])
+
+
 def _apart(hits: set[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int]]:
     """Of stretches (row, item, start, end, edits) of an item that overlap in a row, the one with the fewest edits."""
     out, taken = [], {}
@@ -205,7 +248,7 @@ def find_items(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_ch
     """Rows (doc_id, item_id, start, end, edits): every place where a document (doc_id, text) holds a benchmark item
     (item_id, text); code points, end exclusive."""
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.length("text") >= max(Q, min_chars // 2))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
     return union([_matches(texts, chunk, rate, min_chars) for chunk in _chunks(items)])
 
@@ -218,21 +261,25 @@ def _matches(texts: DataFrame, items: DataFrame, rate: float, min_chars: int) ->
         index = shared.value
         for batch in batches:
             out: set[tuple[int, int, int, int, int]] = set()
-            group: list[tuple[int, int, np.ndarray]] = []
+            group: list[tuple[int, int, np.ndarray, bool]] = []
             size = 0
 
             def flush():
                 nonlocal group, size
-                for g, item, start, end, edits in index.matches([c for _, _, c in group]):
-                    row, shift, _ = group[g]
+                for g, item, start, end, edits in index.matches([c for _, _, c, _ in group]):
+                    row, shift, *_ = group[g]
                     out.add((row, item, shift + start, shift + end, edits))
+                for row, shift, c, last in group:
+                    # an item that begins with a piece may begin within a word; the piece before holds it too
+                    out.update((row, item, shift + s, shift + e, 0) for item, s, e in index.exact(c, last) if s or not shift)
                 group, size = [], 0
 
             for row, text in enumerate(batch.column(1)):
                 c = characters(text.as_py())
                 step = SLICE_CHARS
                 for shift in range(0, max(1, len(c) - index.longest) if len(c) > step else 1, step):
-                    group.append((row, shift, c[shift : shift + step + 2 * index.longest] if len(c) > step else c))
+                    piece = c[shift : shift + step + 2 * index.longest] if len(c) > step else c
+                    group.append((row, shift, piece, shift + len(piece) == len(c)))
                     size += len(group[-1][2])
                     if size >= SLICE_CHARS:
                         flush()
@@ -240,7 +287,7 @@ def _matches(texts: DataFrame, items: DataFrame, rate: float, min_chars: int) ->
                 flush()
             found = _apart(out)
             doc = batch.column(0).take(pa.array([x[0] for x in found], pa.int64()))
-            yield pa.RecordBatch.from_arrays([doc, pa.array([int(index.ids[x[1]]) for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4))], ["doc_id", "item_id", "start", "end", "edits"])
+            yield pa.RecordBatch.from_arrays([doc, pa.array([index.names[x[1]] for x in found], pa.int64()), *(pa.array([x[k] for x in found], pa.int64()) for k in (2, 3, 4))], ["doc_id", "item_id", "start", "end", "edits"])
 
     return texts.mapInArrow(match, "doc_id long, item_id long, start long, end long, edits long")
 
