@@ -1,6 +1,7 @@
 """The training-data operators on small inputs: brute force, round trips, held-out accuracy and edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from postloom.llm import char_tagger, decontaminate, language_id, license_scan, packing, pii, substring_dedup, top_k, toxicity, warc
+from postloom.llm import decontaminate, language_id, license_scan, packing, pii, pii_forms, substring_dedup, top_k, toxicity, warc
 from postloom.llm.queries import tokenizer
 
 from .helpers import documents, rows
@@ -60,11 +61,61 @@ def test_language_with_nothing_to_learn(spark):
 
 
 def test_long_texts_have_the_same_counts_in_pieces(monkeypatch):
-    data = np.frombuffer(("wörd the " * 400).encode(), np.uint8)
-    whole = np.bincount(np.concatenate([s for _, s, _ in language_id._pieces(data, np.array([0, len(data)]))]), minlength=1 << 16)
-    monkeypatch.setattr(language_id, "STEP", 500)
-    parts = np.bincount(np.concatenate([s for _, s, _ in language_id._pieces(data, np.array([0, len(data)]))]), minlength=1 << 16)
-    assert np.abs(whole - parts).sum() <= 6 * (len(data) // 500 + 1)  # only the n-grams at a cut differ
+    text = "wörd the ç " * 400
+    data, offsets = np.frombuffer((text + "tail").encode(), np.uint8), np.array([0, len(text.encode()), len((text + "tail").encode())])
+    count = lambda: [np.bincount(np.concatenate([s[f[k] : f[k + 1]] for i, s, f in language_id._pieces(data, offsets) for k in range(len(f) - 1) if i + k == row]), minlength=1 << 16) for row in (0, 1)]
+    whole = count()
+    for step in (97, 500):
+        monkeypatch.setattr(language_id, "STEP", step)
+        assert all((a == b).all() for a, b in zip(whole, count(), strict=True))
+
+
+def _plain_language(text, model):
+    """What the model gives for a text, feature by feature in plain Python."""
+    chars = [ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text]
+    chars = [c if (c < 0x3000 and chr(c).isalpha()) or c >= 0x3400 else 32 for c in chars]
+    counts, mask = Counter(), (1 << 64) - 1
+    for k in range(len(chars)):
+        for n in language_id.ORDERS:
+            gram = 0
+            for size in range(1, n + 1):  # each n-gram builds on the one before; spaces stand before the text
+                at = k - n + size
+                before = size + (gram if at > 0 else 0)
+                c = chars[at] if at >= 0 else None
+                if c is None:
+                    gram = 0
+                    continue
+                gram = (before * 0xC2B2AE3D27D4EB4F + c * 0x9E3779B97F4A7C15) & mask
+            counts[((gram ^ (gram >> 29)) * 0xBF58476D1CE4E5B9 & mask) >> (64 - language_id.BITS)] += 1
+    total = sum(counts.values())
+    logits = model.bias.copy()
+    for slot, n in counts.items():
+        logits = logits + n / total * language_id.SCALE * model.idf[slot] * model.weights[slot]
+    e = np.exp(logits / model.temperature - (logits / model.temperature).max())
+    return model.languages[int(logits.argmax())], float((e / e.sum()).max())
+
+
+def test_language_scores_are_those_of_plain_python(spark):
+    docs, raw = _language_docs(spark)
+    model = language_id.train(docs)
+    long = raw[0][1] + " the tion" * 60_000  # beyond a piece
+    asked = spark.createDataFrame([(1, raw[0][1]), (2, raw[1][1] + " 12!"), (3, "ß"), (4, "the"), (4, "the"), (5, long)], "doc_id long, text string")
+    for r, (_, text) in zip(language_id.predict(asked, model).orderBy("doc_id").collect(), [(r["doc_id"], r["text"]) for r in asked.orderBy("doc_id").collect()], strict=True):
+        if len(text) < 1000:
+            lang, score = _plain_language(text, model)
+            assert r["lang_pred"] == lang and abs(r["score"] - score) < 1e-5
+        else:
+            assert r["lang_pred"] == "en"
+
+
+def test_language_sample_is_bounded_and_the_same_each_time(spark):
+    docs, raw = _language_docs(spark)
+    a, b = language_id.train(docs, 60), language_id.train(docs.repartition(7), 60)
+    assert a.languages == b.languages and a.temperature == b.temperature and (a.weights == b.weights).all()
+    twice = language_id.languages(docs.unionByName(docs).repartition(7))
+    assert twice.count() == 2 * len(raw) and twice.distinct().count() == len(raw)
+    many = spark.createDataFrame([(i, chr(97 + i % 26) * 9, f"l{i % 300:03d}") for i in range(900)], "doc_id long, text string, lang string")
+    assert len(language_id.train(many).languages) == 300
 
 
 def test_temperature_makes_sure_scores_less_so():
@@ -80,6 +131,8 @@ def test_temperature_makes_sure_scores_less_so():
 def test_top_k_is_that_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(top_k, "BLOCK", 16)
     monkeypatch.setattr(top_k, "HEAD", 20)
+    monkeypatch.setattr(top_k, "PART", 40)
+    monkeypatch.setattr(top_k, "QUERIES", 4)
     r = np.random.default_rng(2)
     vecs = [(i, (r.normal(0, 1 + i % 3, 24) / 8).astype("float32").tolist()) for i in range(150)]
     vecs += [(200 + i, vecs[7][1]) for i in range(9)]  # ties
@@ -96,6 +149,32 @@ def test_top_k_is_that_of_all_pairs(spark, monkeypatch):
     assert top_k.top_k(df, df.where("false"), "vec_id", "embedding").count() == 0
 
 
+def test_top_k_of_large_and_repeated_vectors(spark, monkeypatch):
+    for name, value in (("BLOCK", 8), ("HEAD", 10), ("PART", 16), ("QUERIES", 3)):
+        monkeypatch.setattr(top_k, name, value)
+    r = np.random.default_rng(4)
+    vecs = [(i, (r.normal(0, 10.0 ** (i % 11), 3)).tolist()) for i in range(60)]
+    vecs += [(60, [1e30, 0.0, 0.0]), (61, [-1e30, 5.0, 1.0]), (62, [1e308, 1.0, 1.0]), (63, [float("inf"), 0.0, 0.0]), (64, [2.0**44, 0.5, 0.0])]
+    df = spark.createDataFrame(vecs + vecs[:5] + [vecs[0]] * 5, "vec_id long, embedding array<double>")
+    got = rows(top_k.top_k(df.where("vec_id % 4 = 0"), df, "vec_id", "embedding", k=3), "query_id", "rank", "vec_id", "score")
+    ints = {i: [math.floor(256 * x) for x in v] for i, v in vecs if all(math.isfinite(256 * x) for x in v)}
+    assert set(range(65)) - set(ints) == {62, 63}
+    dot = lambda a, b: min(max(sum(x * y for x, y in zip(a, b, strict=True)), -(2**63)), 2**63 - 1)
+    want = []
+    for q in sorted(i for i in ints if i % 4 == 0):
+        scored = sorted((-dot(ints[q], v), i) for i, v in ints.items() if i != q)[:3]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+    assert got == sorted(want)
+
+
+def test_blocks_that_are_too_short_are_not_rotated(monkeypatch):
+    r = np.random.default_rng(5)
+    q = top_k.Side(np.arange(4), r.integers(-9, 9, (4, 24)).astype(float), np.eye(24))
+    blocks = [top_k.Side(np.arange(10, 14), s * r.integers(1, 9, (4, 24)).astype(float), np.eye(24)) for s in (1000.0, 1.0)]
+    top_k.scan(q, blocks, np.array([1e5] * 4), 1)
+    assert blocks[1]._rotated is None
+
+
 # ---- packing ----
 
 
@@ -116,6 +195,58 @@ def test_packing_keeps_every_token_once(spark):
     assert packing.packed(documents(spark, []), tokenizer()).count() == 0
 
 
+def test_long_gaps_have_the_tokenizers_ids():
+    vocabulary = packing.Vocabulary(tokenizer())
+    for text in (" " * 1_000_000, "x" + "\t" * 20_000 + "y", " " * 5_000_000, "a" * 100_000, "a" + " \n" * 30_000 + "b c"):
+        assert vocabulary.ids(text).tolist() == vocabulary.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def dense_nnls(a, b):
+    """Least squares with x >= 0 by active sets (Lawson and Hanson), for small dense systems."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    for _ in range(10 * a.shape[1]):
+        pull = a.T @ (b - a @ x)
+        pull[free] = 0
+        if pull.max(initial=0) < 1e-9:
+            break
+        free[pull.argmax()] = True
+        while True:
+            z = np.zeros_like(x)
+            z[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if (z[free] > -1e-12).all():
+                x = np.maximum(z, 0)
+                break
+            bad = free & (z <= 0)
+            step = (x[bad] / (x[bad] - z[bad])).min()
+            x += step * (z - x)
+            free &= x > 1e-12
+    return x
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_the_fit_is_that_of_dense_nnls(seed, monkeypatch):
+    monkeypatch.setattr(packing, "TOLERANCE", 1e-6)
+    monkeypatch.setattr(packing, "RELATIVE", 0)
+    r = np.random.default_rng(seed)
+    lengths = r.integers(1, 24, [40, 400, 3000][seed])
+    histogram = {int(k): int(v) for k, v in Counter(lengths.tolist()).items()}
+    patterns = packing.full_patterns(sorted(histogram), 24)
+    brute = {tuple(sorted(p, reverse=True)) for a in histogram for b in histogram for c in [0, *histogram] if a + b + c == 24 for p in [(a, b, c)]}
+    assert {tuple(p) for p in patterns.tolist()} == brute
+    a = np.zeros((25, len(patterns)))
+    for k, p in enumerate(patterns.tolist()):
+        for v in p:
+            a[v, k] += v > 0
+    b = np.zeros(25)
+    b[list(histogram)] = list(histogram.values())
+    w = np.sqrt(np.arange(25.0))
+    loss = lambda x: float((w * w * (a @ x - b) ** 2).sum())
+    x = packing.fitted(histogram, patterns)
+    assert (x >= 0).all()
+    best = loss(dense_nnls(a * w[:, None], b * w))
+    assert loss(x) <= best * (1 + 1e-6) + 1e-3
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_plans_hold_the_histogram(seed):
     r = np.random.default_rng(seed)
@@ -137,23 +268,34 @@ def test_plans_hold_the_histogram(seed):
 # ---- archive ----
 
 
-def test_archive_round_trip(spark, tmp_path):
-    html = ["<p>a</p>", "<p>a</p>", None, "", "ü" * 3000, "<p>a</p>", "x"]
-    urls = ["http://a/\r\nWARC-Type: x", None] + ["http://b"] * 5
-    ids = [5, 3, 9, 1, 7, None, 8]
+@pytest.mark.parametrize(("deal", "least"), [(100_000, 0), (2, 0), (2, 5)])
+def test_archive_round_trip(spark, tmp_path, monkeypatch, deal, least):
+    monkeypatch.setattr(warc, "DEAL", deal)
+    html = ["<p>a</p>", "<p>a</p>", None, "", "ü" * 3000, "<p>a</p>", "x", "<p>a</p>", "<p>a</p>", "", "zz", "zz"]
+    urls = ["http://a/\r\nWARC-Type: x", None, "http://b/ü%41 ?q=1&r=#z"] + ["http://b"] * 9
+    ids = [5, 3, 9, 1, 7, None, 8, 11, 12, 13, 20, 20]
     df = spark.createDataFrame([(i, u, h, "clash", b"c") for i, u, h in zip(ids, urls, html, strict=True)], "page_id long, url string, html string, sha256 string, payload binary")
-    warc.write_archive(df, str(tmp_path / "a"))
+    warc.write_archive(df, str(tmp_path / "a"), min_revisit=least)
     back = warc.record_bytes(warc.read_archive(spark, str(tmp_path / "a"))).collect()
+    assert len(back) == len(ids)
     got = {r["page_id"]: r for r in back}
-    assert len(back) == 7 and got[3]["record_type"] == "response" and got[5]["record_type"] == "revisit" and got[5]["refers_to"] == 3
-    assert got[1]["record_type"] == "response" and got[9]["refers_to"] == 1
+    first = {}
+    for i, h in sorted(((i, h or "") for i, h in zip(ids, html, strict=True)), key=lambda x: (x[0] is None, x[0] or 0)):
+        first.setdefault(h, i)
     for i, h in zip(ids, html, strict=True):
         payload = (h or "").encode()
-        assert got[i]["payload"] == payload and got[i]["payload_digest"] == warc.reference_digest(payload)
-        fields, block = warc.parse_record(bytes(got[i]["record"]))
+        revisit = len(payload) >= least and first[h or ""] != i
+        r = got[i]
+        assert (r["record_type"], r["refers_to"]) == (("revisit", first[h or ""]) if revisit else ("response", None))
+        assert r["payload_bytes"] == len(payload) and r["payload_digest"] == warc.reference_digest(payload)
+        fields, block = warc.parse_record(bytes(r["record"]))
         assert fields["WARC-Payload-Digest"] == "sha1:" + warc.reference_digest(payload)
-        assert block == (payload if got[i]["record_type"] == "response" else b"") and fields["WARC-Type"] == got[i]["record_type"]
+        assert block == (b"" if revisit else payload) and fields["WARC-Type"] == r["record_type"]
+        assert bytes(r["record"]).endswith(b"\r\n\r\n") and len(r["record"]) == len(r["header"]) + len(block) + 4
+    uri = {i: warc.parse_record(bytes(r["record"]))[0].get("WARC-Target-URI") for i, r in got.items()}
+    assert uri[3] is None and uri[9] == "http://b/%C3%BC%41%20?q=1&r=#z" and uri[5] == "http://a/%0D%0AWARC-Type:%20x" and uri[7] == "http://b"
     assert warc.page_records(df.where("false")).count() == 0
+    assert warc.page_records(df.where("page_id = 20")).where("record_type = 'response'").count() == 2  # a row that repeats
 
 
 # ---- substring dedup ----
@@ -217,41 +359,76 @@ def test_spans_of_very_long_texts_take_linear_time():
         pii.base_spans(text)
 
 
-def test_tagger_finds_what_it_learned(spark):
+@pytest.fixture(scope="module")
+def tagger(spark):
     r = random.Random(9)
     texts = []
     for _ in range(400):
         kind = r.randrange(4)
         value = ["".join(r.choices("abcdef", k=5)) + f".{r.randint(10, 99)}@mail{r.randint(1, 9)}.example.com", ".".join(str(r.randint(1, 250)) for _ in range(4)), "", f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}"][kind]
-        texts.append(prose(r, ["the", "tion", "is", "ing"], 12) + " " + value + " " + prose(r, ["the", "tion", "was"], 8))
-    docs = documents(spark, [None, "", "x" * 300_000 + " 1.2.3.4"] + texts)
-    tagger = pii.train(docs)
-    alone = pii.Reader(tagger)
-    hit = total = 0
-    for t in texts[:120]:
-        c = char_tagger.classes(t)
-        starts = pii.window_starts(pii.triggers(c))
-        for b in starts.tolist():
-            x = np.zeros((1, char_tagger.WINDOW), np.int64)
-            part = c[max(0, b) : b + char_tagger.WINDOW]
-            x[0, max(0, -b) : max(0, -b) + len(part)] = part
-            path, _ = tagger.decode(x)
-            for kind, s, e in pii.base_spans(t):
-                if b <= s and e <= b + char_tagger.WINDOW:
-                    total += 1
-                    hit += set(path[0, s - b : e - b].tolist()) <= {pii.label_of(kind, False), pii.label_of(kind, True)}
-    assert hit >= 0.9 * total > 0
-    got = {r["doc_id"]: r for r in pii.find_spans(docs, tagger).collect()}
-    assert got[0]["spans"] == got[1]["spans"] == "" and got[2]["base"] == "ip:300001:300008"
-    assert all(set(filter(None, x["base"].split(","))) <= set(x["spans"].split(",")) for x in got.values())
-    clean = alone.spans(["nothing here 12 apples", "no digits at all"])
-    assert all(not b and not m for b, m in clean)
+        texts.append(prose(r, ["the", "tion", "is", "ing", "ein", "é"], 12) + " " + value + " " + prose(r, ["the", "tion", "was"], 8))
+    return pii.train(documents(spark, [None, "", *texts]))
+
+
+def test_forms_that_the_patterns_miss_are_found(spark, tagger):
+    """Held-out forms in held-out prose: recall of the added spans, and none in texts without personal data."""
+    forms, r = pii_forms.Forms(77), random.Random(78)
+    texts, want = [], []
+    for k in range(300):
+        head, tail = prose(r, ["alpha", "beta", "the", "of", "12"], r.randint(0, 30)), prose(r, ["gamma", "delta", "in"], r.randint(0, 30))
+        kind, part = forms.span()
+        part, s, e = forms.written(kind, part)
+        if k % 3 == 2:
+            kind, part = None, forms.other()
+        texts.append(f"{head} {part} {tail}")
+        want.append(kind and (kind, len(head) + 1 + s, len(head) + 1 + e))
+    got = pii.Reader(tagger).spans(texts)
+    missed = [(texts[k][w[1] : w[2]], got[k]) for k, w in enumerate(want) if w and w not in got[k][0] + got[k][1]]
+    asked = sum(w is not None for w in want)
+    assert len(missed) <= 0.15 * asked, missed[:10]
+    wrong = [(texts[k], got[k][1]) for k, w in enumerate(want) if w is None and got[k][1]]
+    assert len(wrong) <= 0.02 * (len(want) - asked), wrong
+    assert sum(len(g[1]) for g in got) >= 0.8 * asked  # it is the tagger that finds them
+
+
+def test_tagger_reads_whole_texts(spark, tagger):
+    texts = [None, "", "x" * 300_000 + " 1.2.3.4", "the tion " * 20_000 + "is ann.lee (at) host (dot) org and (414) 555-7134 in it", "nothing here 12 apples", "no digits at all"]
+    docs = documents(spark, texts + texts[4:5])
+    found = pii.find_spans(docs, tagger).collect()
+    got = {r["doc_id"]: r for r in found}
+    assert len(found) == 7 and got[0]["spans"] == got[1]["spans"] == got[4]["spans"] == got[5]["spans"] == "" and got[2]["base"] == "ip:300001:300008"
+    assert got[3]["spans"] == "email:180003:180030,phone:180035:180049" and got[3]["base"] == ""
+    assert all(set(filter(None, x["base"].split(","))) <= set(x["spans"].split(",")) for x in found)
     out = {r["doc_id"]: r for r in pii.redact(docs, tagger).collect()}
     assert out[0]["text"] is None and out[2]["text"] == "x" * 300_000 + " [IP]" and out[2]["score"] == 0.5
+    assert out[3]["text"] == "the tion " * 20_000 + "is [EMAIL] and [PHONE] in it" and out[4]["text"] == texts[4]
+
+
+def test_base_report_is_that_of_plain_patterns(spark, monkeypatch):
+    monkeypatch.setattr(pii, "train", lambda docs: None)
+    r = random.Random(21)
+    texts = [None, ""] + ["".join(r.choices("a1.@- +(45", k=60)) + r.choice(["", " 4111 1111 1111 1111", " 4111-1111-1111-1112 ", "+49 (30) 123-45678 ", "a@b.c", "4222222222222 ", "10.0.0.1"]) for _ in range(200)]
+    patterns = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def kept(kind, m):
+        digits = re.sub("[^0-9]", "", m)
+        if kind == "ip":
+            return all(int(x) <= 255 for x in m.split("."))
+        if kind == "card":
+            doubled = sum(sum(divmod(int(c) * 2, 10)) if k % 2 else int(c) for k, c in enumerate(reversed(digits)))
+            return 14 <= len(digits) <= 19 and doubled % 10 == 0
+        return kind == "email" or 10 <= len(digits) <= 15
+
+    got = {x["doc_id"]: x for x in pii.report(documents(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        spans = sorted((m.start(), k, kind, m.end()) for k, (kind, p) in enumerate(patterns.items()) for m in re.finditer(p, t or "") if kept(kind, m.group()))
+        line = ",".join(f"{kind}:{s}:{e}" for s, _, kind, e in spans)
+        assert got[i]["base_sha256"] == hashlib.sha256(line.encode()).hexdigest() and got[i]["spans"] == line
+        assert [got[i][f"n_{kind}"] for kind in patterns] == [sum(x[2] == kind for x in spans) for kind in patterns]
 
 
 def test_no_tagger_without_spans(spark):
-    docs = documents(spark, ["plain", None])
+    docs = documents(spark, ["", None])
     assert pii.train(docs) is None and rows(pii.report(docs), "doc_id", "spans") == [(0, ""), (1, "")]
     assert pii.report(documents(spark, [])).count() == 0
 
@@ -284,6 +461,39 @@ def test_toxicity_of_held_out_texts(spark):
     assert toxicity.predictions(documents(spark, []), labels).count() == 0
 
 
+def _plain_toxicity(text, weights):
+    """The margin of a text, feature by feature in plain Python."""
+    from postloom.llm import kernels as K
+
+    table, mask = dict(zip(weights.slots.tolist(), weights.values.tolist(), strict=True)), (1 << 64) - 1
+    data = np.frombuffer(text.encode(), np.uint8)
+    hashed = lambda head: [int(h) for w in re.findall(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", bytes(data)) for h in K.word_hashes(np.frombuffer(w[: head or None], np.uint8), np.array([0, len(w[: head or None])]), fold=True, gaps=K.PUNCTUATION)[0]]
+    mix = lambda x, seed: int(K.mix(np.array([x & mask], np.uint64), seed)[0])
+    h = hashed(0)
+    features = {mix(x, 1) for x in h}
+    for k in toxicity.HEADS:
+        features |= {mix(x, 10 + k) for x in hashed(k)}
+    for gap in (1, 2):
+        features |= {mix(a * 0x9E3779B97F4A7C15 + b, 1 + gap) for a, b in zip(h, h[gap:], strict=False)}
+    return weights.bias + sum(table.get(s, 0.0) for s in {f >> (64 - toxicity.BITS) for f in features})
+
+
+def test_toxicity_scores_are_those_of_plain_python(spark, monkeypatch):
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join([*r.choices(words, k=20), *(["vileword"] if i % 3 == 0 else [])]) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(i, 0) for i in range(0, 200, 3)], "doc_id long, toxic int")  # labels that disagree count as toxic
+    weights = toxicity.train(documents(spark, texts + texts, [*range(200), *range(200)]), labels)
+    monkeypatch.setattr(toxicity.K, "SLICE_BYTES", 200)
+    asked = [texts[0], texts[1], "", "Vileword!", "é ü vileword,w1", " ".join(texts[:40]), "x" * 3000 + " vileword"]
+    assert len(toxicity._long_row(np.frombuffer(asked[5].encode(), np.uint8))) == len({int(s) for s in toxicity._slots(np.frombuffer(asked[5].encode(), np.uint8), np.array([0, len(asked[5]), len(asked[5])]))[0]})
+    got = toxicity.score(documents(spark, asked + asked[:2]), weights).collect()
+    assert len(got) == len(asked) + 2
+    for x in got:
+        want = 1 / (1 + math.exp(-_plain_toxicity((asked + asked[:2])[x["doc_id"]], weights)))
+        assert abs(x["score"] - want) < 1e-6
+
+
 # ---- licences ----
 
 
@@ -307,6 +517,15 @@ def test_licence_texts_in_other_spellings(spark):
     assert rows(license_scan.scan(documents(spark, ["No cue, words here: at all"]), plain), "license") == [("X",)]
 
 
+def test_licences_of_long_texts_and_shared_digests(spark):
+    text = dict(license_scan.KNOWN)["Zlib"]
+    known = [("B", text), ("A", text)]
+    long = "filler words\n" * 100_000 + "Copyright 2020 me\n" + "Released under the MIT license\n" * 3
+    got = rows(license_scan.scan(documents(spark, [text, long]), known), "doc_id", "license", "n_notices", "licenses")
+    assert got == [(0, "A", 0, "A,B"), (1, None, 0, "")]
+    assert rows(license_scan.scan(documents(spark, [long])), "n_notices", "licenses") == [(3, "MIT")]
+
+
 # ---- benchmark decontamination ----
 
 
@@ -321,6 +540,30 @@ def edits(pattern, text):
     return min(row)
 
 
+def whole_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, p in enumerate(a, 1):
+        new = [i]
+        for j, t in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (p != t)))
+        row = new
+    return row[-1]
+
+
+def test_items_and_documents_that_repeat_and_brief_items(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_CHARS", 60)
+    item = "what is the tallest tower that stands in the old town"
+    other = "name the river which runs along the northern border"
+    texts = [f"x {item} y", f"{item} {item[4:]}", f"{other} and {item}", "xx" * 45 + " Answer: 42, yes", "hand 4242 answers: 42x", item]
+    docs = documents(spark, texts, [1, 1, None, 4, 5, 6])
+    bench = spark.createDataFrame([(1, item), (1, other), (2, "answer: 42"), (3, "and"), (None, "yes")], "item_id long, text string")
+    got = sorted(((r["doc_id"], r["item_id"], r["start"], r["end"], r["edits"]) for r in decontaminate.find_items(docs, bench).collect()), key=str)
+    n, m = len(item), len(other)
+    want = [(1, 1, 2, 2 + n, 0), (1, 1, 0, n, 0), (None, 1, 0, m, 0), (None, 3, m + 1, m + 4, 0), (None, 1, m + 5, m + 5 + n, 0), (4, 2, 91, 101, 0), (4, None, 103, 106, 0), (6, 1, 0, n, 0)]
+    again = [x for x in got if x[0] == 1 and x[4] > 0]  # the copy without its beginning is within the budget
+    assert sorted((x for x in got if x not in again), key=str) == sorted(want, key=str) and len(again) <= 1
+
+
 def test_items_within_the_edit_budget_are_found(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "SLICE_CHARS", 300)
     r = random.Random(11)
@@ -334,8 +577,13 @@ def test_items_within_the_edit_budget_are_found(spark, monkeypatch):
             item[at : at + 1] = r.choice([[], ["x"], [item[at], "y"]])
         texts.append("".join(r.choices(letters, k=r.randint(0, 700))) + "".join(item).upper() + "".join(r.choices(letters, k=r.randint(0, 700))))
     docs = documents(spark, texts)
-    bench = spark.createDataFrame([*enumerate(items), (9, None), (None, items[0]), (10, "tiny")], "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_items(docs, bench).collect()}
+    bench = spark.createDataFrame([*enumerate(items), (9, None), (None, items[0]), (10, "tiny"), (11, "  ")], "item_id long, text string")
+    every = decontaminate.find_items(docs, bench).collect()
+    assert {r["doc_id"] for r in every if r["item_id"] is None} == {r["doc_id"] for r in every if r["item_id"] == 0}
+    got = {(r["doc_id"], r["item_id"]) for r in every if r["item_id"] is not None}
+    for r in every:
+        item, part = items[r["item_id"] or 0].lower(), texts[r["doc_id"]][r["start"] : r["end"]].lower()
+        assert edits(item, part) <= r["edits"] <= len(item) // 10 and whole_distance(item, part) == r["edits"]
     fold = lambda s: s.lower()
     want = {(i, k) for i, t in enumerate(texts) if t for k, item in enumerate(items) if edits(fold(item), fold(t)) <= min(len(item) // 10, (len(item) - 8) // 8)}
     assert got == want

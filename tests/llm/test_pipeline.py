@@ -67,3 +67,16 @@ def test_rows_without_ids_stay(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES[:4]:
         docs = stored(stage(spark, docs, str(tmp_path)))
     assert docs.count() == 5 and ngram_join.jaccard_components(docs).where("component_id is not null").count() == 0
+
+
+def test_rows_are_judged_each_by_its_own_text(spark, tmp_path):
+    _tables(spark, str(tmp_path))
+    item = "the quick brown fox jumps over the lazy dog near the river bank at noon today"
+    a, b = (" ".join(f"{k}{i}" for i in range(40)) for k in "ab")
+    raw = [(5, a), (5, a), (5, b), (None, b), (None, item + b.upper().replace("B", "c")), (7, item), (7, "clean words here"), (3, a + " x"), (9, None), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, k) for k, (i, t) in enumerate(raw)], "doc_id long, text string, lang string, source string, n_chars long, row int")
+    one = stored(corpus_pipeline.one_of_each_group(spark, docs, str(tmp_path)))
+    assert one.columns == docs.columns
+    assert sorted(r["row"] for r in one.collect()) == [2, 4, 5, 6, 7, 8, 9]
+    left = corpus_pipeline.drop_leaks(spark, one, str(tmp_path))
+    assert left.columns == docs.columns and sorted(r["row"] for r in left.collect()) == [2, 6, 7, 8, 9]
