@@ -343,7 +343,8 @@ def _tree_candidates(entries: DataFrame, nodes: DataFrame, every: bool) -> DataF
     known = entries.join(nodes.select("node", "comp"), "node")
     groups = known.groupBy("h", "comp").agg(F.count("*").alias("size"))
     held = groups.groupBy("h").agg(F.sum("size").alias("members"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    member = known.join(held.where("members > most"), "h")
+    # a small group hands on few pairs as it is: it waits for the last pass
+    member = known.join(held.where(F.col("members") > F.greatest("most", F.lit(0 if every else FANOUT))), "h")
     # strays (those outside the largest group) come in blocks 0, 1, ...; the largest group's members in those after
     large = F.col("members") > BLOCK
     strays = F.when(large, F.ceil((F.col("members") - F.col("most")) / BLOCK)).otherwise(1).cast("int")
