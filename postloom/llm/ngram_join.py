@@ -153,10 +153,10 @@ def _features(texts: DataFrame, common: np.ndarray) -> DataFrame:
     return texts.mapInArrow(features, _FEATURES)
 
 
-def _sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The whole sets (d1, d2, s) of the documents in ids (doc_id), by another pass over the texts: a bitmap passes few
-    others, which the join with pairs drops. s holds the sorted 64-bit hashes."""
-    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(hashed_ids(ids), "h", bits_for(ids.count())))
+def _sets(texts: DataFrame, ids: DataFrame, number: int) -> DataFrame:
+    """The whole sets (d1, d2, s) of the documents in ids (doc_id), so many of them, by another pass over the texts: a
+    bitmap passes few others, which the join with pairs drops. s holds the sorted 64-bit hashes."""
+    shared = texts.sparkSession.sparkContext.broadcast(bitmap_of(hashed_ids(ids), "h", bits_for(number)))
 
     def sets(batches):
         seen: set[tuple[int, int]] = set()
@@ -206,7 +206,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
     """The pairs (a, b) of classes whose sets link, with both ends' smallest doc_id and group; stored."""
     side = lambda k: nodes.select(F.col("node").alias(k), F.col("first").alias(f"first_{k}"), F.col("comp").alias(f"group_{k}"), F.col("d1").alias(f"{k}1"), F.col("d2").alias(f"{k}2"))
     ends = stored(pairs.join(side("a"), "a").join(side("b"), "b"))
-    sets = _sets(texts, ends.select(F.explode(F.array("first_a", "first_b"))).distinct())
+    ids = ends.select(F.explode(F.array("first_a", "first_b"))).distinct()
+    number = ids.count()
+    if not number:
+        return ends.select(*(c.split()[0] for c in _LINK.split(", ")))
+    sets = _sets(texts, ids, number)
     part = lambda k: sets.select(F.col("d1").alias(f"{k}1"), F.col("d2").alias(f"{k}2"), F.col("s").alias(f"s{k}"))
 
     def check(batches):
@@ -226,6 +230,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame) -> DataFrame
 
 def _merged(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """nodes with the groups that links join made one, known by the smallest of them."""
+    if not links.take(1):
+        return nodes
     found = components(links.select(F.col("group_a").alias("a"), F.col("group_b").alias("b")))
     named = nodes.join(found.withColumnRenamed("node", "comp"), "comp", "left")
     return stored(named.withColumn("comp", F.coalesce("component", "comp")).drop("component"))

@@ -34,7 +34,7 @@ from postloom.llm.common import stored
 
 BLOCK = 1024  # candidates of a block
 QUERIES = 512  # queries of a block
-PART = 1 << 16  # candidates of a part, about
+PART = 1 << 17  # candidates of a part at most, about: each query block may be sent to every part
 HEAD = 2048  # longest vectors, which give the first thresholds
 PARTIAL = 16  # rotated components of the partial sum
 WHOLE = float(1 << 26)  # lengths under it: inner products, and all their partial sums, are whole numbers in doubles
@@ -197,7 +197,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
         for d, part in _by_dim(batch):
             head[d] = (np.asarray(part.column("id")), _matrix(part.column("vector"), d))
     leading = sc.broadcast(head)
-    parts = max(1, -(-total // PART))
+    # few parts save copies of queries; small tables are still dealt over the cores there are
+    parts = max(1, -(-total // PART), min(sc.defaultParallelism, -(-total // (8 * BLOCK))))
     ranged = pool.repartitionByRange(parts, F.desc("norm"), "id") if parts > 1 else pool.coalesce(1)
     ranged = stored(ranged.sortWithinPartitions(F.desc("norm"), "id").withColumn("part", F.spark_partition_id()))
     longest = {r["part"]: r["longest"] for r in ranged.groupBy("part").agg(F.max("norm").alias("longest")).collect()}  # one number a part
