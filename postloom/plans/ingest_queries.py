@@ -7,7 +7,6 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postloom.functions import people
-from postloom.functions import text as T
 from postloom.operators import chunking, embedding, graph, vector, writes
 from postloom.plans.registry import query, table
 
