@@ -1,8 +1,5 @@
 """Queries without SQL whose results must cover their whole tables."""
 
-import numpy as np
-
-from postloom.operators import vector
 from postloom.plans import catalog
 
 
@@ -25,24 +22,3 @@ def test_snippets_of_every_document(spark, tmp_path):
     _documents(spark, tmp_path, [(1, "see the fox", "en", "s", 11), (2, "das the Haus", "de", "s", 12), (3, "the end", None, "s", 7), (4, None, "fr", "s", None)])
     got = {r["doc_id"]: r["snippet"] for r in catalog.QUERIES["x08_snippets"](spark, str(tmp_path)).collect()}
     assert got == {1: "see [[the]] fox", 2: "das [[the]] Haus", 3: "[[the]] end", 4: None}
-
-
-def test_approximate_neighbours_recall(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(vector, "PART", 64)
-    rng = np.random.default_rng(3)
-    centres = rng.normal(size=(8, 64))
-    vectors = centres[rng.integers(0, 8, 2000)] * 0.7 + rng.normal(size=(2000, 64))
-    vectors[700:1300] = vectors[0]  # one vector is a third of all
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors.astype(np.float32))] + [(5000, None), (5020, [1.0] * 3), (5040, [0.0] * 64)]
-    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
-    unit = (vectors / np.linalg.norm(vectors, axis=1, keepdims=True)).astype(np.float32)
-    cosine = (unit[::20].astype(float) @ unit.T.astype(float)).round(5)
-    cosine[np.arange(100), np.arange(0, 2000, 20)] = -2
-    tenth = -np.sort(-cosine, 1)[:, 9]
-    got = catalog.QUERIES["v06_approximate_nearest"](spark, str(tmp_path)).where("query_id < 2000").collect()
-    hits = sum(cosine[r["query_id"] // 20, r["id"]] >= tenth[r["query_id"] // 20] - 1e-5 for r in got if r["id"] < 2000)
-    assert len(got) == 1000 and hits >= 0.9 * 1000
-    e = spark.read.parquet(f"{tmp_path}/embeddings.parquet")
-    exact = vector.approximate(e.where("vec_id % 20 = 0"), e, 10, 64, probes=1.0).where("query_id < 2000").collect()
-    assert all(cosine[r["query_id"] // 20, r["id"]] >= tenth[r["query_id"] // 20] - 1e-5 for r in exact if r["id"] < 2000) and len(exact) == 1000
-    assert vector.approximate(e.where("false"), e, 10, 64).count() == vector.approximate(e, e.where("false"), 10, 64).count() == 0
