@@ -25,7 +25,7 @@ from postloom.llm import kernels as K
 from postloom.llm.common import bitmap_of, bits_for, small_batches, stored, union
 from postloom.llm.suffix_counts import Shard, ngram_counts, run_lengths, text_shards
 
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 6 << 20
 WORDS = 4
 LEAST = 30
 KEEP = 2000

@@ -140,13 +140,15 @@ def text_shards(batches, limit: int, overlap: int) -> Iterator[tuple[str, Shard]
                 held.setdefault(names[codes[row]], []).append(one.copy())
                 size += len(one)
         if size >= limit:
-            yield from _shards(held)
-            held, size = {}, 0
+            full, held, size = held, {}, 0
+            yield from _shards(full)
+            pa.default_memory_pool().release_unused()
     yield from _shards(held)
 
 
 def _shards(held: dict[str, list[np.ndarray]]) -> Iterator[tuple[str, Shard]]:
-    for lang, texts in held.items():
+    while held:
+        lang, texts = held.popitem()
         yield lang, Shard(np.concatenate(texts), np.append(0, np.cumsum([len(t) for t in texts])))
 
 
