@@ -38,7 +38,7 @@ TOLERANCE, RELATIVE = 0.1, 1e-4  # the fit ends where no repeat count would chan
 GROUP = 256  # pieces of a length that are ranked together, at least
 GROUPS = 20_000  # and into so many groups at most
 LONG_GAP = 10_000
-_GAP = re.compile(r"\s{%d}" % LONG_GAP)
+_GAP = re.compile(r"(?<!\s)\s{%d}" % LONG_GAP)  # tried once a run of white space
 _SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
