@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from postloom.llm.common import small_batches, union
 from postloom.llm.kernels import folded, ngrams
 
-Q = 8
+Q = 7  # with a rate of 0.1, t is 1 or more for every item of 24 characters or more
 RATE = 0.1
 MIN_CHARS = 24
 CHUNK_CHARS = 8 << 20  # bound of the item characters broadcast at a time
@@ -44,13 +44,13 @@ def characters(text: str) -> np.ndarray:
 
 
 def qgrams(cp: np.ndarray) -> np.ndarray:
-    """A 64-bit word for the 8 characters from each place on (8 bits of each; equal q-grams are equal words)."""
-    b = (cp ^ (cp >> np.uint32(8))).astype(np.uint8)
-    if len(b) < Q:
+    """A 64-bit word for the 7 characters from each place on (8 bits of each; equal q-grams are equal words)."""
+    if len(cp) < Q:
         return np.zeros(0, np.uint64)
+    b = np.append((cp ^ (cp >> np.uint32(8))).astype(np.uint8), np.uint8(0))
     two = b[:-1].astype(np.uint16) | (b[1:].astype(np.uint16) << np.uint16(8))
     four = two[:-2].astype(np.uint32) | (two[2:].astype(np.uint32) << np.uint32(16))
-    return four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32))
+    return (four[:-4].astype(np.uint64) | (four[4:].astype(np.uint64) << np.uint64(32))) & np.uint64((1 << 8 * Q) - 1)
 
 
 def _windows(cp: np.ndarray, n: int) -> np.ndarray:
