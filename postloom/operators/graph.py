@@ -63,6 +63,17 @@ def similar_entities(nodes: DataFrame, name: str, limit: int = 10) -> DataFrame:
     return nodes.withColumn("similarity", sim).where(F.col("similarity") > TRIGRAM_LEAST).orderBy(F.desc("similarity"), F.desc("pagerank"), "node_id").limit(limit)
 
 
+def sampled_names(nodes: DataFrame, kind: str, name: str, key: str, most: int) -> DataFrame:
+    """Rows (kind, place, name): for each kind the names of the `most` smallest hashes, a sample that is the same however
+    the rows are dealt. Spark keeps the first `most` of each task before rows are shuffled, so that one kind may hold any
+    share; these are merged by buckets and then by kind."""
+    digest = F.md5(F.col(name))
+    by = [digest, F.col(key)]
+    some = nodes.withColumn("bucket", F.pmod(F.xxhash64(name, key), F.lit(32)))
+    some = some.withColumn("place", F.row_number().over(Window.partitionBy(kind, "bucket").orderBy(*by))).where(F.col("place") <= most)
+    return some.withColumn("place", F.row_number().over(Window.partitionBy(kind).orderBy(*by))).where(F.col("place") <= most).select(kind, "place", name)
+
+
 def expand(edges: DataFrame, start: DataFrame, hops: int, most: int = HOP_MOST) -> DataFrame:
     """Edges within some hops of the nodes in start (node_id), with their hop: out and in edges apart, the heaviest of
     each hop and direction, each edge once. The frontier of a hop is bounded by that limit and is broadcast."""

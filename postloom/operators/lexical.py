@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from functools import reduce
 
 import pandas as pd
@@ -89,6 +90,21 @@ def expanded(query: str, synonyms: dict[str, list[str]], most: int = 2) -> list[
     return out
 
 
+def density_of(hits: Iterable[tuple[int, int, float]], groups: int) -> float:
+    """The rank of one text from its hits (place, group, weight) in order of place."""
+    last: dict[int, tuple[int, float]] = {}
+    total, ended = 0.0, -1
+    for at, group, weight in hits:
+        last[group] = (at, weight)
+        if len(last) == groups:
+            start = min(p for p, _ in last.values())
+            if start > ended:  # a cover that starts after the one before it started
+                ended = start
+                mean = len(last) / sum(1 / w for _, w in last.values())
+                total += mean / max(1.0, at - start + 1 - len(last) + 1)
+    return total / (total + 1)
+
+
 def cover_density(hits: DataFrame, key: str, groups: list[list[str]]) -> DataFrame:
     """Rows (key, rank) for token rows (key, lexeme, at, weight): the sum over minimal covers (the shortest stretches that
     hold a word of every group) of their mean weight over their excess length, as rank / (rank + 1). Only the query's
@@ -99,25 +115,14 @@ def cover_density(hits: DataFrame, key: str, groups: list[list[str]]) -> DataFra
 
     @F.pandas_udf("double")
     def density(rows: pd.Series) -> pd.Series:
-        def of(row):
-            last, total, ended = {}, 0.0, -1
-            for x in row:
-                last[group_of[x["lexeme"]]] = x
-                if len(last) == len(groups):
-                    start = min(v["at"] for v in last.values())
-                    if start > ended:  # a cover that starts after the one before it started
-                        ended = start
-                        weight = len(last) / sum(1 / v["weight"] for v in last.values())
-                        total += weight / max(1.0, x["at"] - start + 1 - len(last) + 1)
-            return total / (total + 1)
-
-        return rows.map(of)
+        return rows.map(lambda row: density_of(((x["at"], group_of[x["lexeme"]], x["weight"]) for x in row), len(groups)))
 
     return listed.select(key, F.round(density("w"), 9).alias("rank")).where("rank > 0")
 
 
 def stemmed(groups: list[list[str]]) -> list[list[str]]:
-    return [sorted({stem(w) for w in g}) for g in groups]
+    """The groups' stems; groups that are equal then are one."""
+    return [list(g) for g in dict.fromkeys(tuple(sorted({stem(w) for w in g})) for g in groups)]
 
 
 def _may_hold(text: Column, groups: list[list[str]]) -> Column:

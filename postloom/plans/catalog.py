@@ -5,6 +5,7 @@ from __future__ import annotations
 from postloom.plans import (  # noqa: F401  they register their queries
     filter_queries,
     graph_queries,
+    index_queries,
     ingest_queries,
     maintenance_queries,
     privacy_queries,
