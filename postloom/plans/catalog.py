@@ -7,6 +7,7 @@ from postloom.plans import (  # noqa: F401  they register their queries
     graph_queries,
     index_queries,
     ingest_queries,
+    lasting_queries,
     maintenance_queries,
     privacy_queries,
     relational_queries,
