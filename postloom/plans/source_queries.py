@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from postloom.plans.registry import query, table
-from postloom.sources import folders
+from postloom.sources import folders, listing, office
 from postloom.sources.tables import shared_folder
 
 
@@ -116,3 +116,41 @@ def s17_pushed(spark, sf_dir):
     docs = d.select(F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("d"), F.col("doc_id").cast("string"))).alias("document_id"), F.lit(None).cast("string").alias("title"), "source", kind.alias("text_type"), F.lit(None).cast("string").alias("section_path"), "text", F.lit(None).cast("map<string,string>").alias("metadata"))
     conversations, texts = folders.pushed(docs)
     return texts.join(conversations, "conversation_id").select("document_id", "is_attachment", F.length("text").cast("long").alias("size"))
+
+
+@query(f"{_IDS} SELECT folder, CAST(count(*) AS BIGINT) AS n_files, min(f) AS first_file FROM i, (VALUES ('Conversation.txt'), ('manifest.json'), ('summary.json'), ('attachments_log.csv'), ('attachments/a.txt'), ('attachments/b.html')) v(f) GROUP BY folder")
+def s01_listed_files(spark, sf_dir):
+    """The tree's folders by the data source, whose tasks list them."""
+    listing.register(spark)
+    files = spark.read.format("mail_folders").load(_tree(spark, sf_dir))
+    return files.groupBy("folder").agg(F.count("*").alias("n_files"), F.min("inner").alias("first_file"))
+
+
+_FLAT = "trim(regexp_replace({}, '\\s+', ' ', 'g'))"
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, doc_id % 4 AS k, regexp_replace(text, '[^\\x20-\\x7E\\x{{A1}}-\\x{{24F}}\\n]', ' ', 'g') AS text FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE k WHEN 0 THEN 'docx' WHEN 1 THEN 'pptx' WHEN 2 THEN 'rtf' ELSE 'xlsx' END AS kind,
+  sha256({_FLAT.format("CASE WHEN k = 3 THEN '[Sheet: text]' || chr(10) || 'line' || chr(10) ELSE '' END || replace(text, '\"', '')")}) AS hash FROM t WHERE trim(regexp_replace(text, '\\s+', ' ', 'g')) <> ''"""
+)
+def s15_office_texts(spark, sf_dir):
+    """The documents as Word, PowerPoint, RTF and Excel files, and the texts that are read back from these."""
+    d = table(spark, sf_dir, "documents").where("text IS NOT NULL").select("doc_id", F.regexp_replace("text", r"[^\x20-\x7E\xA1-\x{24F}\n]", " ").alias("text"))
+
+    def made(batches):
+        import pandas as pd
+
+        for pdf in batches:
+            rows = []
+            for i, text in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+                lines = text.split("\n")
+                kind = ("docx", "pptx", "rtf", "xlsx")[i % 4]
+                content = {"docx": lambda x: office.docx_bytes(x), "pptx": lambda x: office.pptx_bytes([[t] for t in x]), "rtf": lambda x: office.rtf_bytes("\n".join(x)), "xlsx": lambda x: office.xlsx_bytes({"text": [["line"], *[[t] for t in x]]})}[kind](lines)
+                rows.append((i, f"{i}.{kind}", content))
+            yield pd.DataFrame(rows, columns=["doc_id", "name", "content"])
+
+    files = d.mapInPandas(made, "doc_id long, name string, content binary")
+    read = folders.extracted_text(files).where("text IS NOT NULL")
+    flat = F.trim(F.regexp_replace(F.replace("text", F.lit('"'), F.lit("")), r"\s+", " "))
+    return read.select("doc_id", F.substring_index("name", ".", -1).alias("kind"), F.sha2(flat, 256).alias("hash"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from postloom.functions.text import CONTROL_CHARS
+from postloom.sources import formats
 
 # ---- fixed values: the files of a folder that are not attachments ----
 OWN_FILES = ["conversation.txt", "manifest.json", "summary.json", "attachments_log.csv"]
@@ -169,34 +170,22 @@ def date_range(manifest: Column) -> Column:
     return F.struct(F.array_min(dates).alias("earliest"), F.array_max(dates).alias("latest"))
 
 
-def extracted_text(files_: DataFrame) -> DataFrame:
-    """files (name, content) with text: plain and HTML natively, e-mail by the standard library; other formats are null
-    until a reader for them is registered in READERS."""
+def extracted_text(files_: DataFrame, readers: dict[str, list] | None = None) -> DataFrame:
+    """files (name, content) with text: plain and HTML natively, the formats of formats.READERS (or of readers) in tasks;
+    others, and files that no reader can read, are null."""
     from postloom.functions.text import html_to_text
 
+    held = dict(formats.READERS if readers is None else readers)
     suffix = F.lower(F.substring_index("name", ".", -1))
     text = decoded(F.col("content"))
     native = F.when(suffix.isin("txt", "csv", "md", "log", "json"), text).when(suffix.isin("html", "htm", "xml"), html_to_text(text))
-    plain = files_.where(~suffix.isin(list(READERS))).withColumn("text", native)
-    read = files_.where(suffix.isin(list(READERS)))
+    plain = files_.where(~suffix.isin(list(held))).withColumn("text", native)
+    read = files_.where(suffix.isin(list(held)))
     schema = T.StructType([*read.schema.fields, T.StructField("text", T.StringType())])
-    readers = dict(READERS)
 
     def apply(batches):
         for pdf in batches:
-            pdf["text"] = [readers[n.rsplit(".", 1)[-1].lower()](bytes(c)) for n, c in zip(pdf["name"], pdf["content"], strict=True)]
+            pdf["text"] = [formats.texts(bytes(c), held[n.rsplit(".", 1)[-1].lower()]) for n, c in zip(pdf["name"], pdf["content"], strict=True)]
             yield pdf
 
     return plain.unionByName(read.mapInPandas(apply, schema))
-
-
-def _mail(content: bytes) -> str | None:
-    from email import policy
-    from email.parser import BytesParser
-
-    body = BytesParser(policy=policy.default).parsebytes(content).get_body(("plain", "html"))
-    return body.get_content() if body is not None else None
-
-
-#: Readers by suffix: bytes to text. Formats whose libraries are absent can be added here.
-READERS = {"eml": _mail}
