@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from postloom.sources.tables import spare, stored
+
 Embedder = Callable[[list[str]], np.ndarray]
 DIM, BATCH = 64, 256
 
@@ -54,13 +56,37 @@ def embedded(rows: DataFrame, key: str, text_col: str, embed: Embedder = hashed)
     return wanted.mapInPandas(run, f"`{key}` {wanted.schema[key].dataType.simpleString()}, embedding array<float>, status string")
 
 
+def reembedded(chunks: DataFrame, key: str, text_col: str, embed: Embedder = hashed, force: bool = False) -> DataFrame:
+    """chunks with every text embedded anew (force), or only where an embedding is missing, whatever the status was."""
+    e, s = spare("_e", chunks), spare("_s", chunks)
+    todo = F.lit(True) if force else F.col("embedding").isNull()
+    fresh = embedded(chunks.where(todo), key, text_col, embed).select(key, F.col("embedding").alias(e), F.col("status").alias(s))
+    joined = chunks.join(fresh, key, "left")
+    return joined.select(*(c for c in chunks.columns if c not in ("embedding", "status")), F.coalesce(e, "embedding").alias("embedding"), F.coalesce(s, "status").alias("status"))
+
+
+def embedded_with_retries(rows: DataFrame, key: str, text_col: str, embed: Embedder = hashed, retries: int = 2) -> DataFrame:
+    """As embedded(), one row a key, with what failed tried again up to `retries` times in jobs of its own (a model may
+    fail for a while); `attempts` says how often. Each job's rows are stored, so that no text that is done is embedded again."""
+    asked = rows.select(key, text_col).dropDuplicates([key])
+    found = stored(embedded(asked, key, text_col, embed).withColumn("attempts", F.lit(1)))
+    done = found.where("status = 'embedded'")
+    for k in range(retries):
+        failed = found.where("status <> 'embedded'")
+        if failed.isEmpty():
+            break
+        found = stored(embedded(asked.join(failed.select(key), key), key, text_col, embed).withColumn("attempts", F.lit(k + 2)))
+        done = done.unionByName(found.where("status = 'embedded'"))
+    return done.unionByName(found.where("status <> 'embedded'"))
+
+
 def backfill(chunks: DataFrame, key: str, text_col: str, embed: Embedder = hashed) -> DataFrame:
     """chunks (key, text, embedding, status) with what lacks an embedding and is not skipped embedded, the rest as it is."""
     todo = (F.col("embedding").isNull()) & (F.coalesce("status", F.lit("")) != "skipped") & (F.trim(F.coalesce(F.col(text_col), F.lit(""))) != "")
     fresh = embedded(chunks.where(todo), key, text_col, embed)
-    old = chunks.withColumn("_todo", todo)
-    joined = old.join(fresh.select(key, F.col("embedding").alias("_e"), F.col("status").alias("_s")), key, "left")
-    return joined.select(*(c for c in chunks.columns if c not in ("embedding", "status")), F.coalesce("_e", "embedding").alias("embedding"), F.coalesce("_s", "status").alias("status"))
+    e, s = spare("_e", chunks), spare("_s", chunks)
+    joined = chunks.join(fresh.select(key, F.col("embedding").alias(e), F.col("status").alias(s)), key, "left")
+    return joined.select(*(c for c in chunks.columns if c not in ("embedding", "status")), F.coalesce(e, "embedding").alias("embedding"), F.coalesce(s, "status").alias("status"))
 
 
 def reindex_stream(stream: DataFrame, key: str, text_col: str, path: str, checkpoint: str, embed: Embedder = hashed) -> StreamingQuery:

@@ -10,7 +10,8 @@ from itertools import combinations, pairwise
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from postloom.sources.tables import stored
+from postloom.functions.privacy import sanitize_retrieved
+from postloom.sources.tables import spare, stored
 
 # ---- fixed values: the relations of the ontology, and spellings that stand for one of them ----
 RELATIONS = (
@@ -29,7 +30,7 @@ SAME_RELATION = {
     "ATTACHES": "ATTACHED_TO",
 }
 # ---- end of fixed values ----
-TRIGRAM_LEAST, HOP_MOST, DAMPING = 0.3, 100, 0.85
+TRIGRAM_LEAST, HOP_MOST, DAMPING, FACTS_MOST = 0.3, 100, 0.85, 100
 #: Bounds of a task's work, not of results: keys of a name for one length, and names folded at once.
 KEYS_MOST, FOLD_AT_ONCE = 500, 4096
 
@@ -63,6 +64,20 @@ def similar_entities(nodes: DataFrame, name: str, limit: int = 10) -> DataFrame:
     return nodes.withColumn("similarity", sim).where(F.col("similarity") > TRIGRAM_LEAST).orderBy(F.desc("similarity"), F.desc("pagerank"), "node_id").limit(limit)
 
 
+def rendered_facts(nodes: DataFrame, edges: DataFrame, most: int = FACTS_MOST) -> DataFrame:
+    """Rows (at, line), from 1: entities (node_id, name, kind, description) by id, then facts (edge_id, source, relation,
+    target, description) by id, `most` lines in all. A missing name is Unknown, a missing relation `related to`; lines
+    that look like instructions are emptied."""
+    name = lambda c: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("Unknown"))
+    said = lambda before: F.when(F.coalesce("description", F.lit("")) != "", F.concat(F.lit(before), "description")).otherwise("")
+    kind = F.coalesce(F.nullif("kind", F.lit("")), F.lit("UNKNOWN"))
+    relation = F.lower(F.replace(F.coalesce(F.nullif("relation", F.lit("")), F.lit("related_to")), F.lit("_"), F.lit(" ")))
+    entity = nodes.select(F.lit(0).alias("part"), F.col("node_id").alias("id"), F.concat(F.lit("Entity: "), name("name"), F.lit(" ("), kind, F.lit(")"), said(" - ")).alias("line"))
+    fact = edges.select(F.lit(1).alias("part"), F.col("edge_id").alias("id"), F.concat(name("source"), F.lit(" "), relation, F.lit(" "), name("target"), F.lit("."), said(" ")).alias("line"))
+    first = entity.unionByName(fact).orderBy("part", "id", "line").limit(most)  # so few rows that one task may number them
+    return first.select(F.row_number().over(Window.orderBy("part", "id", "line")).alias("at"), sanitize_retrieved(F.trim("line")).alias("line"))
+
+
 def sampled_names(nodes: DataFrame, kind: str, name: str, key: str, most: int) -> DataFrame:
     """Rows (kind, place, name): for each kind the names of the `most` smallest hashes, a sample that is the same however
     the rows are dealt. Spark keeps the first `most` of each task before rows are shuffled, so that one kind may hold any
@@ -79,6 +94,7 @@ def expand(edges: DataFrame, start: DataFrame, hops: int, most: int = HOP_MOST)
     each hop and direction, each edge once. The frontier of a hop is bounded by that limit and is broadcast."""
     if not 1 <= hops <= 3:
         raise ValueError("hops are 1 to 3")
+    nxt = spare("_next", edges)
     frontier, seen, out = start.select("node_id").distinct(), start.select("node_id").distinct(), None
     for hop in range(1, hops + 1):
         parts = []
@@ -86,10 +102,10 @@ def expand(edges: DataFrame, start: DataFrame, hops: int, most: int = HOP_MOST)
             found = edges.join(F.broadcast(frontier.withColumnRenamed("node_id", here)), here, "left_semi")
             if out is not None:
                 found = found.join(F.broadcast(out.select("edge_id")), "edge_id", "left_anti")
-            parts.append(found.orderBy(F.desc("weight"), "edge_id").limit(most).select(*edges.columns, F.col(there).alias("_next")))
+            parts.append(found.orderBy(F.desc("weight"), "edge_id").limit(most).select(*edges.columns, F.col(there).alias(nxt)))
         both = parts[0].unionByName(parts[1])
-        step = both.drop("_next").dropDuplicates(["edge_id"]).withColumn("hop", F.lit(hop))
-        frontier = both.select(F.col("_next").alias("node_id")).distinct().join(F.broadcast(seen), "node_id", "left_anti")
+        step = both.drop(nxt).dropDuplicates(["edge_id"]).withColumn("hop", F.lit(hop))
+        frontier = both.select(F.col(nxt).alias("node_id")).distinct().join(F.broadcast(seen), "node_id", "left_anti")
         seen = seen.unionByName(frontier)
         out = step if out is None else out.unionByName(step)
     return out

@@ -90,6 +90,21 @@ def expanded(query: str, synonyms: dict[str, list[str]], most: int = 2) -> list[
     return out
 
 
+def expanded_queries(queries: DataFrame, synonyms: DataFrame, most: int = 2) -> DataFrame:
+    """Rows (query_id, expanded) of queries (query_id, query): all words, lower-cased and joined by &, each of more than two
+    letters with up to `most` of its synonyms (word, synonym, place) in order of place, as (a | b | c). A blank query is
+    given back as it is."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("query", F.lit(""))), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))
+    each = queries.select("query_id", F.posexplode(words).alias("at", "word"))
+    usable_ = synonyms.where((F.length("word") > 2) & (F.length("synonym") > 2) & (F.col("synonym") != F.col("word")) & ~F.contains("synonym", F.lit(" ")))
+    listed = usable_.groupBy("word").agg(F.slice(F.transform(F.array_sort(F.collect_set(F.struct("place", "synonym"))), lambda x: x["synonym"]), 1, most).alias("more"))
+    joined = each.join(listed, "word", "left")
+    term = F.when(F.size("more") > 0, F.concat(F.lit("("), F.array_join(F.concat(F.array("word"), "more"), " | "), F.lit(")"))).otherwise(F.col("word"))
+    texts = joined.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", term.alias("t")))).alias("l"))
+    out = queries.join(texts, "query_id", "left")
+    return out.select("query_id", F.coalesce(F.array_join(F.transform("l", lambda x: x["t"]), " & "), "query").alias("expanded"))
+
+
 def density_of(hits: Iterable[tuple[int, int, float]], groups: int) -> float:
     """The rank of one text from its hits (place, group, weight) in order of place."""
     last: dict[int, tuple[int, float]] = {}

@@ -12,6 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.operators.writes import first_of
+from postloom.sources.tables import spare, stored
+
 RRF_K = 60
 SUMMARY_BOOST, GRAPH_BOOST, QUOTED_FACTOR = 1.2, 1.15, 0.7
 RERANK_MOST = 50
@@ -30,8 +33,7 @@ def clamp_weight(value: object) -> float:
 def best_of_each(hits: DataFrame, key: str, score: str, order: Sequence[str], query: Sequence[str] = ()) -> DataFrame:
     """One row for each key, the highest score, the earlier of equal ones. Rows without a key all stay."""
     own = F.coalesce(F.col(key).cast("string"), F.concat(F.lit("\0row:"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in order)))
-    by = Window.partitionBy(*query, own).orderBy(F.desc(score), *order)
-    return hits.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n")
+    return first_of(hits, [*query, own], [F.desc(score), *order])
 
 
 def ranked(hits: DataFrame, score: str, order: Sequence[str], query: Sequence[str] = ()) -> DataFrame:
@@ -132,11 +134,26 @@ def diverse(hits: DataFrame, query: str, id_col: str, score: str, text_col: str,
         return out
 
     by = Window.partitionBy(query).orderBy(F.desc(score), id_col)
-    placed = fields.withColumn("_n", F.row_number().over(by))
+    n = spare("_n", fields)
+    placed = fields.withColumn(n, F.row_number().over(by))
     kinds = ", ".join(f"`{c}` {fields.schema[c].dataType.simpleString()}" for c in (query, id_col, score))
-    first = placed.where(F.col("_n") <= most).drop("_n").groupBy(query).applyInPandas(pick, f"{kinds}, place long")
-    rest = fields.drop(text_col).withColumn("_n", F.row_number().over(by)).where(F.col("_n") > most)  # ranked without their texts
-    return first.unionByName(rest.select(query, id_col, score, F.col("_n").cast("long").alias("place")))
+    first = placed.where(F.col(n) <= most).drop(n).groupBy(query).applyInPandas(pick, f"{kinds}, place long")
+    rest = places(fields.drop(text_col), query, [F.desc(score), F.col(id_col)], n).where(F.col(n) > most)  # ranked without their texts
+    return first.unionByName(rest.select(query, id_col, score, F.col(n).cast("long").alias("place")))
+
+
+def places(rows: DataFrame, group: str, order: Sequence[Column], name: str) -> DataFrame:
+    """rows with each one's place in its group, from 1, in a column `name`. Rows are dealt out by ranges of the order and
+    placed within their range; the ranges' sizes, of which a group has as many as there are ranges, shift them. A group of
+    any share is so spread over tasks."""
+    part, before = spare("part_", rows), spare("before_", rows)
+    ranged = stored(rows.repartitionByRange(F.col(group), *order).withColumn(part, F.spark_partition_id()))
+    sizes = ranged.groupBy(group, part).agg(F.count("*").alias(before))
+    earlier = Window.partitionBy(group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select(F.col(group).alias("group_of"), F.col(part).alias("part_of"), F.coalesce(F.sum(before).over(earlier), F.lit(0)).alias(before))
+    inside = ranged.withColumn(name, F.row_number().over(Window.partitionBy(group, part).orderBy(*order)))
+    met = inside.join(shifts, F.col(group).eqNullSafe(F.col("group_of")) & (F.col(part) == F.col("part_of")))
+    return met.select(*rows.columns, (F.col(name) + F.col(before)).alias(name))
 
 
 def rescored(hits: DataFrame, scorer: Callable[[str, list[str]], Sequence[float]], asked: str, id_col: str, text: Column, order: str, most: int = RERANK_MOST) -> DataFrame:
@@ -163,7 +180,8 @@ def diverse_vectors(hits: DataFrame, query: str, id_col: str, score: str, vector
 
     lam = clamp_weight(weight)
     by = Window.partitionBy(query).orderBy(F.desc(score), id_col)
-    fields = hits.where(F.col(vector_col).isNotNull()).select(query, id_col, score, vector_col).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= most).drop("_n")
+    n = spare("_n", hits)
+    fields = hits.where(F.col(vector_col).isNotNull()).select(query, id_col, score, vector_col).withColumn(n, F.row_number().over(by)).where(F.col(n) <= most).drop(n)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([score, id_col], ascending=[False, True], kind="stable").reset_index(drop=True)

@@ -8,12 +8,20 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from postloom.sources.tables import spare
+
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
     """The newest row of each key; of equal versions the incoming one."""
-    both = stored.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    by = Window.partitionBy(*keys).orderBy(F.desc(version), F.desc("_new"))
-    return both.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n", "_new")
+    new = spare("_new", stored)
+    both = stored.withColumn(new, F.lit(0)).unionByName(incoming.withColumn(new, F.lit(1)))
+    return first_of(both, keys, [F.desc(version), F.desc(new)]).drop(new)
+
+
+def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:
+    """The first row of each key in an order."""
+    n = spare("_n", rows)
+    return rows.withColumn(n, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(n) == 1).drop(n)
 
 
 def without_stale(stored: DataFrame, incoming: DataFrame, group: str, key: str) -> DataFrame:
@@ -33,8 +41,7 @@ def split_known(stored: DataFrame, incoming: DataFrame, group: str, content: str
 def insert_missing(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """stored and, for keys that it has not, the first incoming row in the order given."""
     fresh = incoming.join(stored.select(*keys).distinct(), list(keys), "left_anti")
-    by = Window.partitionBy(*keys).orderBy(*order)
-    return stored.unionByName(fresh.withColumn("_n", F.row_number().over(by)).where("_n = 1").drop("_n"))
+    return stored.unionByName(first_of(fresh, keys, order))
 
 
 def replace_groups(stored: DataFrame, incoming: DataFrame, group: str) -> DataFrame:
@@ -51,12 +58,13 @@ def resolved_edges(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def changed(stored: DataFrame, incoming: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """Rows (key, status): created, deleted, updated or unchanged, by a full outer join; nulls compare as values."""
-    old = stored.select(key, *(F.col(c).alias(f"{c}_old") for c in fields), F.lit(True).alias("_had"))
-    new = incoming.select(key, *(F.col(c).alias(f"{c}_new") for c in fields), F.lit(True).alias("_has"))
+    had, has = spare("_had", stored, incoming), spare("_has", stored, incoming)
+    old = stored.select(key, *(F.col(c).alias(f"{c}_old") for c in fields), F.lit(True).alias(had))
+    new = incoming.select(key, *(F.col(c).alias(f"{c}_new") for c in fields), F.lit(True).alias(has))
     same: Column = F.lit(True)
     for c in fields:
         same = same & F.col(f"{c}_old").eqNullSafe(F.col(f"{c}_new"))
-    status = F.when(F.col("_had").isNull(), "created").when(F.col("_has").isNull(), "deleted").when(same, "unchanged").otherwise("updated")
+    status = F.when(F.col(had).isNull(), "created").when(F.col(has).isNull(), "deleted").when(same, "unchanged").otherwise("updated")
     return old.join(new, key, "full_outer").select(key, status.alias("status"))
 
 

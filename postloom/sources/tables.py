@@ -31,3 +31,11 @@ def stored(df: DataFrame) -> DataFrame:
     path = new_path(df.sparkSession, "table")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spare(name: str, *frames: DataFrame) -> str:
+    """The name, with as many `_` behind it as keep it apart from the frames' columns (but for case)."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

@@ -10,10 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from postloom.operators.writes import first_of
+
 MOST_ATTEMPTS, STALE_S, KEEP_S = 3, 300, 86_400
 HIGH, LOW = 5, -5
 STATUSES = ("pending", "processing", "completed", "dead_letter")
@@ -107,4 +109,4 @@ def sessions(events: DataFrame, gap: str = "30 minutes") -> DataFrame:
 
 def first_by_key(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The first row of each key: what a stream's dropDuplicatesWithinWatermark keeps, for a table."""
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_n = 1").drop("_n")
+    return first_of(rows, [key], [order])
