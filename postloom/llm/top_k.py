@@ -14,7 +14,8 @@ a score among its k highest, as the longest vectors of all (a bounded head) alre
 The rotation and bounds only prune, with a margin for rounding; the scores are exact integers. No query or candidate
 comes to the driver, but for the head.
 
-Edge cases: vectors that are null or hold null or non-finite components, and rows with a null id, take no part. A query
+Edge cases: vectors that are null or hold null or non-finite components (also such as scaling makes infinite), and rows
+with a null id, take no part. A query
 meets only candidates with as many components; its own row is every row with its id. Equal scores go to the smaller id.
 Rows that repeat an id and a vector count once, as queries and as candidates; an id with several vectors has each
 candidate's score with each of them. Scores beyond a long are given as its least or greatest value. Extra columns are
@@ -32,10 +33,12 @@ from pyspark.sql import functions as F
 
 from postloom.llm.common import stored
 
-BLOCK = 1024  # candidates of a block
-QUERIES = 512  # queries of a block
-PART = 1 << 17  # candidates of a part at most, about: each query block may be sent to every part
-HEAD = 2048  # longest vectors, which give the first thresholds
+BLOCK = 1024  # candidates of a block, at most
+QUERIES = 512  # queries of a block, at most
+BLOCK_BYTES = 4 << 20  # of a block of either
+PART_BYTES = 64 << 20  # of a part's candidates, about: each query block may be sent to every part
+HEAD, HEAD_BYTES = 2048, 32 << 20  # longest vectors, which give the first thresholds
+GRAM_ROWS = 64  # of the Gram matrix that are summed together
 PARTIAL = 16  # rotated components of the partial sum
 WHOLE = float(1 << 26)  # lengths under it: inner products, and all their partial sums, are whole numbers in doubles
 _PACKED = "part int, kind int, at double, dim int, n int, ids binary, vectors binary, need binary"
@@ -68,7 +71,8 @@ def _by_dim(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 
 def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
-    """For each dimension, the singular vectors of the vectors, strongest first; from Gram matrices summed by task."""
+    """For each dimension, the singular vectors of the vectors, strongest first; from Gram matrices, which tasks sum in
+    blocks of rows, so that the driver gets one matrix a dimension."""
 
     def grams(batches):
         sums: dict[int, np.ndarray] = {}
@@ -76,17 +80,25 @@ def rotations(vectors: DataFrame) -> dict[int, np.ndarray]:
             for d, part in _by_dim(batch):
                 m = _matrix(part.column("vector"), d)
                 sums[d] = sums.get(d, 0) + m.T @ m
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([g.ravel().tolist() for g in sums.values()], pa.list_(pa.float64()))], ["dim", "gram"])
+        for d, g in sums.items():
+            for s in range(0, d, GRAM_ROWS):
+                yield pa.RecordBatch.from_arrays([pa.array([d], pa.int32()), pa.array([s], pa.int32()), pa.array([g[s : s + GRAM_ROWS].tobytes()], pa.binary())], ["dim", "at", "gram"])
 
-    parts = vectors.where(F.col("norm") < WHOLE).select("vector", "dim").mapInArrow(grams, "dim int, gram array<double>")
-    table = parts.select("dim", F.posexplode("gram").alias("at", "g")).groupBy("dim", "at").agg(F.sum("g").alias("g")).toArrow()
-    out = {}
-    dims, at, g = (np.asarray(table[c]) for c in ("dim", "at", "g"))
-    for d in np.unique(dims).tolist():
-        gram = np.zeros(d * d)
-        gram[at[dims == d]] = g[dims == d]
-        out[d] = np.linalg.eigh(gram.reshape(d, d))[1][:, ::-1].copy()
-    return out
+    def summed(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(g.as_buffer(), float) for g in table["gram"])
+        return pa.table({"dim": table["dim"][:1], "at": table["at"][:1], "gram": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "dim int, at int, gram binary"
+    parts = vectors.where(F.col("norm") < WHOLE).select("vector", "dim").mapInArrow(grams, schema)
+    blocks: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for row in parts.groupBy("dim", "at").applyInArrow(summed, schema).toLocalIterator():
+        blocks.setdefault(row["dim"], []).append((row["at"], np.frombuffer(row["gram"], float).reshape(-1, row["dim"])))
+    return {d: np.linalg.eigh(np.concatenate([g for _, g in sorted(own, key=lambda x: x[0])]))[1][:, ::-1].copy() for d, own in blocks.items()}
+
+
+def block_rows(dim: int, most: int) -> int:
+    """How many vectors a block may hold."""
+    return max(1, min(most, BLOCK_BYTES // (8 * max(1, dim))))
 
 
 def big_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
@@ -189,16 +201,16 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
     """Rows (query_id, rank, vec_id, score): for each query its k highest scores among the candidates."""
     pool = stored(integer_vectors(candidates, id_col, vector_col, scale))
     asked = stored(integer_vectors(queries, id_col, vector_col, scale))
-    total = pool.count()
+    total, size, wide = pool.agg(F.count("*"), F.sum(F.col("dim").cast("long") * 8), F.max("dim")).first()
     sc = pool.sparkSession.sparkContext
     turn = sc.broadcast(rotations(pool))
     head: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-    for batch in pool.orderBy(F.desc("norm"), "id").limit(HEAD).toArrow().combine_chunks().to_batches():
+    for batch in pool.orderBy(F.desc("norm"), "id").limit(min(HEAD, max(1, HEAD_BYTES // (8 * max(1, wide or 1))))).toArrow().combine_chunks().to_batches():
         for d, part in _by_dim(batch):
             head[d] = (np.asarray(part.column("id")), _matrix(part.column("vector"), d))
     leading = sc.broadcast(head)
     # few parts save copies of queries; small tables are still dealt over the cores there are
-    parts = max(1, -(-total // PART), min(sc.defaultParallelism, -(-total // (8 * BLOCK))))
+    parts = max(1, -(-(size or 0) // PART_BYTES), min(sc.defaultParallelism, -(-total // (8 * BLOCK))))
     ranged = pool.repartitionByRange(parts, F.desc("norm"), "id") if parts > 1 else pool.coalesce(1)
     ranged = stored(ranged.sortWithinPartitions(F.desc("norm"), "id").withColumn("part", F.spark_partition_id()))
     longest = {r["part"]: r["longest"] for r in ranged.groupBy("part").agg(F.max("norm").alias("longest")).collect()}  # one number a part
@@ -210,8 +222,9 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
                 out = []
                 for p in np.unique(part).tolist():
                     own = np.flatnonzero(part == p)
-                    for s in range(0, len(own), BLOCK):
-                        place = own[s : s + BLOCK]
+                    step = block_rows(d, BLOCK)
+                    for s in range(0, len(own), step):
+                        place = own[s : s + step]
                         out.append(_packed(p, 0, -float(at[place].max()), ids[place], vectors[place]))
                 yield _rows(out)
 
@@ -219,11 +232,14 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
         for batch in batches:
             for d, rows in _by_dim(batch):
                 ids, vectors = np.asarray(rows.column("id")), _matrix(rows.column("vector"), d)
-                for s in range(0, len(ids), 8 * QUERIES):
-                    yield _rows(_query_blocks(ids[s : s + 8 * QUERIES], vectors[s : s + 8 * QUERIES], leading.value.get(d), longest, k))
+                step = 8 * block_rows(d, QUERIES)
+                for s in range(0, len(ids), step):
+                    for row in _query_blocks(ids[s : s + step], vectors[s : s + step], leading.value.get(d), longest, k):
+                        yield _rows([row])
 
     both = ranged.mapInArrow(candidate_blocks, _PACKED).unionByName(asked.mapInArrow(query_blocks, _PACKED))
-    together = both.repartition(parts, "part").sortWithinPartitions("part", "kind", "at") if parts > 1 else both.repartition(1).sortWithinPartitions("part", "kind", "at")
+    dealt = both.repartitionById(parts, "part") if parts > 1 else both.repartition(1)  # a part a task
+    together = dealt.sortWithinPartitions("part", "kind", "at")
 
     def matched(batches):
         part, blocks = None, {}
@@ -244,7 +260,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, id_col: str, vector_col: st
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _query_blocks(ids: np.ndarray, vectors: np.ndarray, head: tuple[np.ndarray, np.ndarray] | None, longest: dict[int, float], k: int) -> list[tuple]:
+def _query_blocks(ids: np.ndarray, vectors: np.ndarray, head: tuple[np.ndarray, np.ndarray] | None, longest: dict[int, float], k: int) -> Iterator[tuple]:
     """The queries packed in blocks, once for every part that a block may have to see."""
     threshold, norms = np.full(len(ids), -np.inf), lengths(vectors)
     if head is not None and len(head[0]) > k:
@@ -258,9 +274,10 @@ def _query_blocks(ids: np.ndarray, vectors: np.ndarray, head: tuple[np.ndarray,
     with np.errstate(divide="ignore", invalid="ignore"):
         need = np.where(threshold <= 0, 0.0, threshold / norms)  # how long a candidate has to be
     order = np.argsort(need, kind="stable")
-    out = []
-    for s in range(0, len(ids), QUERIES):
-        own = order[s : s + QUERIES]
+    step = block_rows(vectors.shape[1], QUERIES)
+    for s in range(0, len(ids), step):
+        own = order[s : s + step]
         least = float(need[own].min()) * (1 - 1e-9) - 1e-6
-        out += [_packed(p, 1, 0.0, ids[own], vectors[own], threshold[own]) for p, most in longest.items() if most >= least]
-    return out
+        for p, most in longest.items():
+            if most >= least:
+                yield _packed(p, 1, 0.0, ids[own], vectors[own], threshold[own])

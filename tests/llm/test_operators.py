@@ -131,7 +131,7 @@ def test_temperature_makes_sure_scores_less_so():
 def test_top_k_is_that_of_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(top_k, "BLOCK", 16)
     monkeypatch.setattr(top_k, "HEAD", 20)
-    monkeypatch.setattr(top_k, "PART", 40)
+    monkeypatch.setattr(top_k, "PART_BYTES", 40 * 24 * 8)
     monkeypatch.setattr(top_k, "QUERIES", 4)
     r = np.random.default_rng(2)
     vecs = [(i, (r.normal(0, 1 + i % 3, 24) / 8).astype("float32").tolist()) for i in range(150)]
@@ -150,7 +150,7 @@ def test_top_k_is_that_of_all_pairs(spark, monkeypatch):
 
 
 def test_top_k_of_large_and_repeated_vectors(spark, monkeypatch):
-    for name, value in (("BLOCK", 8), ("HEAD", 10), ("PART", 16), ("QUERIES", 3)):
+    for name, value in (("BLOCK", 8), ("HEAD", 10), ("PART_BYTES", 16 * 3 * 8), ("QUERIES", 3)):
         monkeypatch.setattr(top_k, name, value)
     r = np.random.default_rng(4)
     vecs = [(i, (r.normal(0, 10.0 ** (i % 11), 3)).tolist()) for i in range(60)]
@@ -167,6 +167,21 @@ def test_top_k_of_large_and_repeated_vectors(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_top_k_of_wide_vectors_and_of_none(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "PART_BYTES", 3840 * 8 * 30)
+    assert top_k.block_rows(3840, top_k.BLOCK) * 3840 * 8 <= top_k.BLOCK_BYTES and top_k.block_rows(0, 9) == 9
+    r = np.random.default_rng(9)
+    vecs = [(i, r.normal(0, 1 + i % 2, 3840).astype("float32").tolist()) for i in range(100)] + [(200, []), (201, []), (202, [])]
+    df = spark.createDataFrame(vecs, "vec_id long, embedding array<float>")
+    got = rows(top_k.top_k(df.where("vec_id % 50 = 0"), df, "vec_id", "embedding"), "query_id", "rank", "vec_id", "score")
+    ints = np.floor(256 * np.array([v for i, v in vecs if i < 200], float)).astype(np.int64)
+    want = []
+    for q in (0, 50):
+        scored = sorted((-int(ints[q] @ ints[i]), i) for i in range(100) if i != q)[:5]
+        want += [(q, k, i, -s) for k, (s, i) in enumerate(scored, 1)]
+    assert got == sorted([*want, (200, 1, 201, 0), (200, 2, 202, 0)])
+
+
 def test_blocks_that_are_too_short_are_not_rotated(monkeypatch):
     r = np.random.default_rng(5)
     q = top_k.Side(np.arange(4), r.integers(-9, 9, (4, 24)).astype(float), np.eye(24))
