@@ -9,7 +9,9 @@ by a window whose word sequence also starts in a document with a smaller doc_id;
 2. Equal segments are counted once, with the smallest doc_id that has them, before any shard sees them.
 3. Shards of whole anchors, of bounded size, each get a compressed FM-index. The segments are streamed through it:
    backward search over its wavelet tree finds each window's interval, and the interval's smallest doc_id follows.
-   Anchors with more segments than a shard holds are counted by window instead, by an aggregate, which is exact too.
+   Segments of anchors with more than a shard holds are cut at each change of a second anchor (the smallest 5-gram
+   hash of a window that is not the first), and the pieces go to shards by both. Pieces that share both and are still
+   more than a shard holds (windows that repeat few words) are counted by window, by an aggregate, which is exact too.
 4. The intervals are joined back to the segments' places, and the words they cover are removed.
 
 Edge cases: a null text has no words; a document under 13 words loses none. Rows with a null doc_id lose none and take
@@ -45,9 +47,12 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
-def window_anchors(hashes: np.ndarray) -> np.ndarray:
-    """The anchor of every window that starts at each word but the last 12 (also of windows across rows)."""
+def window_anchors(hashes: np.ndarray, without: np.ndarray | None = None) -> np.ndarray:
+    """The anchor of every window that starts at each word but the last 12 (also of windows across rows). without: for each
+    word a gram that does not count where it begins there."""
     grams = K.mix(K.ngrams(hashes, GRAM), 5)
+    if without is not None:
+        grams[grams == without[: len(grams)]] = np.iinfo(np.uint64).max
     low, width = grams, 1
     span = WINDOW - GRAM + 1
     while width * 2 <= span:
@@ -178,40 +183,92 @@ def shard_minima(words: list[bytes], doc_ids: np.ndarray) -> list[np.ndarray]:
     return np.split(best, np.cumsum(windows)[:-1])
 
 
-def _minima(distinct: DataFrame) -> DataFrame:
-    """Rows (anchor, part, at, minima) for the distinct segments (anchor, part, words, first)."""
-    groups = stored(distinct.groupBy("anchor").agg(F.count("*").alias("parts"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("anchor", "parts"))
-    segments = distinct.select("anchor", "part", "words", "first").join(groups, "anchor")
-    shards = max(1, -(-int(groups.agg(F.coalesce(F.sum(F.least("parts", F.lit(SHARD))), F.lit(0))).first()[0]) // SHARD))
+def _second_pieces(segments: DataFrame) -> DataFrame:
+    """The segments (anchor, part, words, first) cut where the second anchor of their windows changes: rows (anchor,
+    second, part, at, words, first), at being the number of windows before the piece."""
+
+    def cut(batches):
+        for batch in batches:
+            data, offsets, _ = K.binary(batch.column(2))
+            for i, j in K.row_slices(offsets):
+                own = offsets[i : j + 1] - offsets[i]
+                text = data[offsets[i] : offsets[j]]
+                starts, ends, first = K.words(text, own)
+                if len(starts) < WINDOW:
+                    continue
+                row = np.repeat(np.arange(j - i), np.diff(first))
+                anchor = np.asarray(batch.column(0))[i:j].view(np.uint64)
+                second = window_anchors(K.span_hashes(text, starts, ends), anchor[row])
+                at = np.flatnonzero(row[: len(second)] == row[WINDOW - 1 :])
+                new = np.ones(len(at), bool)
+                new[1:] = (second[at][1:] != second[at][:-1]) | (row[at][1:] != row[at][:-1])
+                begin = np.flatnonzero(new)
+                size = np.diff(np.append(begin, len(at)))
+                place = at[begin]
+                rows = pa.array(row[place] + i)
+                words = [text[s:e].tobytes() for s, e in zip(starts[place].tolist(), ends[place + size + WINDOW - 2].tolist(), strict=True)]
+                columns = [batch.column(0).take(rows), pa.array(second[place].view(np.int64)), batch.column(1).take(rows), pa.array(place - first[row[place]]), pa.array(words, pa.binary()), batch.column(3).take(rows)]
+                yield pa.RecordBatch.from_arrays(columns, ["anchor", "second", "part", "at", "words", "first"])
+
+    return segments.select("anchor", "part", "words", "first").mapInArrow(cut, "anchor long, second long, part long, at long, words binary, first long")
+
+
+def _by_shards(segments: DataFrame, keys: list[str], count: int) -> DataFrame:
+    """Rows (keys, part, minima) for distinct segments (keys, part, words, first), each group of keys in one shard. count:
+    how many segments there are."""
+    shards = max(1, -(-count // SHARD))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         found = shard_minima(pdf["words"].tolist(), pdf["first"].to_numpy())
-        return pd.DataFrame({"anchor": pdf["anchor"], "part": pdf["part"], "at": np.int64(0), "minima": found})
-
-    usual = (
-        segments.where(F.col("parts") <= SHARD)
-        .withColumn("shard", F.pmod(F.xxhash64("anchor"), F.lit(shards)))
-        .drop("parts")
-        .groupBy("shard")
-        .applyInPandas(search, "anchor long, part long, at long, minima array<long>")
-    )
+        return pd.DataFrame({**{k: pdf[k] for k in keys}, "part": pdf["part"], "minima": found})
+
+    schema = ", ".join(f"{k} long" for k in keys) + ", part long, minima array<long>"
+    return segments.select(*keys, "part", "words", "first").withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards))).groupBy("shard").applyInPandas(search, schema)
+
+
+def _hot_minima(segments: DataFrame) -> DataFrame:
+    """_minima() of segments whose anchors have more than a shard holds."""
+    pieces = stored(_second_pieces(segments).withColumn("piece", F.xxhash64("words")))
+    once = stored(pieces.groupBy("anchor", "second", "piece").agg(F.min("first").alias("first"), F.first("words").alias("words")))
+    sizes = stored(once.groupBy("anchor", "second").agg(F.count("*").alias("n")))
+    fits = sizes.where(F.col("n") <= SHARD)
+    count = int(fits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    found = _by_shards(once.join(fits.select("anchor", "second"), ["anchor", "second"]).withColumnRenamed("piece", "part"), ["anchor", "second"], count)
+    met = pieces.select("anchor", "second", "part", "at", "piece").join(found.withColumnRenamed("part", "piece"), ["anchor", "second", "piece"]).select("anchor", "part", "at", "minima")
+    rest = pieces.join(sizes.where(F.col("n") > SHARD).select("anchor", "second"), ["anchor", "second"])
+    return met.unionByName(_by_window(rest))
+
+
+def _by_window(pieces: DataFrame) -> DataFrame:
+    """Rows (anchor, part, at, minima), a window each, of pieces (anchor, part, at, words, first) by an aggregate."""
 
     def windows(batches):
         for batch in batches:
             at, rows, texts = [], [], []
-            for i, words in enumerate(batch.column(2)):
+            for i, (words, base) in enumerate(zip(batch.column(3), batch.column(2).to_pylist(), strict=True)):
                 data = np.frombuffer(words.as_py(), np.uint8)
                 starts, ends, _ = K.words(data, np.array([0, len(data)]))
                 for j in range(len(starts) - WINDOW + 1):
-                    at.append(j)
+                    at.append(base + j)
                     rows.append(i)
                     texts.append(b" ".join(data[starts[k] : ends[k]].tobytes() for k in range(j, j + WINDOW)))
             rows = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int64()), pa.array(texts, pa.binary()), batch.column(3).take(rows)], ["anchor", "part", "at", "window", "first"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(at, pa.int64()), pa.array(texts, pa.binary()), batch.column(4).take(rows)], ["anchor", "part", "at", "window", "first"])
 
-    each = segments.where(F.col("parts") > SHARD).select("anchor", "part", "words", "first").mapInArrow(windows, "anchor long, part long, at long, window binary, first long")
+    each = pieces.select("anchor", "part", "at", "words", "first").mapInArrow(windows, "anchor long, part long, at long, window binary, first long")
     least = each.groupBy("window").agg(F.min("first").alias("least"))
-    return usual.unionByName(each.join(least, "window").select("anchor", "part", "at", F.array("least").alias("minima")))
+    return each.join(least, "window").select("anchor", "part", "at", F.array("least").alias("minima"))
+
+
+def _minima(distinct: DataFrame) -> DataFrame:
+    """Rows (anchor, part, at, minima) for the distinct segments (anchor, part, words, first)."""
+    groups = stored(distinct.groupBy("anchor").agg(F.count("*").alias("parts"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("anchor", "parts"))
+    segments = distinct.select("anchor", "part", "words", "first").join(groups, "anchor")
+    count = int(groups.agg(F.coalesce(F.sum(F.when(F.col("parts") <= SHARD, F.col("parts"))), F.lit(0))).first()[0])
+    usual = _by_shards(segments.where(F.col("parts") <= SHARD), ["anchor"], count).select("anchor", "part", F.lit(0).cast("long").alias("at"), "minima")
+    if groups.where(F.col("parts") > SHARD).isEmpty():
+        return usual
+    return usual.unionByName(_hot_minima(segments.where(F.col("parts") > SHARD)))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

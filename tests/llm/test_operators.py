@@ -346,6 +346,35 @@ def test_removed_words_are_those_of_brute_force(spark, monkeypatch, shard):
     assert rows(got, "doc_id", "n_words", "n_removed", "kept_sha256") == _removed(texts)
 
 
+def test_hot_anchors_go_through_the_index_by_a_second_anchor(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD", 40)
+    r = random.Random(12)
+    common = prose(r, [f"c{i}" for i in range(9)], 7)
+    words = [f"w{i}" for i in range(400)]
+    texts = [prose(r, words, 14) + f" {common} " + prose(r, words, 14) for _ in range(150)]
+    texts += [texts[k] for k in range(0, 60, 3)] + [" ".join(texts[k].split()[5:30]) for k in range(0, 60, 4)]
+    docs = documents(spark, texts)
+    counted = []
+    real = substring_dedup._by_window
+    monkeypatch.setattr(substring_dedup, "_by_window", lambda pieces: counted.append(pieces.count()) or real(pieces))
+    got = rows(substring_dedup.digest(substring_dedup.remove_repeats(docs)), "doc_id", "n_words", "n_removed", "kept_sha256")
+    assert got == _removed(texts)
+    assert counted == [0]  # the hot anchor's windows all met in shards
+
+
+def test_one_text_beyond_a_slice_and_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup.K, "SLICE_BYTES", 1 << 9)
+    monkeypatch.setattr(substring_dedup, "SHARD", 30)
+    r = random.Random(13)
+    words = [f"w{i}" for i in range(50)]
+    passage = prose(r, words, 60)
+    texts = [prose(r, words, 900) + " " + passage + " " + prose(r, words, 700), passage, prose(r, words, 20) + " " + passage + " " + "x" * 3000 + " " + passage]
+    assert rows(substring_dedup.digest(substring_dedup.remove_repeats(documents(spark, texts))), "doc_id", "n_words", "n_removed", "kept_sha256") == _removed(texts)
+    repeated = documents(spark, [texts[1]] * 90 + [texts[0]], [5] * 90 + [2])
+    got = rows(substring_dedup.remove_repeats(repeated), "doc_id", "n_removed")
+    assert got == [(2, 0)] + [(5, 60)] * 90
+
+
 def test_substring_edges(spark):
     assert substring_dedup.remove_repeats(documents(spark, [])).count() == 0
     same = " ".join(f"x{i}" for i in range(20))
