@@ -11,7 +11,19 @@ from postloom.sources import folders, listing, office
 from postloom.sources.tables import shared_folder
 
 
+_trees: dict[tuple[str, str, str], str] = {}
+
+
 def _tree(spark, sf_dir) -> str:
+    """The tree of a table, written once a session and shared folder."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir)
+    held = spark._jvm.org.apache.hadoop.fs.Path(_trees[key]) if key in _trees else None
+    if held is None or not held.getFileSystem(spark._jsc.hadoopConfiguration()).exists(held):
+        _trees[key] = _written_tree(spark, sf_dir)
+    return _trees[key]
+
+
+def _written_tree(spark, sf_dir) -> str:
     """A folder for each conversation: its text, a manifest (every third with a stray backslash, every fifth broken), a
     summary with control characters, a log with a quoted line end, and two attachments."""
     path = f"{shared_folder(spark).rstrip('/')}/tree-{uuid.uuid4().hex}"
