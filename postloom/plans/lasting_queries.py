@@ -69,7 +69,7 @@ def z02_queue_stream(spark, sf_dir):
     return q.jobs.rows().select("job_id", "status", "attempts", "why")
 
 
-_ARRIVED = """p AS (SELECT *, least(5, greatest(0, (epoch(ts) - 1704067200) // 432000)) + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS part FROM events),
+_ARRIVED = """p AS (SELECT *, CAST(least(5, greatest(0, floor((epoch(ts) - 1704067200) / 432000))) AS INTEGER) + CASE WHEN event_id % 10 = 0 THEN 2 ELSE 0 END AS part FROM events),
 m AS (SELECT part, max(ts) AS top FROM p GROUP BY part)"""
 
 
