@@ -230,13 +230,12 @@ def _hot_minima(segments: DataFrame) -> DataFrame:
     """_minima() of segments whose anchors have more than a shard holds."""
     pieces = stored(_second_pieces(segments).withColumn("piece", F.xxhash64("words")))
     once = stored(pieces.groupBy("anchor", "second", "piece").agg(F.min("first").alias("first"), F.first("words").alias("words")))
-    sizes = stored(once.groupBy("anchor", "second").agg(F.count("*").alias("n")))
-    fits = sizes.where(F.col("n") <= SHARD)
-    count = int(fits.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    found = _by_shards(once.join(fits.select("anchor", "second"), ["anchor", "second"]).withColumnRenamed("piece", "part"), ["anchor", "second"], count)
+    large = stored(once.groupBy("anchor", "second").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("anchor", "second"))
+    none = large.isEmpty()
+    fits = once if none else once.join(large, ["anchor", "second"], "left_anti")
+    found = _by_shards(fits.withColumnRenamed("piece", "part"), ["anchor", "second"], fits.count())
     met = pieces.select("anchor", "second", "part", "at", "piece").join(found.withColumnRenamed("part", "piece"), ["anchor", "second", "piece"]).select("anchor", "part", "at", "minima")
-    rest = pieces.join(sizes.where(F.col("n") > SHARD).select("anchor", "second"), ["anchor", "second"])
-    return met.unionByName(_by_window(rest))
+    return met if none else met.unionByName(_by_window(pieces.join(large, ["anchor", "second"], "left_semi")))
 
 
 def _by_window(pieces: DataFrame) -> DataFrame:
