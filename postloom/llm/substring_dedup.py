@@ -34,7 +34,7 @@ from postloom.llm.fm_index import FmIndex
 
 WINDOW = 13
 GRAM = 5
-SHARD = 4096  # segments of a shard, about
+SHARD = 16384  # segments of a shard, about: some 0.3 million words, whose index takes some 100 MB in a task
 RUN = 32  # windows of a segment at most
 BITMAP = 27
 
