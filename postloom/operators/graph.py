@@ -43,11 +43,15 @@ def relation(name: Column) -> Column:
     return F.when(mapped.isin(RELATIONS), mapped).otherwise("RELATED_TO")
 
 
+def named(nodes: DataFrame, names: list[str]) -> DataFrame:
+    """All nodes whose name holds one of the names, but for case."""
+    low = F.lower("name")
+    return nodes.where(reduce(lambda a, b: a | b, (F.contains(low, F.lit(n.lower())) for n in names), F.lit(False)))
+
+
 def find_entities(nodes: DataFrame, names: list[str], limit: int = 10) -> DataFrame:
     """Nodes whose name holds one of the names, but for case, by pagerank."""
-    low = F.lower("name")
-    hit = reduce(lambda a, b: a | b, (F.contains(low, F.lit(n.lower())) for n in names), F.lit(False))
-    return nodes.where(hit).orderBy(F.desc("pagerank"), "node_id").limit(limit).withColumn("similarity", F.lit(1.0))
+    return named(nodes, names).orderBy(F.desc("pagerank"), "node_id").limit(limit).withColumn("similarity", F.lit(1.0))
 
 
 def trigrams(text: Column) -> Column:
