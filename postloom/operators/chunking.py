@@ -121,10 +121,12 @@ def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = MAX_TOKENS,
 
 def token_starts(text: Column) -> Column:
     """Where each token of a text begins, and where the last one ends: its characters dealt evenly, the first tokens one
-    more where they do not go up."""
+    more where they do not go up. The text is measured once, not for each token: within a lambda its length would be."""
     n, size = token_count(text), F.length(text)
     each, more = F.floor(size / F.greatest(n, F.lit(1))), size % F.greatest(n, F.lit(1))
-    return F.transform(F.sequence(F.lit(0), n), lambda i: (i * each + F.least(i, more)).cast("int"))
+    measured = F.array(F.struct(n.alias("n"), each.alias("each"), more.alias("more")))
+    starts = lambda m: F.transform(F.sequence(F.lit(0), m["n"]), lambda i: (i * m["each"] + F.least(i, m["more"])).cast("int"))
+    return F.get(F.transform(measured, starts), 0)
 
 
 def chunked_sections(docs: DataFrame, id_col: str, sections_col: str, size: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP) -> DataFrame:
