@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from postloom.plans.registry import query, table
 
+_SHARES, _TASKS = 32, 256  # of a nation's customers, and of the join of all nations
+
 
 @query("SELECT lang, count(*) AS n, count(text) AS n_text, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
 def a01_counts(spark, sf_dir):
@@ -82,12 +84,16 @@ def j01_inner(spark, sf_dir):
 JOIN nation cn ON cn.n_nationkey = c.c_nationkey JOIN nation sn ON sn.n_nationkey = s.s_nationkey WHERE c.c_acctbal > 9000 AND s.s_acctbal > 5000"""
 )
 def j02_aliased_double_join(spark, sf_dir):
+    """All pairs of a nation: its customers are dealt into shares, each of which meets all its suppliers, so that neither
+    a nation nor a small file is one task's work. Shares and tasks are fixed in number, as few bytes make many pairs."""
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     c = table(spark, sf_dir, "customer").where("c_acctbal > 9000")
     s = table(spark, sf_dir, "supplier").where("s_acctbal > 5000")
-    both = c.join(s, F.col("c_nationkey") == F.col("s_nationkey"))
-    both = both.join(n.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("customer_nation")), "c_nationkey")
-    both = both.join(n.select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias("supplier_nation")), "s_nationkey")
+    c = c.select("c_custkey", F.col("c_nationkey").alias("nation"), F.pmod(F.xxhash64("c_custkey"), F.lit(_SHARES)).alias("share"))
+    s = s.select("s_suppkey", F.col("s_nationkey").alias("nation"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SHARES - 1).cast("long"))).alias("share"))
+    c = c.join(n.select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("customer_nation")), "nation")
+    s = s.join(n.select(F.col("n_nationkey").alias("nation"), F.col("n_name").alias("supplier_nation")), "nation")
+    both = c.repartition(_TASKS, "nation", "share").join(s.repartition(_TASKS, "nation", "share"), ["nation", "share"])
     return both.select("c_custkey", "customer_nation", "s_suppkey", "supplier_nation")
 
 
