@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from postloom.sources.tables import small_batches
+
 MAX_TOKENS, MIN_TOKENS, OVERLAP, SNAP = 1600, 25, 200, 100
 QUOTED_LEAST = 0.5
 #: Where a sentence and a paragraph end, and what starts a quoted part.
@@ -104,7 +106,7 @@ def chunk_kind(start: int, end: int, spans: list[tuple[int, int]], hint: str | N
 
 def chunked(docs: DataFrame, id_col: str, text_col: str, size: int = MAX_TOKENS, least: int = MIN_TOKENS, overlap: int = OVERLAP, scale: bool = False) -> DataFrame:
     """Rows (id, position, char_start, char_end, kind, text) of the texts that are neither null nor blank."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
+    rows = small_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''"))
 
     def cut(batches):
         for pdf in batches:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from postloom.functions import people
 from postloom.operators import chunking, embedding, graph, vector, writes
 from postloom.plans.registry import query, table
-from postloom.sources.tables import new_path
+from postloom.sources.tables import new_path, small_batches
 
 
 @query(
@@ -97,7 +97,7 @@ def v06_exact_nearest(spark, sf_dir):
 def k11_extraction_windows(spark, sf_dir):
     """Windows of 2,000 characters that end at the last line end behind their middle; each begins 200 characters before the
     end of the one before it. No SQL, as each depends on the one before; a test holds them against these rules."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null")
+    d = small_batches(table(spark, sf_dir, "documents").select("doc_id", "text").where("text is not null"))
 
     def cut(batches, size=2000, overlap=200):
         import pandas as pd

@@ -9,6 +9,7 @@ from postloom.functions import vectors as V
 from postloom.operators import lexical, ranking, vector
 from postloom.plans import search
 from postloom.plans.registry import query, quoted, table
+from postloom.sources.tables import small_batches
 
 TERMS = ["the", "and", "thing", "ening", "der", "que"]
 _TERMS_SQL = "[" + ", ".join(map(quoted, TERMS)) + "]"
@@ -71,7 +72,7 @@ def x03_boolean_match(spark, sf_dir):
 @query()
 def x05_cover_density(spark, sf_dir):
     """Ranks by minimal covers of stems; no SQL, as covers are found by a scan of each document's hits."""
-    docs = table(spark, sf_dir, "documents")
+    docs = small_batches(table(spark, sf_dir, "documents"))
     groups = lexical.expanded("released license", {"these": ["those"]})
     tokens = lexical.token_table(docs, "doc_id", {"source": "A", "text": "B"})
     groups = [[lexical.stem(w) for w in g] for g in groups]
@@ -80,7 +81,7 @@ def x05_cover_density(spark, sf_dir):
 
 @query()
 def x08_snippets(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = small_batches(table(spark, sf_dir, "documents"))
     return docs.select("doc_id", lexical.snippet(F.col("text"), ["the"]).alias("snippet"))
 
 
