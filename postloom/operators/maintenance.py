@@ -85,11 +85,13 @@ def keyword_support(claims_: DataFrame, facts: DataFrame) -> DataFrame:
     """Rows (claim_id, score, fact_id, supported): each claim's best fact by shared words over all words, if it reaches
     KEYWORD_LEAST; score 0 and no fact otherwise. Two sets whose share is that high have a word in common among the first
     n - ceil(share * n) + 1 of each, rarest first; so only those words meet, and a word in very many facts is one of
-    them only where a set has no other. Equal sets are compared once."""
-    c = claims_.select("claim_id", claim_words(F.col("claim")).alias("w"))
+    them only where a set has no other. Equal sets are compared once; words travel with a digest of a claim's set, not
+    with the set, which would cost the square of its size."""
+    words = F.array_sort(claim_words(F.col("claim")))
+    c = claims_.select("claim_id", words.alias("w")).select("claim_id", "w", F.sha2(F.array_join("w", " "), 256).alias("claim"))
     f = facts.select("fact_id", claim_words(F.col("fact")).alias("w"))
     sets = f.groupBy(F.array_sort("w").alias("w")).agg(F.min("fact_id").alias("fact_id"))
-    asked = c.select(F.array_sort("w").alias("w")).where("size(w) > 0").distinct()
+    asked = c.where("size(w) > 0").groupBy("claim").agg(F.first("w").alias("w"))
     count = sets.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("seen"))
 
     def first(rows: DataFrame, key: list[str]) -> DataFrame:
@@ -98,11 +100,11 @@ def keyword_support(claims_: DataFrame, facts: DataFrame) -> DataFrame:
         keep = (F.col("n") - F.ceil(F.col("n") * KEYWORD_LEAST - 1e-9) + 1).cast("int")
         return placed.select(*key, F.explode(F.transform(F.slice("s", 1, keep), lambda x: x["word"])).alias("word"))
 
-    near = first(asked, ["w"]).withColumnRenamed("w", "wc").join(first(sets, ["fact_id"]), "word").select("wc", "fact_id").distinct()
-    pairs = near.join(sets, "fact_id").withColumn("n", F.size(F.array_intersect("wc", "w")))
+    near = first(asked, ["claim"]).join(first(sets, ["fact_id"]), "word").select("claim", "fact_id").distinct()
+    pairs = near.join(sets, "fact_id").join(asked.withColumnRenamed("w", "wc"), "claim").withColumn("n", F.size(F.array_intersect("wc", "w")))
     scored = pairs.withColumn("score", F.round(F.col("n") / (F.size("wc") + F.size("w") - F.col("n")), 6)).where(F.col("score") >= KEYWORD_LEAST)
-    best = scored.groupBy("wc").agg(F.max("score").alias("score"), F.max_by("fact_id", F.struct("score", -F.col("fact_id"))).alias("fact_id"))
-    out = c.select("claim_id", F.array_sort("w").alias("wc")).join(best, "wc", "left")
+    best = scored.groupBy("claim").agg(F.max("score").alias("score"), F.max_by("fact_id", F.struct("score", -F.col("fact_id"))).alias("fact_id"))
+    out = c.select("claim_id", "claim").join(best, "claim", "left")
     return out.select("claim_id", F.coalesce("score", F.lit(0.0)).alias("score"), "fact_id", F.col("fact_id").isNotNull().alias("supported"))
 
 
