@@ -31,8 +31,8 @@ SAME_RELATION = {
 }
 # ---- end of fixed values ----
 TRIGRAM_LEAST, HOP_MOST, DAMPING, FACTS_MOST = 0.3, 100, 0.85, 100
-#: Bounds of a task's work, not of results: keys of a name for one length, and names folded at once.
-KEYS_MOST, FOLD_AT_ONCE = 500, 4096
+#: Bounds of a task's work, not of results: keys of a name for one length, names and links folded at once, and pairs of a round.
+KEYS_MOST, FOLD_AT_ONCE, FOLD_LINKS, PAIRS_AT_ONCE = 500, 4096, 1_000_000, 1 << 23
 
 
 def relation(name: Column) -> Column:
@@ -189,50 +189,65 @@ def _name_keys(name: str, lengths: list[int], least: float) -> set[tuple[bool, s
     return out
 
 
-def _similar_names(names: DataFrame, least: float) -> DataFrame:
-    """Rows (a, a_size, b, b_size) of names (id, size, kind, low; each once in a kind) whose ratio is over `least`, a
-    before b in the order of folding."""
-    import difflib
-
+def _keyed(names: DataFrame, least: float) -> DataFrame:
+    """Rows (place, n, longer, key) of names (place, kind, low): the keys of each, stored."""
     import pandas as pd
 
     lengths = sorted(r[0] for r in names.select(F.length("low")).distinct().collect())  # few
 
     def keyed(batches):
         for pdf in batches:
-            rows = [(i, size, kind, len(low), longer, key) for i, size, kind, low in pdf.itertuples(index=False) for longer, key in _name_keys(low, lengths, least)]
-            yield pd.DataFrame(rows, columns=["id", "size", "kind", "n", "longer", "key"])
+            rows = [(place, kind, len(low), longer, key) for place, kind, low in pdf.itertuples(index=False) for longer, key in _name_keys(low, lengths, least)]
+            yield pd.DataFrame(rows, columns=["place", "kind", "n", "longer", "key"])
+
+    dealt = names.select("place", "kind", "low").repartition(_tasks(names.count(), 2000), "place")
+    keys = dealt.mapInPandas(keyed, "place long, kind string, n int, longer boolean, key string")
+    return stored(keys.withColumn("key", F.xxhash64("kind", "key")).drop("kind"))
+
+
+def _tasks(rows: int, each: int) -> int:
+    return max(1, min(2048, -(-rows // each)))
+
+
+def _met(first: DataFrame, then: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names of first and later ones of then (both as _keyed() gives them) that share a key; stored."""
+    a, b = (keys.select("key", "longer", F.col("n").alias(f"{end}_n"), F.col("place").alias(end)) for end, keys in (("a", first), ("b", then)))
+    one = a.where("longer").drop("longer").join(b.where("not longer").drop("longer"), "key").where("a < b")
+    two = a.where("not longer").drop("longer").join(b.where("longer").drop("longer"), "key").where("a < b and a_n <> b_n")
+    return stored(one.union(two).select("a", "b").distinct())
+
+
+def _similar(pairs: DataFrame, names: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) of names (place, kind, low) of one kind whose ratio is over `least`; stored."""
+    import difflib
 
     def similar(batches):
+        matcher = difflib.SequenceMatcher()
         for pdf in batches:
-            matcher = difflib.SequenceMatcher()
-            keep = []
+            keep, held = [], None
             for a, b in zip(pdf["a_low"], pdf["b_low"], strict=True):
-                matcher.set_seqs(a, b)
+                if b != held:  # what is known of the second name is kept for the next pair
+                    matcher.set_seq2(held := b)
+                matcher.set_seq1(a)
                 keep.append(matcher.quick_ratio() > least and matcher.ratio() > least)
-            yield pdf.loc[keep, ["a", "a_size", "b", "b_size"]]
-
-    keys = names.select("id", "size", "kind", "low").mapInPandas(keyed, "id long, size int, kind string, n int, longer boolean, key string")
-    keys = stored(keys.withColumn("key", F.xxhash64("kind", "key")).drop("kind"))
-    x, y = (keys.where(side).select("key", *(F.col(c).alias(f"{p}_{c}") for c in ("id", "size", "n"))) for p, side in (("x", "longer"), ("y", "not longer")))
-    first = "(x_size > y_size or (x_size = y_size and x_id < y_id))"
-    both = x.join(y, "key").where(f"x_id <> y_id and (x_n <> y_n or {first})")
-    ends = [F.expr(f"if({first}, {p}_{c}, {q}_{c})").alias(out) for p, q, end in (("x", "y", "a"), ("y", "x", "b")) for c, out in (("id", end), ("size", f"{end}_size"))]
-    pairs = both.select(*ends).distinct()
+            yield pdf.loc[keep, ["a", "b"]]
+
+    tasks = _tasks(pairs.count(), 10_000)
     for end in ("a", "b"):
-        pairs = pairs.join(names.select(F.col("id").alias(end), F.col("low").alias(f"{end}_low"), F.col("kind").alias(f"{end}_kind")), end)
-    pairs = pairs.where("a_kind = b_kind").select("a", "a_size", "b", "b_size", "a_low", "b_low")
-    return pairs.mapInPandas(similar, "a long, a_size int, b long, b_size int")
+        pairs = pairs.join(names.select(F.col("place").alias(end), F.col("low").alias(f"{end}_low"), F.col("kind").alias(f"{end}_kind")), end)
+    pairs = pairs.where("a_kind = b_kind").select("a", "b", "a_low", "b_low").repartition(tasks, "b").sortWithinPartitions("b")
+    return stored(pairs.mapInPandas(similar, "a long, b long"))
 
 
 def _folded(links: DataFrame) -> DataFrame:
-    """Rows (b, a) of names to merge for links (a, a_size, b, b_size): in order, a name that no kept one before it links
-    to is kept, and another goes to the first kept one that does. In each round the names without an undecided link
-    to one before them are kept, and of the first FOLD_AT_ONCE undecided ones those that a pass in order keeps."""
+    """Rows (b, a) of places to merge for links (a, b), a before b: in order, a name that no kept one before it links
+    to is kept, and another goes to the first kept one that does. Up to FOLD_LINKS links are passed in order at once; of
+    more, in each round the names without an undecided link to one before them are kept, and of the first FOLD_AT_ONCE
+    undecided ones those that a pass in order keeps."""
     import pandas as pd
 
     def leading(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["b_size", "b", "a"], ascending=[False, True, True])
+        pdf = pdf.sort_values(["b", "a"])
         lost: set[int] = set()
         for a, b in zip(pdf["a"], pdf["b"], strict=True):  # a comes before b, so that it is decided
             if a not in lost:
@@ -240,23 +255,48 @@ def _folded(links: DataFrame) -> DataFrame:
         return pd.DataFrame({"id": pd.Series(sorted(lost), dtype="int64")})
 
     undecided, gone = links, []
-    while not undecided.isEmpty():
-        ends = undecided.select(F.col("a").alias("id"), F.col("a_size").alias("size")).union(undecided.select("b", "b_size")).distinct()
-        head = stored(ends.orderBy(F.desc("size"), "id").limit(FOLD_AT_ONCE))
-        ids = head.select("id")
+    while (number := undecided.count()) > FOLD_LINKS:
+        ends = undecided.select(F.col("a").alias("id")).union(undecided.select("b")).distinct()
+        ids = stored(ends.orderBy("id").limit(FOLD_AT_ONCE))
         inner = undecided.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
         lost = inner.groupBy().applyInPandas(leading, "id long")
-        free = ends.select("id").join(undecided.select(F.col("b").alias("id")), "id", "left_anti")
+        free = ends.join(undecided.select(F.col("b").alias("id")), "id", "left_anti")
         kept = stored(ids.join(lost, "id", "left_anti").union(free).distinct())
         merged = stored(undecided.join(kept.withColumnRenamed("id", "a"), "a", "left_semi").select("b").distinct())
         gone.append(merged)
         decided = kept.union(merged).withColumnRenamed("id", "a")
         undecided = stored(undecided.join(decided, "a", "left_anti").join(merged, "b", "left_anti"))
+    if number:
+        gone.append(undecided.groupBy().applyInPandas(leading, "id long").withColumnRenamed("id", "b"))
     if not gone:
         return links.select("b", "a")
     lost = stored(reduce(DataFrame.union, gone))
-    hits = links.join(lost.select(F.col("b").alias("a")), "a", "left_anti")
-    return hits.groupBy("b").agg(F.min_by("a", F.struct(-F.col("a_size"), F.col("a"))).alias("a"))
+    return links.join(lost.withColumnRenamed("b", "a"), "a", "left_anti").groupBy("b").agg(F.min("a").alias("a"))
+
+
+def _merged_names(names: DataFrame, least: float) -> DataFrame:
+    """Rows (b, a) of the names (place, kind, low; each once in a kind) to merge. The first undecided names, some
+    FOLD_AT_ONCE and twice as many each round, are folded among themselves, and all later ones are then held against
+    those that stay: a name meets kept ones until one is like it, rather than all that are like it."""
+    keys, size, into = _keyed(names, least), FOLD_AT_ONCE, []
+    while left := (rest := keys.select("place").distinct()).count():
+        while True:
+            most = None if left <= size else int(rest.stat.approxQuantile("place", [size / left], size / left / 8)[0])
+            block = keys if most is None else keys.where(F.col("place") <= most)
+            pairs = _met(block, block)
+            if size <= FOLD_AT_ONCE or pairs.count() <= PAIRS_AT_ONCE:
+                break
+            size = max(FOLD_AT_ONCE, size // 4)
+        lost = stored(_folded(_similar(pairs, names, least)))
+        into.append(lost)
+        if most is None:
+            break
+        stay = block.join(lost.select(F.col("b").alias("place")), "place", "left_anti")
+        later = keys.where(F.col("place") > most)
+        hits = stored(_similar(_met(stay, later), names, least).groupBy("b").agg(F.min("a").alias("a")))
+        into.append(hits)
+        keys, size = stored(later.join(hits.select(F.col("b").alias("place")), "place", "left_anti")), size * 2
+    return reduce(DataFrame.union, into) if into else names.select(F.col("place").alias("b"), F.col("place").alias("a"))
 
 
 def resolve_people(nodes: DataFrame, least: float = 0.92) -> DataFrame:
@@ -270,10 +310,12 @@ def resolve_people(nodes: DataFrame, least: float = 0.92) -> DataFrame:
 
     rest = nodes.join(by_mail.select(F.col("old_id").alias("node_id")), "node_id", "left_anti").where(F.col("kind").isin("PERSON", "ORGANIZATION") & F.col("name").isNotNull())
     rest = stored(rest.select(F.col("node_id").cast("long").alias("node_id"), "kind", F.lower("name").alias("low"), F.length("name").alias("size")))
-    names = stored(rest.groupBy("kind", "low").agg(F.min(F.struct((-F.col("size")).alias("size"), F.col("node_id").alias("id"))).alias("m")).select("kind", "low", (-F.col("m.size")).cast("int").alias("size"), "m.id"))
-    into = _folded(stored(_similar_names(names, least)))
-    found = rest.join(names.select("kind", "low", F.col("id").alias("b")), ["kind", "low"]).join(into, "b", "left")
-    by_name = found.select(F.col("node_id").alias("old_id"), F.coalesce("a", "b").alias("new_id")).where("old_id <> new_id")
+    names = rest.groupBy("kind", "low").agg(F.min(F.struct((-F.col("size")).alias("size"), F.col("node_id").alias("id"))).alias("m"))
+    names = stored(stored(names.select("kind", "low", "m.*")).orderBy("size", "id", "kind").withColumn("place", F.monotonically_increasing_id()))  # longest first
+    into = _merged_names(names, least)
+    into = into.join(names.select(F.col("place").alias("a"), F.col("id").alias("into")), "a").select(F.col("b").alias("place"), "into")
+    found = rest.join(names.select("kind", "low", "id", "place"), ["kind", "low"]).join(into, "place", "left")
+    by_name = found.select(F.col("node_id").alias("old_id"), F.coalesce("into", "id").alias("new_id")).where("old_id <> new_id")
     return by_mail.unionByName(by_name)
 
 
