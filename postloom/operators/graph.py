@@ -33,6 +33,8 @@ SAME_RELATION = {
 TRIGRAM_LEAST, HOP_MOST, DAMPING, FACTS_MOST = 0.3, 100, 0.85, 100
 #: Bounds of a task's work, not of results: keys of a name for one length, names and links folded at once, and pairs of a round.
 KEYS_MOST, FOLD_AT_ONCE, FOLD_LINKS, PAIRS_AT_ONCE = 500, 4096, 1_000_000, 1 << 23
+#: Rows of a task that sorts or sums a table's edges, about.
+TASK_ROWS = 500_000
 
 
 def relation(name: Column) -> Column:
@@ -125,17 +127,26 @@ def conversations_of(edges: DataFrame, entities: DataFrame, limit: int) -> DataF
     return one.groupBy("conversation_id").count().orderBy(F.desc("count"), "conversation_id").limit(limit)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df dealt by keys into tasks of TASK_ROWS for so many rows, a number that Spark does not lower again, so that what a
+    task sorts or holds does not grow with the table; a small one is left alone."""
+    return df if rows <= TASK_ROWS else df.repartition(-(-rows // TASK_ROWS), *keys)
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, rounds: int, damping: float = DAMPING) -> DataFrame:
     """Rows (node_id, rank): power iteration over all edges, the weight of nodes without out-edges shared by all. Every few
     rounds the ranks are written to the shared folder, so that plans stay short and lost executors cost little."""
     out_degree = edges.groupBy("source_id").agg(F.sum("weight").alias("total"))
-    links = stored(edges.join(out_degree, "source_id").groupBy("source_id", "target_id").agg((F.sum("weight") / F.first("total")).alias("share")))
+    sums = stored(dealt(edges.select("source_id", "target_id", "weight"), edges.count(), "source_id", "target_id").groupBy("source_id", "target_id").agg(F.sum("weight").alias("weight")))
+    size = sums.count()
+    links = stored(dealt(sums, size, "source_id").join(dealt(out_degree, size, "source_id"), "source_id").select("source_id", "target_id", (F.col("weight") / F.col("total")).alias("share")))
     n = nodes.count()
     base = stored(nodes.select("node_id").join(out_degree.select(F.col("source_id").alias("node_id"), F.lit(False).alias("sink")), "node_id", "left").select("node_id", F.coalesce("sink", F.lit(True)).alias("sink")))
     ranks = base.withColumn("rank", F.lit(1.0 / max(1, n)))
     for k in range(rounds):
         lost = ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = links.join(ranks.select(F.col("node_id").alias("source_id"), "rank"), "source_id").groupBy(F.col("target_id").alias("node_id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
+        here = ranks.select(F.col("node_id").alias("source_id"), "rank")
+        got = dealt(links, size, "source_id").join(dealt(here, size, "source_id"), "source_id").groupBy(F.col("target_id").alias("node_id")).agg(F.sum(F.col("share") * F.col("rank")).alias("got"))
         new = base.join(got, "node_id", "left").crossJoin(F.broadcast(lost))  # one row
         ranks = new.select("node_id", "sink", (F.lit((1 - damping) / max(1, n)) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / max(1, n))).alias("rank"))
         if k % 4 == 3:
