@@ -6,11 +6,14 @@ import re
 from collections.abc import Iterable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from postloom.sources.tables import small_batches
+
 # ---- fixed values: the words that an English text search leaves out, and the field weights ----
 STOP_WORDS = (
     "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its "
@@ -54,7 +57,13 @@ def stem(word: str) -> str:
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(words: pd.Series) -> pd.Series:
     held: dict[str, str] = {}
-    return words.map(lambda ws: None if ws is None else [held.setdefault(w, stem(w)) for w in ws])
+
+    def of(w: str) -> str:
+        if w not in held:
+            held[w] = stem(w)
+        return held[w]
+
+    return words.map(lambda ws: None if ws is None else [of(w) for w in ws])
 
 
 def token_table(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
@@ -73,6 +82,50 @@ def token_table(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
     return out.select(key, "lexeme", (F.col("at") + F.col("shift")).alias("at"), "weight").where(~F.col("lexeme").isin(STOP_WORDS))
 
 
+def postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """Rows (key, lexeme, gaps, weights, n, top): what token_table() gives for a row and a lexeme as one posting, with the
+    gaps between its places. They are gathered where the row is, so that no word is shuffled; rows that share a key have
+    postings of their own."""
+    small_batches(rows)
+    kind = rows.schema[key].dataType.simpleString()
+    kept = rows.select(F.col(key).alias("key"), *(tokens(F.coalesce(F.col(f), F.lit(""))).alias(f"t{k}") for k, f in enumerate(fields)))
+    letters = [WEIGHTS[w] for w in fields.values()]
+    stop = set(STOP_WORDS)
+
+    def gathered(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        for batch in batches:
+            ids: dict[str, int] = {}
+            shift, parts = np.zeros(len(batch), np.int64), []
+            for k, weight in enumerate(letters):
+                words = batch.column(k + 1)
+                size = np.asarray(pc.list_value_length(words)).astype(np.int64)
+                row = np.repeat(np.arange(len(batch)), size)
+                flat = words.flatten().dictionary_encode()
+                stemmed_ = [stem(w) for w in flat.dictionary.to_pylist()]
+                codes = np.array([-1 if w in stop else ids.setdefault(w, len(ids)) for w in stemmed_], np.int64)
+                code = codes[np.asarray(flat.indices)] if len(row) else row
+                parts.append((row, code, np.arange(len(row)) - (np.cumsum(size) - size)[row] + shift[row], np.full(len(row), weight)))
+                shift += size
+            row, code, at, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+            some = np.flatnonzero(code >= 0)
+            some = some[np.lexsort((at[some], code[some], row[some]))]
+            row, code, at, weight = row[some], code[some], at[some], weight[some]
+            new = np.ones(len(some), bool)
+            new[1:] = (row[1:] != row[:-1]) | (code[1:] != code[:-1])
+            first = np.flatnonzero(new)
+            ends = np.append(first, len(some))
+            gaps = np.where(new, at, at - np.concatenate([[0], at[:-1]])) if len(at) else at
+            top = np.maximum.reduceat(weight, first) if len(first) else weight
+            lists = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x)
+            columns = [batch.column(0).take(pa.array(row[first])), pa.array(list(ids), pa.string()).take(pa.array(code[first])), lists(pa.array(gaps, pa.int32())), lists(pa.array(weight)), pa.array(np.diff(ends), pa.int32()), pa.array(top)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "lexeme", "gaps", "weights", "n", "top"])
+
+    return kept.mapInArrow(gathered, f"key {kind}, lexeme string, gaps array<int>, weights array<double>, n int, top double")
+
+
 def matching(lexemes: Column, groups: list[list[str]]) -> Column:
     """Whether a list of lexemes has one of every group."""
     out = F.lit(True)

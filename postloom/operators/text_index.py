@@ -25,17 +25,27 @@ RANGE_ROWS, BUCKETS, FIRST, LISTED = 256, 64, 16, 1000
 def build(rows: DataFrame, key: str, fields: dict[str, str], path: str, range_rows: int = RANGE_ROWS, buckets: int = BUCKETS) -> None:
     """Writes the index of rows below path; fields as in lexical.token_table. Rows that share a key are one text."""
     ranges = max(1, -(-rows.count() // range_rows))
-    hits = lexical.token_table(rows, key, fields).withColumnRenamed(key, "key")
-    places = F.array_sort(F.collect_list(F.struct("at", "weight")))
-    found = hits.groupBy("lexeme", "key").agg(places.alias("p"))
-    gaps = F.transform(F.col("p"), lambda x, i: x["at"] - F.when(i > 0, F.get(F.col("p.at"), i - 1)).otherwise(0))
-    posting = F.struct("key", gaps.alias("gaps"), F.col("p.weight").alias("weights"))
-    found = found.select("lexeme", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), posting.alias("posting"), F.size("p").alias("n"), F.array_max("p.weight").alias("top"))
+    twice = stored(rows.groupBy(F.col(key).alias("key")).count().where("count > 1").select("key"))
+    some = not twice.isEmpty()
+    same = F.col(key).eqNullSafe(twice["key"])
+    found = lexical.postings(rows.join(twice, same, "left_anti") if some else rows, key, fields)
+    if some:
+        found = found.unionByName(_merged_postings(rows.join(twice, same, "left_semi"), key, fields))
+    posting = F.struct("key", "gaps", "weights")
+    found = found.select("lexeme", F.pmod(F.xxhash64("key"), F.lit(ranges)).cast("int").alias("range"), posting.alias("posting"), "n", "top")
     blocks = found.groupBy("lexeme", "range").agg(F.array_sort(F.collect_list("posting")).alias("postings"), F.max("n").alias("most"), F.max("top").alias("top"))
     blocks = blocks.withColumn("bucket", F.pmod(F.xxhash64("lexeme"), F.lit(buckets)).cast("int"))
     dealt = blocks.repartitionByRange("bucket", "lexeme", "range").sortWithinPartitions("bucket", "lexeme", "range")
     dealt.write.partitionBy("bucket").parquet(f"{path}/blocks")
-    rows.sparkSession.createDataFrame([(buckets, hits.schema["key"].dataType.simpleString())], "buckets int, kind string").coalesce(1).write.parquet(f"{path}/shape")
+    rows.sparkSession.createDataFrame([(buckets, rows.schema[key].dataType.simpleString())], "buckets int, kind string").coalesce(1).write.parquet(f"{path}/shape")
+
+
+def _merged_postings(rows: DataFrame, key: str, fields: dict[str, str]) -> DataFrame:
+    """lexical.postings() of rows that share keys: one of a key and a lexeme."""
+    hits = lexical.token_table(rows, key, fields).withColumnRenamed(key, "key")
+    found = hits.groupBy("lexeme", "key").agg(F.array_sort(F.collect_list(F.struct("at", "weight"))).alias("p"))
+    gaps = F.transform(F.col("p"), lambda x, i: x["at"] - F.when(i > 0, F.get(F.col("p.at"), i - 1)).otherwise(0))
+    return found.select("key", "lexeme", gaps.alias("gaps"), F.col("p.weight").alias("weights"), F.size("p").alias("n"), F.array_max("p.weight").alias("top"))
 
 
 def _blocks(spark: SparkSession, path: str, lexemes: list[str]) -> DataFrame:
