@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -42,11 +44,25 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Has the executions that begin here give back the disk of their shuffle files as they end, not when the driver next
+    happens to collect its garbage. Only for plans that run once; a second run would shuffle anew."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def stored(df: DataFrame) -> DataFrame:
     """df cut from its lineage: written as Parquet to a new path in the shared folder and read again, so that a
     lost executor costs no earlier work. Like checkpoints, these tables stay until the folder's owner clears it."""
     path = work_path(df.sparkSession, "stage")
-    df.write.option("compression", "zstd").parquet(path)
+    with shuffles_dropped(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -64,12 +80,13 @@ def bitmap_of(hashes: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bitmap of 2**bits bits with the top bits of each 64-bit hash of a column set. It is only a filter before an
     exact step: where it fills up, it lets more through and loses nothing."""
     slot = f"shiftrightunsigned({column}, {64 - bits})"
-    rows = (
-        hashes.selectExpr(f"shiftright({slot}, 6) AS word", f"shiftleft(1L, cast({slot} % 64 AS int)) AS one")
-        .groupBy("word")
-        .agg(F.expr("bit_or(one)").alias("set"))
-        .toArrow()
-    )
+    with shuffles_dropped(hashes.sparkSession):
+        rows = (
+            hashes.selectExpr(f"shiftright({slot}, 6) AS word", f"shiftleft(1L, cast({slot} % 64 AS int)) AS one")
+            .groupBy("word")
+            .agg(F.expr("bit_or(one)").alias("set"))
+            .toArrow()
+        )
     out = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
     out[rows["word"].to_numpy()] = rows["set"].to_numpy().astype(np.int64).view(np.uint64)
     del rows
