@@ -50,12 +50,13 @@ SAMPLED = 16  # one in so many documents is looked at for common shingles
 COMMON_SEEN = 8  # a shingle seen so often in the sample counts as common
 COMMON_MAX = 1 << 18  # bound of the list of common shingles (2 MB)
 LEADER_ROUNDS, LEADERS = 1, 4
+LEADING = 8  # first routing entries of a set that go along into its trees
 FOREST_ROUNDS = 1
 FLUSH = 1 << 16  # tree rows looked at together
 
 _BIN_STARTS = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
 
-_FEATURES = "doc_id long, n long, d1 long, d2 long, mins array<long>, prefix array<long>, bits binary, wide binary"
+_FEATURES = "doc_id long, n long, d1 long, d2 long, mins array<long>, prefix array<long>, leading binary, bits binary, wide binary"
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -125,7 +126,7 @@ def _features(texts: DataFrame, common: np.ndarray) -> DataFrame:
     def features(batches):
         common, rank = shared.value
         for batch in batches:
-            n, d1, d2, mins, prefix, bits, wide = [], [], [], [], [], [], []
+            n, d1, d2, mins, prefix, leading, bits, wide = [], [], [], [], [], [], [], []
             for _, s in _rows(batch):
                 n.append(len(s))
                 for held, d in zip((d1, d2), _digest(s), strict=True):
@@ -139,15 +140,17 @@ def _features(texts: DataFrame, common: np.ndarray) -> DataFrame:
                     hit = common[at] == s
                     key[hit] = np.uint64(1 << 63) + rank[at[hit]]
                 keep = len(s) - (4 * len(s) + 4) // 5 + 1 if len(s) else 0
-                prefix.append(s[np.argpartition(key, keep - 1)[:keep]] if keep < len(s) else s)
+                at = np.argpartition(key, keep - 1)[:keep] if keep < len(s) else np.arange(len(s))
+                prefix.append(s[at[np.lexsort((s[at], key[at]))]])
+                leading.append(np.resize(prefix[-1], max(LEADING, len(prefix[-1])))[:LEADING].tobytes())  # a short set's repeat
                 packed = np.zeros(min(WIDEST, max(SIGNATURE_WORDS * 64, 1 << (2 * len(s)).bit_length())), np.uint8)
                 packed[(s & np.uint64(len(packed) - 1)).astype(np.int64)] = 1
                 packed = np.packbits(packed)
                 wide.append(packed.tobytes() if len(packed) > SIGNATURE_WORDS * 8 else b"")
                 bits.append(np.bitwise_or.reduce(packed.reshape(-1, SIGNATURE_WORDS * 8)).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), _longs(d1), _longs(d2), _lists(mins), _lists(prefix), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
-                ["doc_id", "n", "d1", "d2", "mins", "prefix", "bits", "wide"],
+                [batch.column(0), pa.array(n, pa.int64()), _longs(d1), _longs(d2), _lists(mins), _lists(prefix), pa.array(leading, pa.binary()), pa.array(bits, pa.binary()), pa.array(wide, pa.binary())],
+                ["doc_id", "n", "d1", "d2", "mins", "prefix", "leading", "bits", "wide"],
             )
 
     return texts.mapInArrow(features, _FEATURES)
@@ -305,13 +308,32 @@ def forest(x: np.ndarray, y: np.ndarray, likely: np.ndarray, comp: np.ndarray) -
         label = table[label]
 
 
-def tree_pairs(size: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.ndarray, both_sides: bool) -> tuple[np.ndarray, np.ndarray]:
+def roomy(size_x: np.ndarray, size_y: np.ndarray, room_x: np.ndarray, room_y: np.ndarray) -> np.ndarray:
+    """Whether pairs of sets can overlap enough if they share none of the entries before one that they share. room: how
+    many entries of a set are not before it."""
+    return 9 * np.minimum(room_x, room_y) >= 4 * (size_x + size_y)
+
+
+def first_met(x: np.ndarray, y: np.ndarray, leading: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The index pairs (x, y) of members that share none of their leading entries before an entry, which has the place at
+    in them."""
+    keep = np.ones(len(x), bool)
+    for k in range(0, len(x), FRONTIER):
+        u, v = x[k : k + FRONTIER], y[k : k + FRONTIER]
+        shared = (leading[u][:, :, None] == leading[v][:, None, :]).any(2)
+        keep[k : k + FRONTIER] = ~(shared & (np.arange(leading.shape[1]) < at[u][:, None])).any(1)
+    return x[keep], y[keep]
+
+
+def tree_pairs(size: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.ndarray, both_sides: bool, room: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs of members that may link, by dual traversal of a signature tree over them. bits: their token bitmaps
-    as rows of 64-bit words; with both_sides only pairs of different side count; pairs of one comp never do."""
+    as rows of 64-bit words; with both_sides only pairs of different side count; pairs of one comp never do. With room only
+    those that are roomy()."""
+    room = size if room is None else room
     order = np.lexsort((size, side))
-    size, bits, comp, side = size[order], bits[order], comp[order], side[order]
+    size, bits, comp, side, room = size[order], bits[order], comp[order], side[order], room[order]
     spare = size - np.bitwise_count(bits).sum(1)  # entries beyond one a bit
-    levels = [(bits, size, size, spare)]
+    levels = [(bits, size, room, spare)]
     while len(levels[-1][0]) > 1:
         b, low, high, extra = levels[-1]
         cuts = np.arange(0, len(b), FANOUT)
@@ -345,7 +367,9 @@ def tree_pairs(size: np.ndarray, bits: np.ndarray, comp: np.ndarray, side: np.nd
 
 def _tree_candidates(entries: DataFrame, nodes: DataFrame, every: bool) -> DataFrame:
     """Pairs (a, b) of classes of different groups that share a routing entry and pass that entry's tree: every one, or for
-    each tree a spanning forest of the likeliest, so that a large group of near copies gives some pairs a member."""
+    each tree a spanning forest of the likeliest, so that a large group of near copies gives some pairs a member. Every pair
+    is handed on by the tree of the first entry that it shares, and by later ones only where they do not see that: the sets
+    must be roomy() there, and share none of their leading entries before it."""
     known = entries.join(nodes.select("node", "comp"), "node")
     groups = known.groupBy("h", "comp").agg(F.count("*").alias("size"))
     held = groups.groupBy("h").agg(F.sum("size").alias("members"), F.max("size").alias("most"), F.max_by("comp", F.struct("size", "comp")).alias("main"))
@@ -360,8 +384,9 @@ def _tree_candidates(entries: DataFrame, nodes: DataFrame, every: bool) -> DataF
     own = F.when(stray, F.pmod(deal, strays)).otherwise(strays + F.pmod(deal, F.greatest(others, F.lit(1)))).cast("int")
     met = F.when(stray, strays + others).otherwise(strays)  # blocks that a member's block is held against
     dealt = member.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
-    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node"), "comp")
-    dealt = dealt.join(nodes.select("node", "n", "bits"), "node").select("h", "i", "j", "own", F.col("node").alias("doc_id"), "comp", "n", "bits")
+    dealt = dealt.select("h", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", F.col("node"), "comp", "at")
+    of = nodes.select("node", "n", "bits", "leading") if every else nodes.select("node", "n", "bits", F.lit(None).cast("binary").alias("leading"))
+    dealt = dealt.join(of, "node").select("h", "i", "j", "own", F.col("node").alias("doc_id"), "comp", "n", "bits", "at", "leading")
 
     def trees(batches):
         kept: list[pa.RecordBatch] = []
@@ -370,12 +395,20 @@ def _tree_candidates(entries: DataFrame, nodes: DataFrame, every: bool) -> DataF
         def flush(table: pa.Table):
             ids, comp, size, side = (table[c].to_numpy() for c in ("doc_id", "comp", "n", "own"))
             bits = np.frombuffer(b"".join(table["bits"].to_pylist()), np.uint64).reshape(len(ids), -1)
+            at, room, leading = table["at"].to_numpy().astype(np.int64), size, None
+            if every:
+                room = size - at
+                leading = np.frombuffer(b"".join(table["leading"].to_pylist()), np.int64).reshape(len(ids), -1)
             key = np.stack([table["h"].to_numpy(), table["i"].to_numpy().astype(np.int64), table["j"].to_numpy().astype(np.int64)])
             cuts = np.flatnonzero(np.concatenate([[True], (key[:, 1:] != key[:, :-1]).any(0), [True]]))
             first, count = cuts[:-1], np.diff(cuts)
             x, y = _small_groups(first[count <= FANOUT], count[count <= FANOUT])
             ok = (comp[x] != comp[y]) & ((key[1, x] == key[2, x]) | (side[x] != side[y]))
             x, y = x[ok], y[ok]
+            if every:
+                ok = roomy(size[x], size[y], room[x], room[y])
+                x, y = x[ok], y[ok]
+                x, y = first_met(x, y, leading, at)
             a, b = np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])
             order = np.lexsort((b, a))  # each pair once, however many entries it shares
             fresh = np.ones(len(order), bool)
@@ -384,7 +417,9 @@ def _tree_candidates(entries: DataFrame, nodes: DataFrame, every: bool) -> DataF
             may = may_link(size[x], size[y], bits[x], bits[y])
             pairs = set(zip(np.minimum(ids[x], ids[y])[may].tolist(), np.maximum(ids[x], ids[y])[may].tolist(), strict=True))
             for s, e in zip(first[count > FANOUT].tolist(), (first + count)[count > FANOUT].tolist(), strict=True):
-                x, y = tree_pairs(size[s:e], bits[s:e], comp[s:e], side[s:e], bool(key[1, s] != key[2, s]))
+                x, y = tree_pairs(size[s:e], bits[s:e], comp[s:e], side[s:e], bool(key[1, s] != key[2, s]), room[s:e])
+                if every:
+                    x, y = first_met(x, y, leading[s:e], at[s:e])
                 if not every and len(x):
                     likely = np.concatenate([overlap(size[s + x[k]], size[s + y[k]], bits[s + x[k]], bits[s + y[k]]) for k in (slice(at, at + FRONTIER) for at in range(0, len(x), FRONTIER))])
                     kept = forest(x, y, likely, comp[s:e])
@@ -424,13 +459,13 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     texts = _texts(docs)
     features = stored(_features(texts, common_shingles(texts)))
     linkable = features.where("n > 0 and doc_id is not null")
-    classes = linkable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.first(F.struct("mins", "prefix", "bits", "wide")).alias("of"))
+    classes = linkable.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("first"), F.first(F.struct("mins", "prefix", "leading", "bits", "wide")).alias("of"))
     classes = stored(classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "n", "first", "of.*"))
-    entries = classes.select("node", F.explode("prefix").alias("h"))
+    entries = classes.select("node", F.posexplode("prefix").alias("at", "h"))
     live = entries.groupBy("h").agg(F.count("*").alias("members")).where("members > 1").select("h")
     entries = stored(entries.join(live, "h", "left_semi"))
     near = classes.join(entries.select("node").distinct(), "node", "left_semi")
-    nodes = stored(near.select("node", F.col("node").alias("comp"), "d1", "d2", "n", "first", "mins", "bits", "wide"))
+    nodes = stored(near.select("node", F.col("node").alias("comp"), "d1", "d2", "n", "first", "mins", "leading", "bits", "wide"))
     links = []
     for _ in range(LEADER_ROUNDS):
         links.append(_verified(_leader_pairs(nodes), nodes, texts))
