@@ -16,7 +16,7 @@ when 100 * intersection >= 80 * union. The join returns one row per document wit
    possible overlap is too small; the pairs that are left are checked on the whole sets (64 bits a shingle), which only
    the classes of such pairs hand over. In a first pass each tree hands on a spanning forest of its likeliest pairs, which
    joins most of what belongs together by some pairs a member; in the last pass every pair of groups still apart is
-   checked. An entry with very many members is dealt out in blocks, and only those outside its largest group meet the
+   checked, handed on by the tree of the first entry that it shares. An entry with very many members is dealt out in blocks, and only those outside its largest group meet the
    others, so that what it costs follows the strays.
 5. All links found, and the classes that a repeated doc_id has in common, give the components.
 
