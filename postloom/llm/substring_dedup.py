@@ -6,11 +6,12 @@ by a window whose word sequence also starts in a document with a smaller doc_id;
 1. Anchors. The smallest 5-gram hash of a window depends on its words alone, so that equal windows have equal anchors.
    Runs of windows with one anchor make a segment. Anchors of one document only need no further look; a bitmap of
    fixed size passes the others (and few more) in the second pass over the texts.
-2. Equal segments are counted once, with the smallest doc_id that has them, before any shard sees them.
-3. Shards of whole anchors, of bounded size, each get a compressed FM-index. The segments are streamed through it:
+2. Segments go to shards of whole anchors, of bounded size, once. There equal ones are counted once, with the smallest
+   doc_id that has them, and those of anchors of one document are left out.
+3. Each shard gets a compressed FM-index. The segments are streamed through it:
    backward search over its wavelet tree finds each window's interval, and the interval's smallest doc_id follows.
-   Segments of anchors with more than a shard holds are cut at each change of a second anchor (the smallest 5-gram
-   hash of a window that is not the first), and the pieces go to shards by both. Pieces that share both and are still
+   Segments of anchors with more than a shard holds are counted once before, by an aggregate, and cut at each change of a
+   second anchor (the smallest 5-gram hash of a window that is not the first), and the pieces go to shards by both. Pieces that share both and are still
    more than a shard holds (windows that repeat few words) are counted by window, by an aggregate, which is exact too.
 4. The intervals are joined back to the segments' places, and the words they cover are removed.
 
@@ -47,12 +48,17 @@ def _texts(docs: DataFrame) -> DataFrame:
     )
 
 
+def _spread(grams: np.ndarray) -> np.ndarray:
+    """Anchors of smallest hashes: these lie low, and would share the low bits of a bitmap by its top bits."""
+    return K.mix(grams, 9)
+
+
 def window_anchors(hashes: np.ndarray, without: np.ndarray | None = None) -> np.ndarray:
     """The anchor of every window that starts at each word but the last 12 (also of windows across rows). without: for each
-    word a gram that does not count where it begins there."""
+    word an anchor (as _spread() gives it) whose gram does not count where it begins there."""
     grams = K.mix(K.ngrams(hashes, GRAM), 5)
     if without is not None:
-        grams[grams == without[: len(grams)]] = np.iinfo(np.uint64).max
+        grams[_spread(grams) == without[: len(grams)]] = np.iinfo(np.uint64).max
     low, width = grams, 1
     span = WINDOW - GRAM + 1
     while width * 2 <= span:
@@ -81,7 +87,7 @@ def _segments(data: np.ndarray, offsets: np.ndarray):
         pieces = -(-size // RUN)
         nth = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         begin, size = np.repeat(begin, pieces) + nth * RUN, np.minimum(np.repeat(size, pieces) - nth * RUN, RUN)
-    return a[begin], r[begin], at[begin], size, starts, ends
+    return _spread(a[begin]), r[begin], at[begin], size, starts, ends
 
 
 def _pieces(batch: pa.RecordBatch, column: int):
@@ -213,14 +219,28 @@ def _second_pieces(segments: DataFrame) -> DataFrame:
     return segments.select("anchor", "part", "words", "first").mapInArrow(cut, "anchor long, second long, part long, at long, words binary, first long")
 
 
-def _by_shards(segments: DataFrame, keys: list[str], count: int) -> DataFrame:
+def _once(places: pd.DataFrame) -> pd.DataFrame:
+    """Each segment (anchor, part) once, with its first and last doc_id, of those anchors that several documents have."""
+    several = places.groupby("anchor")["first"].agg(["min", "max"]).query("min < max").index
+    one = places[places["anchor"].isin(several)].groupby(["anchor", "part"], sort=False)
+    return one.agg(words=("words", "first"), last=("first", "max"), first=("first", "min")).reset_index()
+
+
+def _by_shards(segments: DataFrame, keys: list[str], count: int, of_places: bool = False) -> DataFrame:
     """Rows (keys, part, minima) for distinct segments (keys, part, words, first), each group of keys in one shard. count:
-    how many segments there are."""
+    how many segments there are. of_places: the segments repeat, first is a document of each, and those of which no document
+    may lose a word have no row."""
     shards = max(1, -(-count // SHARD))
+    names = [*keys, "part", "minima"]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        if of_places:
+            pdf = _once(pdf)
         found = shard_minima(pdf["words"].tolist(), pdf["first"].to_numpy())
-        return pd.DataFrame({**{k: pdf[k] for k in keys}, "part": pdf["part"], "minima": found})
+        out = pd.DataFrame({**{k: pdf[k] for k in keys}, "part": pdf["part"], "minima": pd.Series(found, index=pdf.index, dtype=object)})
+        if of_places:
+            out = out[[m.min() < last for m, last in zip(found, pdf["last"], strict=True)]] if len(out) else out
+        return out[names]
 
     schema = ", ".join(f"{k} long" for k in keys) + ", part long, minima array<long>"
     return segments.select(*keys, "part", "words", "first").withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards))).groupBy("shard").applyInPandas(search, schema)
@@ -259,15 +279,18 @@ def _by_window(pieces: DataFrame) -> DataFrame:
     return each.join(least, "window").select("anchor", "part", "at", F.array("least").alias("minima"))
 
 
-def _minima(distinct: DataFrame) -> DataFrame:
-    """Rows (anchor, part, at, minima) for the distinct segments (anchor, part, words, first)."""
-    groups = stored(distinct.groupBy("anchor").agg(F.count("*").alias("parts"), F.min("first").alias("lo"), F.max("last").alias("hi")).where("lo < hi").select("anchor", "parts"))
-    segments = distinct.select("anchor", "part", "words", "first").join(groups, "anchor")
-    count = int(groups.agg(F.coalesce(F.sum(F.when(F.col("parts") <= SHARD, F.col("parts"))), F.lit(0))).first()[0])
-    usual = _by_shards(segments.where(F.col("parts") <= SHARD), ["anchor"], count).select("anchor", "part", F.lit(0).cast("long").alias("at"), "minima")
-    if groups.where(F.col("parts") > SHARD).isEmpty():
-        return usual
-    return usual.unionByName(_hot_minima(segments.where(F.col("parts") > SHARD)))
+def _minima(places: DataFrame) -> DataFrame:
+    """Rows (anchor, part, at, minima) for the segments of places (anchor, part, words, doc_id) that have windows to remove."""
+    segments = places.select("anchor", "part", "words", F.col("doc_id").alias("first"))
+    hot = stored(places.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > SHARD))
+    n, repeats = hot.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    few = F.broadcast(hot.select("anchor"))  # at most one for each SHARD rows of places
+    usual = segments.join(few, "anchor", "left_anti") if n else segments
+    found = _by_shards(usual, ["anchor"], places.count() - repeats, of_places=True).select("anchor", "part", F.lit(0).cast("long").alias("at"), "minima")
+    if not n:
+        return found
+    distinct = segments.join(few, "anchor", "left_semi").groupBy("anchor", "part").agg(F.min("first").alias("first"), F.first("words").alias("words"))
+    return found.unionByName(_hot_minima(stored(distinct)))
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -278,8 +301,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     shared = _anchors(texts).groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     bitmap = sc.broadcast(bitmap_of(shared, "anchor", BITMAP))
     places = stored(_occurrences(texts, bitmap).withColumn("part", F.xxhash64("words")))
-    distinct = stored(places.groupBy("anchor", "part").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), F.first("words").alias("words")))
-    minima = stored(_minima(distinct))
+    minima = stored(_minima(places))
     hits = (
         places.select("anchor", "part", "doc_id", "body", "start")
         .join(minima, ["anchor", "part"])
