@@ -8,9 +8,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from postloom.sources.tables import spare, stored
+from postloom.sources.tables import small_batches, spare, stored
 
 Embedder = Callable[[list[str]], np.ndarray]
 DIM, BATCH = 64, 256
@@ -38,6 +39,11 @@ def embedded(rows: DataFrame, key: str, text_col: str, embed: Embedder = hashed)
     """Rows (key, embedding, status) of the rows whose text is not blank. A batch that fails is tried row by row; rows
     that fail, or whose first components are all 0, are `skipped`."""
     wanted = rows.select(key, F.col(text_col).alias("text")).where("text is not null and trim(text) <> ''")
+    return with_embeddings(wanted, "text", embed).drop("text")
+
+
+def with_embeddings(rows: DataFrame, text_col: str, embed: Embedder = hashed) -> DataFrame:
+    """rows with embedding and status, as embedded() gives them, in one pass; rows whose text is blank are `blank`."""
 
     def safely(texts: list[str]) -> list:
         try:
@@ -49,11 +55,15 @@ def embedded(rows: DataFrame, key: str, text_col: str, embed: Embedder = hashed)
         for pdf in batches:
             for at in range(0, len(pdf), BATCH):
                 part = pdf.iloc[at : at + BATCH]
-                found = safely(part["text"].tolist())
-                good = [v is not None and bool(np.any(v[:10])) for v in found]
-                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": [v if g else None for v, g in zip(found, good, strict=True)], "status": ["embedded" if g else "skipped" for g in good]})
-
-    return wanted.mapInPandas(run, f"`{key}` {wanted.schema[key].dataType.simpleString()}, embedding array<float>, status string")
+                some = np.array([isinstance(t, str) and t.strip(" ") != "" for t in part[text_col]], bool)
+                found = iter(safely(part[text_col][some].tolist()) if some.any() else [])
+                each = [next(found) if s else None for s in some]
+                good = [v is not None and bool(np.any(v[:10])) for v in each]
+                status = ["embedded" if g else "skipped" if s else "blank" for g, s in zip(good, some, strict=True)]
+                yield part.assign(embedding=pd.Series([v if g else None for v, g in zip(each, good, strict=True)], index=part.index, dtype=object), status=status)
+
+    schema = T.StructType([*rows.schema.fields, T.StructField("embedding", T.ArrayType(T.FloatType())), T.StructField("status", T.StringType())])
+    return small_batches(rows).mapInPandas(run, schema)
 
 
 def reembedded(chunks: DataFrame, key: str, text_col: str, embed: Embedder = hashed, force: bool = False) -> DataFrame:

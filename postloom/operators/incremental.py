@@ -39,12 +39,11 @@ class IncrementalIndex:
         documents take the place of all of theirs before the documents do, so that a run that died is simply run again: it
         finds the same changes, and what it had done is done anew or skipped by its number."""
         rows = snapshot.select("key", "text", F.sha2(F.coalesce("text", F.lit("")), 256).alias("hash"), "modified")
-        feed = stored(change_feed(self.documents.rows(), rows, "key", ["hash"]))
+        # old texts stay where they are: digests tell what changed, and what is deleted goes by its key
+        old = self.documents.rows().select("key", F.lit(None).cast("string").alias("text"), "hash", F.lit(None).cast("timestamp").alias("modified"))
+        feed = stored(change_feed(old, rows, "key", ["hash"]) if self.documents.commits() else rows.withColumn("change", F.lit("insert")))
         text = feed.where("change <> 'delete'").select("key", "text")
-        cut = stored(chunking.fixed_stride(text, "key", "text", self.chars, self.stride).select(F.col("id").alias("key"), "position", "text"))
-        named = cut.withColumn("id", F.struct("key", "position"))
-        filled = embedding.embedded(named.select("id", "text"), "id", "text", self.embed).select("id.key", "id.position", "embedding", "status")
-        chunks = stored(cut.join(filled, ["key", "position"], "left").withColumn("status", F.coalesce("status", F.lit("blank"))))
-        self.chunks.replace(chunks, feed.select("key"), "index", number)
+        cut = chunking.fixed_stride(text, "key", "text", self.chars, self.stride).select(F.col("id").alias("key"), "position", "text")
+        self.chunks.replace(embedding.with_embeddings(cut, "text", self.embed), feed.select("key"), "index", number)
         self.documents.upsert(feed.withColumn("gone", F.col("change") == "delete"), "index", number, "gone")
         return feed.select("key", "change")

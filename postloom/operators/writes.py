@@ -3,7 +3,7 @@ writer then puts that in a new folder and swaps, or overwrites the partitions it
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 from postloom.sources.tables import spare
 
 
-def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str) -> DataFrame:
-    """The newest row of each key; of equal versions the incoming one."""
+def upsert(stored: DataFrame, incoming: DataFrame, keys: Sequence[str], version: str, dealt: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """The newest row of each key; of equal versions the incoming one. dealt: puts the rows of both into partitions, by
+    columns that it may add and that are among the keys, where they are to stay."""
     new = spare("_new", stored)
     both = stored.withColumn(new, F.lit(0)).unionByName(incoming.withColumn(new, F.lit(1)))
-    return first_of(both, keys, [F.desc(version), F.desc(new)]).drop(new)
+    return first_of(dealt(both) if dealt else both, keys, [F.desc(version), F.desc(new)]).drop(new)
 
 
 def first_of(rows: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

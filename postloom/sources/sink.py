@@ -12,7 +12,7 @@ import json
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -61,9 +61,13 @@ class KeyedTable:
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.by), F.lit(self.buckets)).cast("int")
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """rows with their bucket, a bucket's in one task: keys are compared there and written from there, in one shuffle."""
+        return rows.withColumn("bucket_", self._bucket()).repartition("bucket_")
+
     def merge(self, batch: DataFrame, change: Callable[[DataFrame], DataFrame], source: str, number: int, touched: DataFrame | None = None) -> bool:
-        """Rewrites the buckets that batch (or touched) has rows for as change(their rows) and commits; False, with nothing
-        done, where this batch of the source, or a later one, has been committed."""
+        """Rewrites the buckets that batch (or touched) has rows for as change(their rows), which may have been dealt to
+        their buckets, and commits; False, with nothing done, where this batch of the source, or a later one, has been committed."""
         state, last = self.state(), (self.commits() or [0])[-1]
         if state["batches"].get(source, -1) >= number:
             return False
@@ -71,8 +75,9 @@ class KeyedTable:
         hit = {r["b"] for r in found.collect()}  # self.buckets at most
         folder = f"data/{last + 1}-{uuid.uuid4().hex}"
         if hit:
-            new = change(self.rows(buckets=hit)).select(*self.schema.names, self._bucket().alias("bucket_"))
-            new.repartition("bucket_").write.partitionBy("bucket_").parquet(f"{self.path}/{folder}")
+            new = change(self.rows(buckets=hit))
+            new = new if "bucket_" in new.columns else self._dealt(new)
+            new.select(*self.schema.names, "bucket_").write.option("compression", "zstd").partitionBy("bucket_").parquet(f"{self.path}/{folder}")
             made = {int(p.getPath().getName().split("=")[1]) for p in self._fs.listStatus(self._path(f"{self.path}/{folder}")) if p.getPath().getName().startswith("bucket_=")}
             state["folders"] = {b: f for b, f in state["folders"].items() if int(b) not in hit} | {str(b): f"{folder}/bucket_={b}" for b in made}
         state["batches"][source] = number
@@ -96,7 +101,7 @@ class KeyedTable:
         marked = batch.withColumn("gone_", F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)).select(*names, "gone_")
 
         def change(old: DataFrame) -> DataFrame:
-            both = writes.upsert(old.withColumn("gone_", F.lit(False)), marked, self.keys, self.version or self.keys[0])
+            both = writes.upsert(old.withColumn("gone_", F.lit(False)), marked, ["bucket_", *self.keys], self.version or self.keys[0], self._dealt)
             return both.where("NOT gone_").drop("gone_")
 
         return self.merge(marked, change, source, number)
@@ -104,11 +109,14 @@ class KeyedTable:
     def replace(self, batch: DataFrame, groups: DataFrame, source: str, number: int) -> bool:
         """Puts the batch's rows in the place of all rows of some groups (rows of the columns in `by`), so that a group
         without rows in the batch goes; rows of other groups in the batch are refused by leaving them out."""
-        own = groups.select(*self.by).distinct()
+        own = groups.select(*self.by).dropna()
+        blank = [F.col(c.name) if c.name in self.by else F.lit(None).cast(c.dataType).alias(c.name) for c in self.schema]
 
         def change(old: DataFrame) -> DataFrame:
-            kept = old.join(own, self.by, "left_anti").select(*self.schema.names)
-            return kept.unionByName(batch.select(*self.schema.names).join(own, self.by, "left_semi").select(*self.schema.names))
+            rows = old.withColumn("from_", F.lit(0)).unionByName(batch.select(*self.schema.names, F.lit(1).alias("from_")))
+            rows = self._dealt(rows.unionByName(own.select(*blank, F.lit(2).alias("from_"))))
+            last = F.max("from_").over(Window.partitionBy("bucket_", *self.by))  # 2 in groups that are replaced
+            return rows.withColumn("last_", last).where("from_ = 0 AND last_ < 2 OR from_ = 1 AND last_ = 2").drop("from_", "last_")
 
         return self.merge(batch, change, source, number, own)
 
