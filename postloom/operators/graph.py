@@ -97,7 +97,8 @@ def sampled_names(nodes: DataFrame, kind: str, name: str, key: str, most: int) -
 
 def expand(edges: DataFrame, start: DataFrame, hops: int, most: int = HOP_MOST) -> DataFrame:
     """Edges within some hops of the nodes in start (node_id), with their hop: out and in edges apart, the heaviest of
-    each hop and direction, each edge once. The frontier of a hop is bounded by that limit and is broadcast."""
+    each hop and direction, each edge once. The frontier of a hop is bounded by that limit and is broadcast. What a hop
+    finds is stored, as the next one asks for it several times: edges are read twice a hop."""
     if not 1 <= hops <= 3:
         raise ValueError("hops are 1 to 3")
     nxt = spare("_next", edges)
@@ -109,7 +110,7 @@ def expand(edges: DataFrame, start: DataFrame, hops: int, most: int = HOP_MOST)
             if out is not None:
                 found = found.join(F.broadcast(out.select("edge_id")), "edge_id", "left_anti")
             parts.append(found.orderBy(F.desc("weight"), "edge_id").limit(most).select(*edges.columns, F.col(there).alias(nxt)))
-        both = parts[0].unionByName(parts[1])
+        both = stored(parts[0].unionByName(parts[1]))
         step = both.drop(nxt).dropDuplicates(["edge_id"]).withColumn("hop", F.lit(hop))
         frontier = both.select(F.col(nxt).alias("node_id")).distinct().join(F.broadcast(seen), "node_id", "left_anti")
         seen = seen.unionByName(frontier)

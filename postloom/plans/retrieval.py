@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from postloom.functions.text import entity_mentions
 from postloom.operators import filters, graph, lexical, ranking, vector
+from postloom.sources.tables import stored
 
 
 @dataclass(frozen=True)
@@ -67,10 +68,12 @@ def graph_conversations(corpus: Corpus, query: str, settings: Settings) -> DataF
         found = hits if found is None else found.unionByName(hits)
     if found is None:
         return None
-    start = found.select("node_id").distinct()
-    near = graph.expand(corpus.edges, start, settings.hops)
-    entities = near.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).union(start).distinct()
-    return graph.conversations_of(corpus.edges, entities, settings.k * 2).select("conversation_id")
+    start = stored(found.select("node_id").distinct())
+    # edges may be a join: it runs once for all hops
+    edges = stored(corpus.edges.select("edge_id", "source_id", "target_id", "weight", "conversation_id"))
+    near = graph.expand(edges, start, settings.hops)
+    entities = stored(near.select(F.explode(F.array("source_id", "target_id")).alias("node_id")).union(start).distinct())
+    return stored(graph.conversations_of(edges, entities, settings.k * 2).select("conversation_id"))
 
 
 def candidates(corpus: Corpus, query: str, vector_query: Sequence[float] | None, settings: Settings) -> tuple[DataFrame, str]:
@@ -136,7 +139,8 @@ def retrieve(corpus: Corpus, query: str, vector_query: Sequence[float] | None, s
     best chunks for a query with filters in it."""
     hits, asked = candidates(corpus, query, vector_query, settings)
     by_summary = lexical.conversation_search(corpus.conversations, asked, settings.synonyms, settings.summaries)
-    ranked = scored(hits, corpus, asked, by_summary, graph_conversations(corpus, asked, settings), settings)
+    # at most two budgets of rows, asked for several times
+    ranked = stored(scored(hits, corpus, asked, by_summary, graph_conversations(corpus, asked, settings), settings))
     one = ranked.withColumn("asked", F.lit(0))
     places = ranking.diverse(one, "asked", "chunk_id", "score", "text", settings.mmr).where(F.col("place") <= settings.k)
     return places.select("chunk_id", "place").join(ranked.drop("text"), "chunk_id").select("place", "chunk_id", "conversation_id", "score", "lexical_score", "vector_score", "summary_boosted", "graph_boosted")
