@@ -189,8 +189,10 @@ def cover_density(hits: DataFrame, key: str, groups: list[list[str]]) -> DataFra
 
 
 def stemmed(groups: list[list[str]]) -> list[list[str]]:
-    """The groups' stems; groups that are equal then are one."""
-    return [list(g) for g in dict.fromkeys(tuple(sorted({stem(w) for w in g})) for g in groups)]
+    """The groups' stems without stop words, which no token table holds; groups that are equal then are one, and those of stop
+    words alone ask nothing."""
+    stop = set(STOP_WORDS)
+    return [list(g) for g in dict.fromkeys(tuple(sorted({stem(w) for w in g} - stop)) for g in groups) if g]
 
 
 def _may_hold(text: Column, groups: list[list[str]]) -> Column:
