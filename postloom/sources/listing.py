@@ -9,15 +9,24 @@ store that pyarrow.fs knows by URI will do.
 
 from __future__ import annotations
 
+import functools
+import itertools
 import json
+import os
+import re
 import time
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
-from pyspark.sql import SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from postloom.sources.tables import BATCH_BYTES
+
 PREFIXES, LAG_S = 64, 5.0
+NAMES = 4096  # of a batch
 SCHEMA = "folder string, inner string, name string, size long, modified timestamp, path string"
 
 
@@ -26,10 +35,14 @@ class Prefixes(InputPartition):
         self.names, self.after, self.upto = names, after, upto
 
 
+@functools.cache
 def _store(uri: str):
     import pyarrow.fs as fs
 
-    return fs.FileSystem.from_uri(uri if ":" in uri.split("/")[0] else f"file://{uri}")
+    if ":" in uri.split("/")[0]:
+        # Spark also writes file:/folder
+        return fs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+    return fs.LocalFileSystem(), os.path.abspath(uri)
 
 
 def _folders(uri: str) -> list[str]:
@@ -51,6 +64,94 @@ def _files(uri: str, folder: str) -> Iterator[tuple[tuple[int, str], tuple]]:
             yield (f.mtime_ns, f"{folder}/{inner}"), (folder, inner, f.base_name, f.size, datetime.fromtimestamp(f.mtime_ns / 1e9, UTC), f.path)
 
 
+def _hidden(inner: str) -> bool:
+    """Whether Spark's own readers leave a file out by a name on its way."""
+    return any(n.startswith(".") or (n.startswith("_") and "=" not in n) or n.endswith("._COPYING_") for n in inner.split("/"))
+
+
+def reachable(uri: str) -> bool:
+    """Whether pyarrow.fs sees a folder under this URI."""
+    import pyarrow.fs as fs
+
+    try:
+        store, root = _store(uri)
+        return store.get_file_info(root).type == fs.FileType.Directory
+    except Exception:  # noqa: BLE001  unknown stores, URIs and rights may fail in any way
+        return False
+
+
+def _entries(uri: str) -> Iterator[tuple[str, bool]]:
+    """The names of the first level and whether each is a folder, without holding them all where the store is a local one."""
+    import pyarrow.fs as fs
+
+    store, root = _store(uri)
+    if isinstance(store, fs.LocalFileSystem):
+        with os.scandir(root) as found:
+            yield from ((e.name, e.is_dir()) for e in found)
+    else:
+        yield from ((f.base_name, f.type == fs.FileType.Directory) for f in store.get_file_info(fs.FileSelector(root)))
+
+
+def files(spark: SparkSession, uri: str) -> DataFrame:
+    """Every file below a folder that is reachable(): path, folder, inner, name, size, modificationTime. A task gives the names
+    of the first level, one after the other; they are dealt to tasks that list each folder, so that the driver holds none."""
+    base = uri.rstrip("/")
+
+    def first_level(batches):
+        import pyarrow as pa
+
+        for _ in batches:
+            entries = _entries(uri)
+            while held := list(itertools.islice(entries, NAMES)):
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in held], pa.string()), pa.array([d for _, d in held], pa.bool_())], ["name", "is_folder"])
+
+    def below(batches):
+        import pyarrow as pa
+
+        shape = pa.schema([("path", pa.string()), ("folder", pa.string()), ("inner", pa.string()), ("name", pa.string()), ("size", pa.int64()), ("modificationTime", pa.timestamp("us", "UTC"))])
+
+        def rows():
+            store, root = _store(uri)
+            for b in batches:
+                for name, is_folder in zip(b["name"].to_pylist(), b["is_folder"].to_pylist(), strict=True):
+                    if is_folder:
+                        yield from ((f"{base}/{name}/{r[1]}", *r[:5]) for _, r in _files(uri, name) if not _hidden(f"{name}/{r[1]}"))
+                    elif not _hidden(name):
+                        f = store.get_file_info(f"{root.rstrip('/')}/{name}")
+                        yield f"{base}/{name}", name, name, name, f.size, datetime.fromtimestamp(f.mtime_ns / 1e9, UTC)
+
+        found = rows()
+        while held := list(itertools.islice(found, NAMES)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), shape.types, strict=True)], schema=shape)
+
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    names = spark.range(0, 1, 1, 1).mapInArrow(first_level, "name string, is_folder boolean").repartition(tasks, "name")
+    return names.mapInArrow(below, "path string, folder string, inner string, name string, size long, modificationTime timestamp")
+
+
+def contents(uri: str):
+    """A function of a path of files() that gives its bytes, read in tasks, some BATCH_BYTES at a time."""
+    base = uri.rstrip("/")
+
+    @F.pandas_udf("binary")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        store, root = _store(uri)
+        for paths in batches:
+            held: list[bytes] = []
+            size = 0
+            for path in paths:
+                with store.open_input_file(root.rstrip("/") + path[len(base) :]) as f:
+                    held.append(f.read())
+                size += len(held[-1])
+                if size >= BATCH_BYTES:
+                    yield pd.Series(held, dtype=object)
+                    held, size = [], 0
+            if held:
+                yield pd.Series(held, dtype=object)
+
+    return read
+
+
 def _dealt(names: list[str], size: int, *span) -> list[Prefixes]:
     return [Prefixes(names[i : i + size], *span) for i in range(0, len(names), size)] or [Prefixes([])]
 
