@@ -6,8 +6,11 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from postloom.plans.registry import query, table
+from postloom.sources.tables import small_batches
 
-_SHARES, _TASKS = 32, 256  # of a nation's customers, and of the join of all nations
+_SHARES, _TASKS = 32, 256  # of a nation's customers, and of a join of many pairs
+SHARE_ROWS = 1 << 16  # of a table that pairs with itself
+PAIRS = 1 << 16  # of a batch
 
 
 @query("SELECT lang, count(*) AS n, count(text) AS n_text, count(DISTINCT source) AS n_sources FROM documents GROUP BY lang")
@@ -120,13 +123,51 @@ AND contains(' ' || lower(l.p_name) || ' ', ' ' || lower(s.p_name) || ' ')"""
 )
 def j08_whole_word_join(spark, sf_dir):
     """Names that hold another name as whole words: joined on the longer one's runs of words, a bounded number for a name,
-    so that only pairs of the result meet."""
+    so that only pairs of the result meet. Rows are dealt into shares of SHARE_ROWS, and a name's rows of a share are one
+    list; lists meet, and those that met are dealt to tasks anew, so that neither a name nor a small file is one task's
+    work."""
     p = table(spark, sf_dir, "part").select("p_partkey", F.lower("p_name").alias("name"))
     words = F.split("name", " ")
     n = F.size(words)
     runs = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(i, n), lambda j: F.array_join(F.slice(words, i, j - i + 1), " "))))
-    long_ = p.select(F.col("p_partkey").alias("long_id"), F.explode(F.array_distinct(runs)).alias("name"))
-    return p.withColumnRenamed("p_partkey", "short_id").join(long_, "name").where("short_id <> long_id").select("short_id", "long_id")
+    shares = max(1, -(-p.count() // SHARE_ROWS))
+
+    def listed(rows, side):
+        share = F.pmod(F.xxhash64("p_partkey"), F.lit(shares)).alias(f"{side}_share")
+        return rows.groupBy("name", share).agg(F.collect_list("p_partkey").alias(f"{side}_ids"))  # at most a share
+
+    long_ = p.select("p_partkey", F.explode(F.array_distinct(runs)).alias("name"))
+    lists = listed(p, "short").join(listed(long_, "long"), "name").repartition(_TASKS, "name", "short_share", "long_share")
+    kind = p.schema["p_partkey"].dataType.simpleString()
+    return small_batches(lists).select("short_ids", "long_ids").mapInArrow(_paired, f"short_id {kind}, long_id {kind}")
+
+
+def _paired(batches):
+    """All pairs of two lists' unequal ids, some PAIRS a batch, however long the lists are."""
+    import numpy as np
+    import pyarrow as pa
+
+    def pairs():
+        for batch in batches:
+            for short, long_ in zip(*batch.columns, strict=True):
+                short, long_ = short.values.to_numpy(zero_copy_only=False), long_.values.to_numpy(zero_copy_only=False)
+                for i in range(0, len(short), PAIRS):
+                    some = short[i : i + PAIRS]
+                    step = PAIRS // len(some)
+                    for j in range(0, len(long_), step):
+                        a, b = np.tile(some, len(long_[j : j + step])), np.repeat(long_[j : j + step], len(some))
+                        kept = a != b
+                        yield (a, b) if kept.all() else (a[kept], b[kept])
+
+    held, size = [], 0
+    for pair in pairs():
+        held.append(pair)
+        size += len(pair[0])
+        if size >= PAIRS // 2:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["short_id", "long_id"])
+            held, size = [], 0
+    if size:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["short_id", "long_id"])
 
 
 @query(
